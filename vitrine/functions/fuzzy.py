@@ -1,9 +1,8 @@
 """Indel similarity of words: ``200 * LCS / (len(a) + len(b))``.
 
-For a short vocabulary the score is a native expression: the vocabulary is an
-array literal and the longest common subsequence is found with one bit mask
-per character of a term (one step per character of the word). Terms too long
-for a mask, and large vocabularies, go through ``lcs_length`` below.
+The longest common subsequence is found with one bit mask per character of a
+term, one step per character of the word: as a native expression against a
+short list of terms, or by ``lcs_length`` for pairs of words of any length.
 """
 
 from __future__ import annotations

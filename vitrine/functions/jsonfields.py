@@ -53,7 +53,7 @@ def as_map(doc: str | Column) -> Column:
 def set_flag(doc: str | Column, key: str, value: Column) -> Column:
     """Add or replace one boolean key, keeping the others."""
     kept = F.map_filter(as_map(doc), lambda k, _: k != key)
-    entry = F.create_map(F.lit(key), F.to_variant_object(value))
+    entry = F.create_map(F.lit(key), F.parse_json(value.cast("string")))
     return F.to_json(F.map_concat(kept, entry), {"ignoreNullFields": "false"})
 
 

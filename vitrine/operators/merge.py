@@ -56,7 +56,7 @@ def upsert(
             for c in stored.columns
         ]
     )
-    kinds = {f.name: f.dataType for f in stored.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
     inserted = _unmatched(incoming, stored, keys).select(
         *[on_insert.get(c, F.col(c) if c in keys else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns]
     )
@@ -103,7 +103,7 @@ def write_back_embeddings(
     else:
         settled = J.drop_key(F.col("old.metadata"), "needs_resync")
     update = {
-        "embedding": F.col("new.embedding").cast(stored.schema["embedding"].dataType),
+        "embedding": F.col("new.embedding").cast(stored.schema["embedding"].dataType.simpleString()),
         "metadata": settled,
         "updated_at": _moment(as_of),
     }
@@ -181,7 +181,7 @@ def subscribe_new(
     today = F.lit(as_of).cast("date")
     plan = plans.filter(F.col("name") == plan_name).groupBy().agg(F.min("id").alias("plan_id"))
     new = tenants.select("shop_domain").distinct().join(subscriptions, "shop_domain", "left_anti")
-    kinds = {f.name: f.dataType for f in subscriptions.schema.fields}
+    kinds = {f.name: f.dataType.simpleString() for f in subscriptions.schema.fields}
     values = {
         "shop_domain": F.col("shop_domain"),
         "plan_id": plan.scalar(),

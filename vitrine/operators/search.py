@@ -343,7 +343,7 @@ def suggestions(catalog: DataFrame, partials: DataFrame, limit: int = 5) -> Data
     """
     counted = catalog.filter("available").groupBy("shop_domain", "title").agg(F.count(F.lit(1)).alias("frequency"))
     matched = counted.join(partials, "shop_domain").filter(
-        F.col("title").ilike(F.concat(F.lit("%"), F.col("partial"), F.lit("%")))
+        F.ilike("title", F.concat(F.lit("%"), F.col("partial"), F.lit("%")))
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("frequency"), "title")
     ranked = matched.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

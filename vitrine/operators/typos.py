@@ -25,23 +25,28 @@ def _literal_terms(vocabulary: DataFrame) -> list[str] | None:
 
 def best_matches(tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75) -> DataFrame:
     """Best vocabulary term per distinct token: ``token, best``, matches only."""
+    if threshold >= LOWEST_BLOCKED_THRESHOLD:
+        return joined_matches(tokens, vocabulary, threshold)
     terms = _literal_terms(vocabulary)
     if terms is None:
-        return joined_matches(tokens, vocabulary, threshold)
+        raise ValueError(f"a vocabulary this large needs a threshold of {LOWEST_BLOCKED_THRESHOLD} or more")
+    return literal_matches(tokens, terms, threshold)
+
+
+def literal_matches(tokens: DataFrame, terms: list[str], threshold: int = 75) -> DataFrame:
+    """Score each token against every term of a short list, for any threshold."""
     best = fuzzy.best_term(F.col("token"), fuzzy.vocabulary_literal(terms), threshold)
     return tokens.select("token", best.alias("best")).filter(F.col("best").isNotNull())
 
 
 def joined_matches(tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75) -> DataFrame:
-    """The same by an equi-join, for a vocabulary of any size.
+    """Matches by an equi-join, for a vocabulary of any size.
 
     A common subsequence of length L between words that are D insertions and
     deletions apart keeps at least ``L + 1 - D`` of the padded character pairs,
     and ``L >= D`` from a threshold of 67 on. So every matching pair of words
     shares a character pair, and the join on those loses none.
     """
-    if threshold < LOWEST_BLOCKED_THRESHOLD:
-        raise ValueError(f"a vocabulary this large needs a threshold of {LOWEST_BLOCKED_THRESHOLD} or more")
     limit = F.lit(int(threshold))
     left = tokens.select("token", F.length("token").alias("n"), F.explode(fuzzy.bigrams(F.col("token"))).alias("pair"))
     terms = vocabulary.select("term").distinct()

@@ -27,9 +27,13 @@ def with_tenant(catalog: DataFrame) -> DataFrame:
     )
 
 
-def read_payload(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue payload files ``{shop, products: [...]}``, one row per product."""
-    files = spark.read.schema(schemas.CATALOG_PAYLOAD).json(path, multiLine=True)
+def read_payload(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Catalogue payloads ``{shop, products: [...]}``, one row per product.
+
+    One payload per file, or one per line without ``multi_line``; only the
+    latter lets a large file be split over tasks.
+    """
+    files = spark.read.schema(schemas.CATALOG_PAYLOAD).json(path, multiLine=multi_line)
     products = files.select(F.col("shop").alias("shop_domain"), F.posexplode("products").alias("ordinal", "p"))
     return products.select(
         "shop_domain",
