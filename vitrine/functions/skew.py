@@ -15,6 +15,7 @@ def join(
     keys: list[str],
     how: str,
     spread: list[str],
+    counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -23,12 +24,11 @@ def join(
     Keys with more than ``hot_rows`` left rows are salted by the ``spread``
     columns, which must tell the left rows of one key apart; only the right
     rows of those keys are repeated. The list of hot keys has at most
-    ``rows / hot_rows`` entries, which bounds its broadcast.
+    ``rows / hot_rows`` entries, which bounds its broadcast. A caller that
+    counts the left keys anyway passes ``counts`` (keys and ``count``).
     """
-    hot = (
-        left.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    )
-    hot = F.broadcast(hot)
+    counted = left.groupBy(*keys).count() if counts is None else counts
+    hot = F.broadcast(counted.filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
     spread_salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
     salted_left = left.join(hot, keys, "left").withColumn(
         "_salt", F.when(F.col("_hot"), spread_salt).otherwise(F.lit(0))

@@ -116,15 +116,15 @@ def keyed(rows: DataFrame, text: str, model: str = seeds.DEFAULT_MODEL) -> DataF
 
 
 def distinct_texts(rows: DataFrame, text: str, model: str = seeds.DEFAULT_MODEL) -> DataFrame:
-    """Non-blank texts, once each, with their cache key."""
+    """Non-blank texts, once each, with their cache key and number of rows."""
     usable = keyed(rows.filter(F.trim(F.col(text)) != ""), text, model)
-    return usable.select("cache_key", F.col(text).alias("text")).dropDuplicates(["cache_key"])
+    return usable.groupBy("cache_key").agg(F.first(text).alias("text"), F.count(F.lit(1)).alias("count"))
 
 
 def cache_misses(rows: DataFrame, text: str, cache: DataFrame, as_of: datetime, model: str = seeds.DEFAULT_MODEL) -> DataFrame:
     """Distinct texts that have no live cache entry."""
     live = fresh_entries(cache, as_of).select("cache_key")
-    return distinct_texts(rows, text, model).join(live, "cache_key", "left_anti")
+    return distinct_texts(rows, text, model).select("cache_key", "text").join(live, "cache_key", "left_anti")
 
 
 def embed_through_cache(
@@ -143,10 +143,10 @@ def embed_through_cache(
     """
     added = embed_rows(cache_misses(rows, text, cache, as_of, model), "text", embedder).filter(F.col("status") == "ok")
     new_entries = added.select("cache_key", "embedding", F.lit(as_of).cast("timestamp_ntz").alias("cached_at"))
-    wanted = distinct_texts(rows, text, model).select("cache_key")
+    wanted = distinct_texts(rows, text, model)
     hits = fresh_entries(cache, as_of).join(wanted, "cache_key", "left_semi")
     known = hits.select("cache_key", "embedding").unionByName(new_entries.select("cache_key", "embedding"))
-    found = skew.join(keyed(rows, text, model), known, ["cache_key"], "left", spread=spread)
+    found = skew.join(keyed(rows, text, model), known, ["cache_key"], "left", spread=spread, counts=wanted)
     return found.drop("cache_key"), new_entries
 
 

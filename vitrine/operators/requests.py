@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
 from vitrine.functions import numeric as N
-from vitrine.operators import search, settings, typos
+from vitrine.operators import search, typos
+from vitrine.session import cut_lineage
 
 
 @dataclass
@@ -70,7 +71,8 @@ def answer(
         limited = requests.join(over, "shop_domain", "left_semi")
         requests = requests.join(over, "shop_domain", "left_anti")
     disabled = requests.join(config.filter("NOT ai_search_enabled").select("shop_domain"), "shop_domain", "left_semi")
-    asked = prepare(requests, config, vocabulary, embed)
+    # The prepared requests are read several times below; prepare them once.
+    asked = cut_lineage(prepare(requests, config, vocabulary, embed))
 
     hidden = J.flag("metadata", "archived")
     source = catalog.withColumn("archived", hidden)

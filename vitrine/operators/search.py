@@ -248,22 +248,24 @@ def blocked_partials(
     Rows of a cell are dealt to blocks by hash, the number of blocks following
     from the cell's size; a hot tenant or bucket thus becomes many groups.
     """
-    def sized(rows: DataFrame, block: int, name: str) -> DataFrame:
-        blocks = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("bigint")
-        return rows.groupBy("cell").agg(blocks.alias(name))
+    def blocks(block: int) -> Column:
+        return F.ceil(F.col("count") / F.lit(block)).cast("bigint")
 
+    product_counts = products.groupBy("cell").count()
+    request_counts = requests.groupBy("cell").count()
+    sizes = product_counts.select("cell", blocks(block_products).alias("p_blocks")).join(
+        request_counts.select("cell", blocks(block_requests).alias("q_blocks")), "cell"
+    )
     schema = _result_schema(requests)
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
-    sizes = sized(products, block_products, "p_blocks").join(sized(requests, block_requests, "q_blocks"), "cell")
-
     zero = F.lit(0).cast("bigint")
     dealt_products = (
-        skew.join(products, sizes, ["cell"], "inner", spread=["product_id", "shop_domain"])
+        skew.join(products, sizes, ["cell"], "inner", spread=["product_id", "shop_domain"], counts=product_counts)
         .withColumn("p_block", F.pmod(F.xxhash64("product_id", "shop_domain"), F.col("p_blocks")))
         .withColumn("q_block", F.explode(F.sequence(zero, F.col("q_blocks") - 1)))
     )
     dealt_requests = (
-        skew.join(requests, sizes, ["cell"], "inner", spread=["query_id"])
+        skew.join(requests, sizes, ["cell"], "inner", spread=["query_id"], counts=request_counts)
         .withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")))
         .withColumn("p_block", F.explode(F.sequence(zero, F.col("p_blocks") - 1)))
     )

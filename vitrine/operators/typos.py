@@ -10,24 +10,22 @@ from vitrine.functions.text import words
 
 MIN_WORD = 3
 MAX_LITERAL_TERMS = 256
+MAX_BROADCAST_TERMS = 100_000
 # Below this threshold two matching words need not share a character pair.
 LOWEST_BLOCKED_THRESHOLD = 67
 
 
-def _literal_terms(vocabulary: DataFrame) -> list[str] | None:
-    """The vocabulary as a list if it is small enough to be part of the plan."""
-    head = vocabulary.select("term").distinct().limit(MAX_LITERAL_TERMS + 1).collect()
-    terms = sorted(row["term"] for row in head)
-    if len(terms) > MAX_LITERAL_TERMS or any(len(t) > fuzzy.MASK_BITS for t in terms):
-        return None
-    return terms
+def _small_vocabulary(vocabulary: DataFrame, most: int) -> list[str] | None:
+    """The distinct terms if there are no more than ``most``."""
+    head = vocabulary.select("term").distinct().limit(most + 1).collect()
+    return None if len(head) > most else sorted(row["term"] for row in head)
 
 
 def best_matches(tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75) -> DataFrame:
     """Best vocabulary term per distinct token: ``token, best``, matches only."""
     if threshold >= LOWEST_BLOCKED_THRESHOLD:
         return joined_matches(tokens, vocabulary, threshold)
-    terms = _literal_terms(vocabulary)
+    terms = _small_vocabulary(vocabulary, MAX_LITERAL_TERMS)
     if terms is None:
         raise ValueError(f"a vocabulary this large needs a threshold of {LOWEST_BLOCKED_THRESHOLD} or more")
     return literal_matches(tokens, terms, threshold)
@@ -39,7 +37,9 @@ def literal_matches(tokens: DataFrame, terms: list[str], threshold: int = 75) ->
     return tokens.select("token", best.alias("best")).filter(F.col("best").isNotNull())
 
 
-def joined_matches(tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75) -> DataFrame:
+def joined_matches(
+    tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75, max_broadcast: int = MAX_BROADCAST_TERMS
+) -> DataFrame:
     """Matches by an equi-join, for a vocabulary of any size.
 
     A common subsequence of length L between words that are D insertions and
@@ -49,12 +49,20 @@ def joined_matches(tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75
     """
     limit = F.lit(int(threshold))
     left = tokens.select("token", F.length("token").alias("n"), F.explode(fuzzy.bigrams(F.col("token"))).alias("pair"))
-    terms = vocabulary.select("term").distinct()
+    small = _small_vocabulary(vocabulary, max_broadcast)
+    terms = (
+        vocabulary.select("term").distinct()
+        if small is None
+        else tokens.sparkSession.createDataFrame([(t,) for t in small], "term string")
+    )
     right = terms.select("term", F.length("term").alias("m"), F.explode(fuzzy.bigrams(F.col("term"))).alias("pair"))
+    if small is None:
+        paired = skew.join(left, right, ["pair"], "inner", spread=["token"])
+    else:
+        paired = left.join(F.broadcast(right), "pair")
     total = F.col("n") + F.col("m")
     shared = (
-        skew.join(left, right, ["pair"], "inner", spread=["token"])
-        .filter(F.least("n", "m") * 200 >= limit * total)
+        paired.filter(F.least("n", "m") * 200 >= limit * total)
         .select("token", "term", "n", "m")
         .distinct()
     )
@@ -74,9 +82,10 @@ def correct_queries(
     distinct word is matched once, however often it occurs.
     """
     listed = queries.select(F.col(id_column), F.posexplode(words(F.lower(F.col(text)))).alias("pos", "token"))
-    tokens = listed.filter(F.length("token") >= MIN_WORD).select("token").distinct()
+    counts = listed.groupBy("token").count()
+    tokens = counts.filter(F.length("token") >= MIN_WORD).select("token")
     fixes = best_matches(tokens, vocabulary, threshold).filter(F.col("best") != F.col("token"))
-    fixed = skew.join(listed, fixes, ["token"], "left", spread=[id_column, "pos"])
+    fixed = skew.join(listed, fixes, ["token"], "left", spread=[id_column, "pos"], counts=counts)
     word = F.struct("pos", F.coalesce("best", "token").alias("word"))
     rejoined = fixed.groupBy(id_column).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda w: w["word"]), " ").alias("corrected_query"),

@@ -6,7 +6,7 @@ import importlib
 
 from vitrine.plans.registry import ORACLES, QUERIES, Query
 
-_MODULES = ["search_queries", "table_queries", "analytics_queries"]
+_MODULES = ["search_queries", "table_queries", "analytics_queries", "stream_queries"]
 
 
 def _load() -> None:

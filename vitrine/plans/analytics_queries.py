@@ -432,12 +432,12 @@ def effective_limits(spark, sf_dir):
 SECRET = "window display"
 
 
-def signed_bodies(conversations):
+def signed_bodies(conversations, keep=()):
     """Conversation texts as signed bodies: every fifth turn unsigned, odd conversations
     signed with another secret."""
     right, wrong = signing.signature(SECRET, F.col("text")), signing.signature("not the " + SECRET, F.col("text"))
     signature = F.when(F.col("turn") % 5 == 4, F.lit(None)).when(F.col("conv_id") % 2 == 1, wrong).otherwise(right)
-    return conversations.select("conv_id", "turn", F.col("text").alias("body"), signature.alias("signature"))
+    return conversations.select("conv_id", "turn", F.col("text").alias("body"), signature.alias("signature"), *keep)
 
 
 def _hmac(secret: str) -> str:
