@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.functions import sizing
+from vitrine.session import cut_lineage
+
 HOT_ROWS = 1_000_000
 SALTS = 64
 
@@ -16,6 +19,7 @@ def join(
     how: str,
     spread: list[str],
     counts: DataFrame | None = None,
+    check_small: bool = False,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -25,8 +29,14 @@ def join(
     columns, which must tell the left rows of one key apart; only the right
     rows of those keys are repeated. The list of hot keys has at most
     ``rows / hot_rows`` entries, which bounds its broadcast. A caller that
-    counts the left keys anyway passes ``counts`` (keys and ``count``).
+    counts the left keys anyway passes ``counts`` (keys and ``count``). With
+    ``check_small`` the right side is computed and measured first, and simply
+    broadcast if it is small.
     """
+    if check_small:
+        right = cut_lineage(right)
+        if sizing.is_small(right):
+            return left.join(F.broadcast(right), keys, how)
     counted = left.groupBy(*keys).count() if counts is None else counts
     hot = F.broadcast(counted.filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot")))
     spread_salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import numeric as N
 from vitrine.functions import predicates as P
+from vitrine.functions import sizing
 
 
 def in_period(events: DataFrame, as_of: datetime, days: int = 7, shop: str | None = None) -> DataFrame:
@@ -129,7 +130,7 @@ def click_details(searches: DataFrame, products: DataFrame) -> DataFrame:
         .groupBy(F.col("clicked_product_id").alias("product_id"))
         .agg(F.count(F.lit(1)).alias("clicks"), F.min("clicked_position").alias("best_position"))
     )
-    return clicks.join(products, "product_id", "left")
+    return sizing.lookup(clicks, products, ["product_id"])
 
 
 def tenant_activity(events: DataFrame, tenants: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
-from vitrine.functions import skew
+from vitrine.functions import sizing, skew
 from vitrine.operators import merge
 
 KEYS = merge.PRODUCT_KEYS
@@ -20,7 +20,8 @@ def compare(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     Title and description compare null-safe, an absent incoming description
     counting as empty text; prices compare with NULL as zero. A new product is
     not a changed one. Repeated incoming keys are each compared with the stored
-    row, and may be numerous, hence the salted join.
+    row, and may be numerous, hence the salted join. A small snapshot's keys are
+    sent to the stored table, of which only the matching rows are shuffled.
     """
     old = stored.select(
         *KEYS,
@@ -29,7 +30,9 @@ def compare(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("_price"),
         F.lit(True).alias("_known"),
     )
-    joined = skew.join(incoming, old, KEYS, "left", spread=["ordinal"])
+    keys = incoming.groupBy(*KEYS).count()
+    wanted = sizing.small_side(keys.select(*KEYS))
+    joined = skew.join(incoming, old.join(wanted, KEYS, "left_semi"), KEYS, "left", spread=["ordinal"], counts=keys)
     known = F.coalesce("_known", F.lit(False))
     description = F.coalesce("description", F.lit(""))
     price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))

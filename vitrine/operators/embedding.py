@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from vitrine.functions import skew
 from vitrine.functions.text import cache_key
 from vitrine.operators import merge
+from vitrine.session import cut_lineage
 from vitrine.sources import seeds
 
 Embedder = Callable[[list[str]], np.ndarray]
@@ -141,12 +142,13 @@ def embed_through_cache(
     Each distinct text is looked up or embedded once. ``spread`` names columns
     that tell rows of equal text apart, as one text may be most of the input.
     """
-    added = embed_rows(cache_misses(rows, text, cache, as_of, model), "text", embedder).filter(F.col("status") == "ok")
+    added = embed_rows(cache_misses(rows, text, cache, as_of, model), "text", embedder)
+    added = cut_lineage(added.filter(F.col("status") == "ok"))
     new_entries = added.select("cache_key", "embedding", F.lit(as_of).cast("timestamp_ntz").alias("cached_at"))
     wanted = distinct_texts(rows, text, model)
     hits = fresh_entries(cache, as_of).join(wanted, "cache_key", "left_semi")
     known = hits.select("cache_key", "embedding").unionByName(new_entries.select("cache_key", "embedding"))
-    found = skew.join(keyed(rows, text, model), known, ["cache_key"], "left", spread=spread, counts=wanted)
+    found = skew.join(keyed(rows, text, model), known, ["cache_key"], "left", spread=spread, counts=wanted, check_small=True)
     return found.drop("cache_key"), new_entries
 
 
@@ -158,7 +160,7 @@ def regenerate(
     Returns the next catalogue and the per-row outcome; failed rows keep their
     old vector and flag.
     """
-    embedded = embed_rows(worklist.select(*merge.PRODUCT_KEYS, text), text, embedder)
+    embedded = cut_lineage(embed_rows(worklist.select(*merge.PRODUCT_KEYS, text), text, embedder))
     done = embedded.filter(F.col("status") == "ok").select(*merge.PRODUCT_KEYS, "embedding")
     snapshot, _ = merge.write_back_embeddings(catalog, done, as_of, clear=clear)
     return snapshot, embedded

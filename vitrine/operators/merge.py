@@ -1,8 +1,9 @@
 """Set-based writes: every upsert returns the next snapshot of a table.
 
 A merge is an update of the stored side by a left join plus an append of the
-incoming keys that were not found. With a small incoming batch both joins
-broadcast it, so the stored table, vectors included, is never shuffled.
+incoming keys that were not found. The incoming batch is computed once and
+measured; a small one is broadcast to both joins, so that the stored table,
+vectors included, is not shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
+from vitrine.functions import sizing
+from vitrine.session import cut_lineage
 from vitrine.sources import seeds
 
 PRODUCT_KEYS = ["shop_domain", "product_id"]
@@ -30,8 +33,9 @@ def keep_last(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> Dat
 
 
 def _unmatched(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows with no stored key; the stored side streams past the batch's keys."""
-    known = stored.select(*keys).join(incoming.select(*keys), keys, "left_semi")
+    """Incoming rows with no stored key; a small batch goes to the stored keys."""
+    wanted = sizing.small_side(incoming.select(*keys))
+    known = stored.select(*keys).join(wanted, keys, "left_semi")
     return incoming.join(known, keys, "left_anti")
 
 
@@ -45,7 +49,9 @@ def upsert(
     """General merge. In ``on_update`` incoming columns are named ``new.<column>``
     and stored ones ``old.<column>``; in ``on_insert`` plain names are incoming.
     Columns left out keep the stored value, or are NULL in a new row."""
-    old, new = stored.alias("old"), incoming.withColumn("_hit", F.lit(True)).alias("new")
+    incoming = cut_lineage(incoming)
+    hits = incoming.withColumn("_hit", F.lit(True))
+    old, new = stored.alias("old"), (F.broadcast(hits) if sizing.is_small(incoming) else hits).alias("new")
     matches = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
     joined = old.join(new, matches, "left")
     updated = joined.select(
@@ -94,7 +100,8 @@ def write_back_embeddings(
     stored: DataFrame, vectors: DataFrame, as_of: datetime, clear: str = "set_false"
 ) -> tuple[DataFrame, DataFrame]:
     """Store new vectors (keys plus ``embedding``) and settle the resync flag:
-    ``set_false`` writes it as false, ``remove`` deletes it.
+    ``set_false`` writes it as false, ``remove`` deletes it. ``vectors`` is read
+    several times; pass a stored or checkpointed table.
 
     Returns the next snapshot and the vectors whose product is unknown.
     """
@@ -108,7 +115,8 @@ def write_back_embeddings(
         "updated_at": _moment(as_of),
     }
     old = stored.alias("old")
-    new = vectors.select(*PRODUCT_KEYS, "embedding").withColumn("_hit", F.lit(True)).alias("new")
+    hits = vectors.select(*PRODUCT_KEYS, "embedding").withColumn("_hit", F.lit(True))
+    new = (F.broadcast(hits) if sizing.is_small(hits) else hits).alias("new")
     joined = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in PRODUCT_KEYS], "left")
     snapshot = joined.select(
         *[

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
+from vitrine.functions import sizing
 
 
 def settings_tenant(settings: DataFrame, tenants: DataFrame) -> DataFrame:
@@ -23,17 +24,18 @@ def settings_tenant(settings: DataFrame, tenants: DataFrame) -> DataFrame:
     )
     heads = F.array_append(F.transform(cuts, lambda i: F.substring(F.col("key"), F.lit(1), i - 1)), F.col("key"))
     offered = settings.select("key", F.explode(heads).alias("shop_domain"))
-    return offered.join(tenants.select("shop_domain").distinct(), "shop_domain", "left_semi")
+    return offered.join(tenants.select("shop_domain"), "shop_domain", "left_semi")
 
 
 def erase_tenants(tables: dict[str, DataFrame], tenants: DataFrame) -> dict[str, DataFrame]:
     """Tables without the tenants' rows. A table named ``settings`` goes by its keys,
     the others by ``shop_domain``."""
-    gone = tenants.select("shop_domain").distinct()
+    gone = sizing.small_side(tenants.select("shop_domain").distinct())
     kept = {}
     for name, table in tables.items():
         if name == "settings":
-            kept[name] = table.join(settings_tenant(table, gone).select("key").distinct(), "key", "left_anti")
+            owned = sizing.small_side(settings_tenant(table, gone).select("key").distinct())
+            kept[name] = table.join(owned, "key", "left_anti")
         else:
             kept[name] = table.join(gone, "shop_domain", "left_anti")
     return kept
@@ -41,7 +43,7 @@ def erase_tenants(tables: dict[str, DataFrame], tenants: DataFrame) -> dict[str,
 
 def erased_counts(tables: dict[str, DataFrame], tenants: DataFrame) -> DataFrame:
     """Rows an erasure removes, per tenant and table (0 where there are none)."""
-    gone = tenants.select("shop_domain").distinct()
+    gone = sizing.small_side(tenants.select("shop_domain").distinct())
     parts = []
     for name, table in tables.items():
         owned = settings_tenant(table, gone) if name == "settings" else table.join(gone, "shop_domain", "left_semi")

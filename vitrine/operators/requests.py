@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
 from vitrine.functions import numeric as N
+from vitrine.functions import sizing
 from vitrine.operators import search, typos
 from vitrine.session import cut_lineage
 
@@ -79,7 +80,7 @@ def answer(
     searched = source
     if archived_filter == "pre":
         excluding = config.filter("exclude_archived").select("shop_domain", F.lit(True).alias("_excluding"))
-        searched = source.join(F.broadcast(excluding), "shop_domain", "left").filter(
+        searched = source.join(sizing.small_side(excluding), "shop_domain", "left").filter(
             ~(F.coalesce("_excluding", F.lit(False)) & F.col("archived"))
         )
     found = search.top_k(searched, asked, by_tenant=True)

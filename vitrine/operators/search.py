@@ -21,8 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.functions import skew
+from vitrine.functions import sizing, skew
 from vitrine.functions.vectors import SIMILARITY_PLACES
+from vitrine.session import cut_lineage
 
 MAX_BROADCAST_REQUESTS = 4096
 MAX_BROADCAST_BYTES = 64 << 20
@@ -253,19 +254,28 @@ def blocked_partials(
 
     product_counts = products.groupBy("cell").count()
     request_counts = requests.groupBy("cell").count()
-    sizes = product_counts.select("cell", blocks(block_products).alias("p_blocks")).join(
-        request_counts.select("cell", blocks(block_requests).alias("q_blocks")), "cell"
+    sizes = cut_lineage(
+        product_counts.select("cell", blocks(block_products).alias("p_blocks")).join(
+            request_counts.select("cell", blocks(block_requests).alias("q_blocks")), "cell"
+        )
     )
+    small = sizing.is_small(sizes)
+
+    def deal(rows: DataFrame, spread: list[str], counts: DataFrame) -> DataFrame:
+        if small:
+            return rows.join(F.broadcast(sizes), "cell")
+        return skew.join(rows, sizes, ["cell"], "inner", spread=spread, counts=counts)
+
     schema = _result_schema(requests)
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
     zero = F.lit(0).cast("bigint")
     dealt_products = (
-        skew.join(products, sizes, ["cell"], "inner", spread=["product_id", "shop_domain"], counts=product_counts)
+        deal(products, ["product_id", "shop_domain"], product_counts)
         .withColumn("p_block", F.pmod(F.xxhash64("product_id", "shop_domain"), F.col("p_blocks")))
         .withColumn("q_block", F.explode(F.sequence(zero, F.col("q_blocks") - 1)))
     )
     dealt_requests = (
-        skew.join(requests, sizes, ["cell"], "inner", spread=["query_id"], counts=request_counts)
+        deal(requests, ["query_id"], request_counts)
         .withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")))
         .withColumn("p_block", F.explode(F.sequence(zero, F.col("p_blocks") - 1)))
     )
@@ -308,9 +318,14 @@ def top_k(
 
 
 def with_products(results: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame:
-    """Attach display columns after the ranking, so scoring reads none of them."""
+    """Attach display columns after the ranking, so scoring reads none of them.
+
+    The results are computed first and, small as they usually are, broadcast to
+    the catalogue's display columns.
+    """
     keys = ["product_id", "shop_domain"]
-    return results.join(catalog.select(*keys, *[c for c in columns if c not in keys]), keys)
+    shown = catalog.select(*keys, *[c for c in columns if c not in keys])
+    return shown.join(sizing.small_side(results), keys)
 
 
 def similar_products(catalog: DataFrame, anchors: DataFrame, k: int = 10) -> DataFrame:
@@ -324,7 +339,7 @@ def similar_products(catalog: DataFrame, anchors: DataFrame, k: int = 10) -> Dat
     source = catalog.select(
         F.col("product_id").alias("anchor_id"), F.col("shop_domain").alias("anchor_shop"), F.col("embedding").alias("qvec")
     )
-    asked = anchors.join(source, ["anchor_id", "anchor_shop"])
+    asked = source.join(sizing.small_side(anchors), ["anchor_id", "anchor_shop"])
     asked = asked.withColumn("query_id", F.concat_ws("\u0001", "anchor_id", "anchor_shop", "shop_domain"))
     shown = catalog.filter("available")
     found = top_k(shown, asked, k=k + 1, by_tenant=True)

@@ -85,7 +85,7 @@ def correct_queries(
     counts = listed.groupBy("token").count()
     tokens = counts.filter(F.length("token") >= MIN_WORD).select("token")
     fixes = best_matches(tokens, vocabulary, threshold).filter(F.col("best") != F.col("token"))
-    fixed = skew.join(listed, fixes, ["token"], "left", spread=[id_column, "pos"], counts=counts)
+    fixed = skew.join(listed, fixes, ["token"], "left", spread=[id_column, "pos"], counts=counts, check_small=True)
     word = F.struct("pos", F.coalesce("best", "token").alias("word"))
     rejoined = fixed.groupBy(id_column).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda w: w["word"]), " ").alias("corrected_query"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import predicates as P
+from vitrine.functions import sizing
 from vitrine.functions import vectors as V
 from vitrine.operators import ann, quality, requests, rerank, search, settings, typos
 from vitrine.plans import bindings as B
@@ -95,7 +96,7 @@ def vec_pairwise(spark, sf_dir):
     catalog = B.catalog(spark, sf_dir).filter(P.has_embedding()).select("product_id", "shop_domain", "embedding")
     means = V.mean_vectors(catalog, ["shop_domain"])
     a, b = F.col("embedding"), F.col("qvec")
-    return catalog.join(means, "shop_domain").select(
+    return catalog.join(sizing.small_side(means), "shop_domain").select(
         "product_id",
         "shop_domain",
         V.rounded(V.cosine_similarity(a, b)).alias("similarity"),

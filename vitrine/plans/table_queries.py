@@ -16,7 +16,7 @@ from vitrine.operators import coverage, diff, embedding, merge, metering, purge,
 from vitrine.plans import bindings as B
 from vitrine.plans import sql
 from vitrine.plans.registry import day, listed, moment, query
-from vitrine.session import fresh_dir
+from vitrine.session import cut_lineage, fresh_dir
 from vitrine.sources import catalog as C
 from vitrine.sources import seeds
 
@@ -233,7 +233,7 @@ def embedding_writeback(spark, sf_dir):
     vectors = stored.filter(P.has_embedding()).select(
         "shop_domain", "product_id", F.transform("embedding", lambda x: -x).alias("embedding")
     )
-    snapshot, _ = merge.write_back_embeddings(stored, vectors, LATER)
+    snapshot, _ = merge.write_back_embeddings(stored, cut_lineage(vectors), LATER)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return snapshot.select(
         "product_id", P.has_embedding().alias("has_embedding"), F.round(F.coalesce(total, F.lit(0.0)), 6).alias("total"),
@@ -250,7 +250,7 @@ def embedding_unknown_ids(spark, sf_dir):
     vectors = B.table(spark, sf_dir, "embeddings").select(
         F.lit("one").alias("shop_domain"), F.col("vec_id").cast("string").alias("product_id"), "embedding"
     )
-    _, unknown = merge.write_back_embeddings(stored, vectors, LATER)
+    _, unknown = merge.write_back_embeddings(stored, cut_lineage(vectors), LATER)
     return unknown.select("product_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine import schemas
 from vitrine.functions import jsonfields as J
+from vitrine.functions import sizing
 from vitrine.functions import text as X
 
 DISPLAY_COLUMNS = [
@@ -61,7 +62,7 @@ def read_payload(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 def lookup_products(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of the products named in ``wanted`` (its columns are the lookup key)."""
-    return catalog.join(wanted.distinct(), wanted.columns, "left_semi")
+    return catalog.join(sizing.small_side(wanted.distinct()), wanted.columns, "left_semi")
 
 
 def product_details(catalog: DataFrame) -> DataFrame:
