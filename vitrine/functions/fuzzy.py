@@ -72,9 +72,7 @@ def best_term(word: Column, vocabulary: Column, threshold: int) -> Column:
 def bigrams(word: Column) -> Column:
     """Distinct character pairs of a word, with markers before and after it."""
     padded = F.concat(F.lit("\u0002"), word, F.lit("\u0003"))
-    return F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2)))
-    )
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(..))"), 1))
 
 
 @F.pandas_udf("int")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.operators import search
+from vitrine.session import cut_lineage, fresh_dir
 
 LISTS = 100
 SAMPLE_PER_LIST = 256
@@ -79,15 +81,17 @@ def assign(catalog: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def build_index(catalog: DataFrame, lists: int = LISTS, seed: int = 7, path: str | None = None) -> BucketIndex:
-    """Train, assign and, with a ``path``, write the buckets as partitions there."""
+    """Train, assign, and write the buckets as partitions of a table at ``path``
+    (a new folder in the shared one by default). The rebalance hint splits a hot
+    bucket over several files."""
     centroids = train_centroids(catalog, lists, seed)
     assigned = assign(catalog, centroids)
-    if path is not None:
-        assigned.hint("rebalance", "cell").write.mode("errorifexists").partitionBy("cell").parquet(path)
-        schema = assigned.schema
-        assigned = assigned.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
-    radii = assigned.groupBy("cell").agg(F.max("angle").alias("radius"))
-    return BucketIndex(assigned, centroids, radii)
+    path = path or fresh_dir(catalog.sparkSession, "buckets")
+    assigned.hint("rebalance", "cell").write.mode("errorifexists").partitionBy("cell").parquet(path)
+    schema = assigned.schema
+    stored = assigned.sparkSession.read.schema(schema).parquet(path).select(*schema.names)
+    radii = cut_lineage(stored.groupBy("cell").agg(F.max("angle").alias("radius")))
+    return BucketIndex(stored, centroids, radii)
 
 
 def _bucket_angles(requests: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -104,13 +108,11 @@ def _bucket_angles(requests: DataFrame, centroids: np.ndarray) -> DataFrame:
     )
 
     @F.pandas_udf(found)
-    def angles(vectors):
+    def angles(vectors: pd.Series) -> pd.Series:
         centers = shared.value
         matrix = search._unit(np.array(vectors.tolist(), dtype=np.float64).reshape(-1, centers.shape[1]))
         theta = np.arccos(np.clip(np.nan_to_num(matrix) @ centers.T, -1.0, 1.0))
         order = np.argsort(np.argsort(theta, axis=1, kind="stable"), axis=1)
-        import pandas as pd
-
         return pd.Series(
             [
                 [{"cell": str(c), "theta": float(t), "nearness": int(o) + 1} for c, (t, o) in enumerate(zip(ts, os))]
@@ -122,14 +124,19 @@ def _bucket_angles(requests: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def _score(index: BucketIndex, requests: DataFrame, visits: DataFrame) -> DataFrame:
-    """Partial results of the requests in the buckets they visit."""
-    asked = requests.join(visits.select("query_id", "cell"), "query_id")
-    return search.blocked_partials(index.products.drop("angle"), asked, by_tenant=False)
+    """Partial results of the requests in the buckets they visit.
+
+    The visited buckets, at most one per centroid, become a partition filter.
+    """
+    asked = cut_lineage(requests.join(visits.select("query_id", "cell"), "query_id"))
+    cells = sorted(row["cell"] for row in asked.select("cell").distinct().collect())
+    products = index.products.drop("angle").filter(F.col("cell").isin(cells))
+    return search.blocked_partials(products, asked, by_tenant=False)
 
 
 def probe(index: BucketIndex, queries: DataFrame, k: int = 10, probes: int = 10) -> DataFrame:
     """Approximate top-k from each request's ``probes`` nearest buckets."""
-    requests = search._requests(queries, k)
+    requests = cut_lineage(search._requests(queries, k))
     visits = _bucket_angles(requests, index.centroids).filter(F.col("nearness") <= probes)
     return search.final_rank(_score(index, requests, visits))
 
@@ -142,9 +149,9 @@ def exact(index: BucketIndex, queries: DataFrame, k: int = 10, probes: int = 10)
     reach the k-th best similarity found by the probe, or the request's own
     threshold.
     """
-    requests = search._requests(queries, k)
+    requests = cut_lineage(search._requests(queries, k))
     angles = _bucket_angles(requests, index.centroids)
-    first = _score(index, requests, angles.filter(F.col("nearness") <= probes))
+    first = cut_lineage(_score(index, requests, angles.filter(F.col("nearness") <= probes)))
     reached = search.final_rank(first)
     floors = (
         reached.groupBy("query_id")

@@ -312,6 +312,7 @@ def top_k(
     if head.num_rows <= max_broadcast and head.nbytes <= MAX_BROADCAST_BYTES:
         partial = broadcast_partials(products, requests, head, by_tenant)
     else:
+        requests = cut_lineage(requests)
         cell = F.col("shop_domain") if by_tenant else F.lit("all")
         partial = blocked_partials(products.withColumn("cell", cell), requests.withColumn("cell", cell), by_tenant)
     return final_rank(partial)

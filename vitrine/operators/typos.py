@@ -44,27 +44,32 @@ def joined_matches(
 
     A common subsequence of length L between words that are D insertions and
     deletions apart keeps at least ``L + 1 - D`` of the padded character pairs,
-    and ``L >= D`` from a threshold of 67 on. So every matching pair of words
-    shares a character pair, and the join on those loses none.
+    which is one or more from a threshold of 67 on. So every matching pair of
+    words shares a character pair, and the join on those loses none. Repeated
+    character pairs of a word are joined once; their number (``extra``) is taken
+    off the required count.
     """
     limit = F.lit(int(threshold))
-    left = tokens.select("token", F.length("token").alias("n"), F.explode(fuzzy.bigrams(F.col("token"))).alias("pair"))
+    left = _paired(tokens, "token", "n", "token_extra")
     small = _small_vocabulary(vocabulary, max_broadcast)
     terms = (
         vocabulary.select("term").distinct()
         if small is None
         else tokens.sparkSession.createDataFrame([(t,) for t in small], "term string")
     )
-    right = terms.select("term", F.length("term").alias("m"), F.explode(fuzzy.bigrams(F.col("term"))).alias("pair"))
+    right = _paired(terms, "term", "m", "term_extra")
     if small is None:
         paired = skew.join(left, right, ["pair"], "inner", spread=["token"])
     else:
         paired = left.join(F.broadcast(right), "pair")
     total = F.col("n") + F.col("m")
+    lowest = F.ceil(limit * total / F.lit(200))
+    needed = lowest * 3 + 1 - total - F.least("token_extra", "term_extra")
     shared = (
         paired.filter(F.least("n", "m") * 200 >= limit * total)
-        .select("token", "term", "n", "m")
-        .distinct()
+        .groupBy("token", "term", "n", "m", "token_extra", "term_extra")
+        .agg(F.count(F.lit(1)).alias("pairs"))
+        .filter(F.col("pairs") >= needed)
     )
     hits = fuzzy.lcs_length("token", "term") * 200
     scored = shared.withColumn("hits", hits).filter(F.col("hits") >= limit * total)
@@ -72,6 +77,14 @@ def joined_matches(
     return scored.groupBy("token").agg(F.min(order)["term"].alias("best"))
 
 
+def _paired(words_of: DataFrame, name: str, length: str, extra: str) -> DataFrame:
+    """A row per word and distinct character pair, with the word's length and
+    how many of its pairs are repeats."""
+    sized = words_of.select(name, F.length(name).alias(length), fuzzy.bigrams(F.col(name)).alias("_pairs"))
+    repeats = (F.col(length) + 1 - F.size("_pairs")).alias(extra)
+    return sized.select(name, length, repeats, F.explode("_pairs").alias("pair"))
+
+
 def correct_queries(
     queries: DataFrame, vocabulary: DataFrame, threshold: int = 75, id_column: str = "query_id", text: str = "query"
 ) -> DataFrame:

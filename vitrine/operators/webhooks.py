@@ -21,7 +21,7 @@ def rejected(verified: DataFrame) -> DataFrame:
     return verified.filter(F.col("verdict") != "valid")
 
 
-def erase_requests(verified: DataFrame, topic: str = "shop/redact") -> DataFrame:
+def erase_requests(verified: DataFrame, topic: str = "tenant/erase") -> DataFrame:
     """Tenants named by valid erase requests."""
     asked = accepted(verified).filter(F.col("topic") == topic)
     return asked.select(F.get_json_object("body", "$.shop_domain").alias("shop_domain")).filter(

@@ -16,64 +16,77 @@ AS_OF_DATE = date(2024, 1, 31)
 SHOPS = 20
 
 
+# Schemas of the given tables, so that no read has to look into the files first.
+TABLES = {
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _shop(number) -> F.Column:
     return F.concat(F.lit("shop_"), (number % SHOPS).cast("string"))
 
 
+_METADATA = f"""to_json(named_struct(
+    'in_stock', p_size > 10, 'stock_quantity', greatest(p_size - 10, 0),
+    'sizes', array(cast(p_size as string), cast(p_size + 1 as string)),
+    'archived', p_size between 20 and 23, 'needs_resync', p_size >= 45,
+    'handle', lower(replace(p_name, ' ', '-')), 'shop', concat('shop_', p_partkey % {SHOPS})))"""
+
+# Catalogue columns over ``part``; the last ones are the storefront's own fields.
+_CATALOG = [
+    "cast(p_partkey as string) AS product_id",
+    f"concat('shop_', p_partkey % {SHOPS}) AS shop_domain",
+    "p_name AS title",
+    "description",
+    "cast(p_retailprice as decimal(10,2)) AS price",
+    "p_brand AS vendor",
+    "p_type AS category",
+    "split(p_name, ' ') AS tags",
+    "embedding",
+    f"{_METADATA} AS metadata",
+    "timestamp_ntz '2024-01-01 00:00:00' AS created_at",
+    "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, p_partkey) AS updated_at",
+    "p_partkey AS id",
+    "p_type AS product_type",
+    "cast(cast(p_retailprice as decimal(10,2)) as double) AS price_min",
+    "cast(cast(p_retailprice as decimal(10,2)) as double) + p_size AS price_max",
+    "p_size % 10 != 0 AS available",
+    "greatest(p_size - 10, 0) AS inventory_quantity",
+    "greatest(p_size - 10, 0) AS inventory",
+    "cast(p_size % 7 as double) AS popularity_score",
+    "p_size > 10 AS in_stock",
+    "label",
+]
+
+
 def catalog(spark: SparkSession, sf_dir: str, vectors: bool = True, descriptions: bool = False) -> DataFrame:
     """Products from ``part``; vectors from ``embeddings``, descriptions from ``documents``."""
     rows = table(spark, sf_dir, "part")
     if vectors:
-        found = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding", "label")
+        found = table(spark, sf_dir, "embeddings").selectExpr("vec_id AS p_partkey", "embedding", "label")
         rows = rows.join(found, "p_partkey", "left")
+    else:
+        rows = rows.selectExpr("*", "cast(null as array<float>) AS embedding", "cast(null as int) AS label")
     if descriptions:
-        texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("description"))
+        texts = table(spark, sf_dir, "documents").selectExpr("doc_id AS p_partkey", "text AS description")
         rows = rows.join(texts, "p_partkey", "left")
-    size = F.col("p_size")
-    metadata = F.to_json(
-        F.struct(
-            (size > 10).alias("in_stock"),
-            F.greatest(size - 10, F.lit(0)).alias("stock_quantity"),
-            F.array(size.cast("string"), (size + 1).cast("string")).alias("sizes"),
-            size.between(20, 23).alias("archived"),
-            (size >= 45).alias("needs_resync"),
-            F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("handle"),
-            _shop(F.col("p_partkey")).alias("shop"),
-        )
-    )
-    price = F.col("p_retailprice").cast("decimal(10,2)")
-    start = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")
-    columns = [
-        F.col("p_partkey").cast("string").alias("product_id"),
-        _shop(F.col("p_partkey")).alias("shop_domain"),
-        F.col("p_name").alias("title"),
-        F.col("description") if descriptions else F.lit(None).cast("string").alias("description"),
-        price.alias("price"),
-        F.col("p_brand").alias("vendor"),
-        F.col("p_type").alias("category"),
-        F.split("p_name", " ").alias("tags"),
-        F.col("embedding") if vectors else F.lit(None).cast("array<float>").alias("embedding"),
-        metadata.alias("metadata"),
-        start.alias("created_at"),
-        (start + F.make_dt_interval(secs=F.col("p_partkey"))).alias("updated_at"),
-        # Fields of the storefront's own product table.
-        F.col("p_partkey").alias("id"),
-        F.col("p_type").alias("product_type"),
-        price.cast("double").alias("price_min"),
-        (price.cast("double") + size).alias("price_max"),
-        (size % 10 != 0).alias("available"),
-        F.greatest(size - 10, F.lit(0)).alias("inventory_quantity"),
-        F.greatest(size - 10, F.lit(0)).alias("inventory"),
-        (size % 7).cast("double").alias("popularity_score"),
-        (size > 10).alias("in_stock"),
-    ]
-    if vectors:
-        columns.append(F.col("label"))
-    return rows.select(*columns)
+    else:
+        rows = rows.selectExpr("*", "cast(null as string) AS description")
+    return rows.selectExpr(*_CATALOG)
 
 
 def stored_catalog(spark: SparkSession, sf_dir: str, descriptions: bool = True) -> DataFrame:

@@ -140,6 +140,6 @@ def stream_erase_requests(spark, sf_dir):
     path = fresh_dir(spark, "erase")
     body = F.to_json(F.struct(F.concat(F.lit("shop_"), F.col("conv_id").cast("string")).alias("shop_domain"), F.col("text").alias("note")))
     payloads = A.signed_bodies(stream.withColumn("text", body).withColumn("_role", F.col("role")), ["_role"])
-    payloads = payloads.withColumn("topic", F.when(F.col("_role") == "user", "shop/redact").otherwise("other")).drop("_role")
+    payloads = payloads.withColumn("topic", F.when(F.col("_role") == "user", "tenant/erase").otherwise("other")).drop("_role")
     jobs.drain(payloads, jobs.webhook_intake(path, A.SECRET), f"{path}/checkpoint", mode="append")
     return spark.read.schema("shop_domain string").parquet(f"{path}/erase").select("shop_domain").distinct()
