@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MASK_BITS = 62
 
@@ -75,7 +76,7 @@ def bigrams(word: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(..))"), 1))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     """Longest common subsequence of two words of any length."""
 

@@ -36,7 +36,8 @@ def train_centroids(catalog: DataFrame, lists: int = LISTS, seed: int = 7, max_i
     The sample only shapes the buckets; every vector is assigned to one. The
     result has ``lists`` rows, whatever the catalogue's size.
     """
-    vectors = catalog.filter(F.col("embedding").isNotNull()).select("embedding")
+    # Zero vectors have no direction to cluster by, and are nobody's neighbour.
+    vectors = catalog.select("embedding").filter(F.exists("embedding", lambda x: x != 0))
     total = vectors.count()
     if total == 0:
         raise ValueError("no vectors to train on")
