@@ -138,6 +138,17 @@ def test_suggestions(spark):
     assert [(r["title"], r["frequency"]) for r in found] == [("Blue shoe", 3), ("Red shoe", 3), ("Shoe box", 1)]
 
 
+def test_suggestions_by_rarest_letters(spark):
+    titles = [("s", f"{a} {b}", True) for a in ("Red", "blue", "GREEN", "greenish", "50%") for b in ("shoe", "Shoes", "hat", "s_x")] * 2
+    catalog = spark.createDataFrame(titles + [("t", "red hat", True)], "shop_domain string, title string, available boolean")
+    texts = ["red", "SHOE", "een", "hat", "e", "zzz", "50%", "s_o", "d sho", "greens"]
+    asked = spark.createDataFrame([(f"{shop}{i}", shop, p) for i, p in enumerate(texts) for shop in ("s", "t")], "query_id string, shop_domain string, partial string")
+    direct = search.suggestions(catalog, asked, limit=4)
+    joined = search.suggestions(catalog, asked, limit=4, direct_per_tenant=0)
+    assert {tuple(r) for r in joined.collect()} == {tuple(r) for r in direct.collect()}
+    assert direct.count() > 20
+
+
 RESULTS = "query_id string, id string, price double, vendor string, inventory int, similarity double, rank int, tags array<string>"
 SAMPLE = [
     ("q", "prod_001", 129.99, "Nike", 45, 0.92, 1, ["running"]),

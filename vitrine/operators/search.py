@@ -25,12 +25,15 @@ from vitrine.functions import sizing, skew
 from vitrine.functions.vectors import SIMILARITY_PLACES
 from vitrine.session import cut_lineage
 
-MAX_BROADCAST_REQUESTS = 4096
+MAX_BROADCAST_REQUESTS = 16384
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_RESULTS = 1000
 BLOCK_PRODUCTS = 16384
-BLOCK_REQUESTS = 1024
+BLOCK_REQUESTS = 8192
+# Scores computed at once in a task (32 MB of doubles).
+SCORES_AT_ONCE = 4 << 20
 MAX_PUSHED_TENANTS = 1000
+MAX_DIRECT_PARTIALS = 1000
 
 _OPTIONAL = {
     "shop_domain": "string",
@@ -114,7 +117,7 @@ class _BestRows:
         price = column["price"].to_numpy(zero_copy_only=False).astype(np.float64)
         stock = np.array(column["in_stock"].to_numpy(zero_copy_only=False), dtype=bool)
         if not self.by_tenant:
-            self._score(column, vectors, price, stock, np.arange(batch.num_rows), np.arange(len(self.cut)))
+            self._score_in_parts(column, vectors, price, stock, np.arange(batch.num_rows), np.arange(len(self.cut)))
             return
         codes = column["shop_domain"].dictionary_encode()
         names = codes.dictionary.to_pylist()
@@ -122,7 +125,12 @@ class _BestRows:
         for code, name in enumerate(names):
             asked = self.members.get(name)
             if asked is not None:
-                self._score(column, vectors, price, stock, np.flatnonzero(index == code), asked)
+                self._score_in_parts(column, vectors, price, stock, np.flatnonzero(index == code), asked)
+
+    def _score_in_parts(self, column, vectors, price, stock, rows, asked) -> None:
+        step = max(1, SCORES_AT_ONCE // max(1, len(asked)))
+        for start in range(0, len(rows), step):
+            self._score(column, vectors, price, stock, rows[start : start + step], asked)
 
     def _score(self, column, vectors, price, stock, rows, asked) -> None:
         want = self.requests
@@ -353,16 +361,45 @@ def similar_products(catalog: DataFrame, anchors: DataFrame, k: int = 10) -> Dat
     return named.filter(other).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def suggestions(catalog: DataFrame, partials: DataFrame, limit: int = 5) -> DataFrame:
+def suggestions(
+    catalog: DataFrame, partials: DataFrame, limit: int = 5, direct_per_tenant: int = MAX_DIRECT_PARTIALS
+) -> DataFrame:
     """Titles containing a partial query, most frequent first, per request.
 
-    ``partials`` has ``query_id, shop_domain, partial``. Titles are counted per
-    tenant before they meet the requests.
+    ``partials`` has ``query_id, shop_domain, partial``; ``%`` and ``_`` in a
+    partial are wildcards. Titles are counted per tenant before they meet the
+    requests. Where a tenant has more than ``direct_per_tenant`` partials, its
+    titles are not tried one by one: a title can only contain a partial if it
+    contains the partial's rarest three letters, and those are joined on.
+    Partials too short for that, or with wildcards, are tried directly.
     """
     counted = catalog.filter("available").groupBy("shop_domain", "title").agg(F.count(F.lit(1)).alias("frequency"))
-    matched = counted.join(partials, "shop_domain").filter(
-        F.ilike("title", F.concat(F.lit("%"), F.col("partial"), F.lit("%")))
+    asked = partials.select("query_id", "shop_domain", "partial")
+    busy = sizing.small_side(
+        asked.groupBy("shop_domain").count().filter(F.col("count") > direct_per_tenant).select("shop_domain")
     )
+    plain = (F.length("partial") >= 3) & ~F.col("partial").rlike(r"[%_\\]")
+    many = asked.join(busy, "shop_domain", "left_semi").filter(plain)
+    few = sizing.small_side(asked.join(many.select("query_id"), "query_id", "left_anti"))
+    contains = F.ilike("title", F.concat(F.lit("%"), F.col("partial"), F.lit("%")))
+    columns = ["query_id", "shop_domain", "title", "frequency"]
+    matched = counted.join(few, "shop_domain").filter(contains).select(*columns)
+    if not many.isEmpty():
+        matched = matched.unionByName(_by_rarest_letters(counted, many).filter(contains).select(*columns))
     order = Window.partitionBy("query_id").orderBy(F.desc("frequency"), "title")
     ranked = matched.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
-    return ranked.select("query_id", "shop_domain", "title", "frequency", "rank")
+    return ranked.select(*columns, "rank")
+
+
+def _by_rarest_letters(counted: DataFrame, partials: DataFrame) -> DataFrame:
+    """Pairs of title and partial that share the partial's rarest three letters."""
+
+    def letters(text: str) -> Column:
+        return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), 1))
+
+    keys = ["shop_domain", "letters"]
+    titles = counted.withColumn("letters", F.explode(letters("title")))
+    counts = titles.groupBy(*keys).count()
+    candidates = partials.withColumn("letters", F.explode(letters("partial"))).join(counts, keys)
+    rarest = candidates.groupBy("query_id", "shop_domain", "partial").agg(F.min_by("letters", "count").alias("letters"))
+    return skew.join(titles, rarest, keys, "inner", spread=["title"], counts=counts)

@@ -55,9 +55,11 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder (survives executor loss)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(fresh_dir(spark, "checkpoint"))
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table in the shared folder.
+
+    It survives the loss of executors, and later reads of it still prune
+    columns and push filters down. The folder is the cluster's to clean.
+    """
+    path = fresh_dir(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
