@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +31,30 @@ def _width(field: T.StructField) -> Column:
     return F.coalesce(F.greatest(size, F.lit(8).cast("bigint")), F.lit(8).cast("bigint"))
 
 
+def _total_bytes(rows: DataFrame) -> Column:
+    row = reduce(lambda a, b: a + b, [_width(f) for f in rows.schema.fields], F.lit(16).cast("bigint"))
+    return F.coalesce(F.sum(row), F.lit(0)).alias("bytes")
+
+
 def is_small(rows: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     """Whether the rows take no more than ``max_bytes``, by their own widths."""
-    row = reduce(lambda a, b: a + b, [_width(f) for f in rows.schema.fields], F.lit(16).cast("bigint"))
-    total = rows.agg(F.sum(row).alias("bytes")).first()["bytes"]
-    return total is None or total <= max_bytes
+    return rows.agg(_total_bytes(rows)).first()["bytes"] <= max_bytes
+
+
+def settle(rows: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The rows computed once and kept, and whether they are small.
+
+    The size is observed while they are written, so it costs no further pass.
+    """
+    size = Observation()
+    kept = cut_lineage(rows.observe(size, _total_bytes(rows)))
+    return kept, size.get["bytes"] <= max_bytes
 
 
 def small_side(rows: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """The rows computed once, marked for broadcast if they are small."""
-    kept = cut_lineage(rows)
-    return F.broadcast(kept) if is_small(kept, max_bytes) else kept
+    kept, small = settle(rows, max_bytes)
+    return F.broadcast(kept) if small else kept
 
 
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.session import cut_lineage
 
 HOT_ROWS = 1_000_000
 SALTS = 64
@@ -34,8 +33,8 @@ def join(
     broadcast if it is small.
     """
     if check_small:
-        right = cut_lineage(right)
-        if sizing.is_small(right):
+        right, small = sizing.settle(right)
+        if small:
             return left.join(F.broadcast(right), keys, how)
     counted = left.groupBy(*keys).count() if counts is None else counts
     hot = F.broadcast(counted.filter(F.col("count") > hot_rows).select(*keys, F.lit(True).alias("_hot")))

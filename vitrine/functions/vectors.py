@@ -37,6 +37,11 @@ def rounded(similarity: Column) -> Column:
     return F.round(similarity, SIMILARITY_PLACES)
 
 
+def shown(similarity: Column) -> Column:
+    """Similarity as ``DECIMAL(5,4)``, half-up."""
+    return similarity.cast("decimal(10,6)").cast("decimal(5,4)")
+
+
 def to_text(vector: Column) -> Column:
     """``[x,y,...]``"""
     return F.concat(F.lit("["), F.array_join(vector.cast("array<string>"), ","), F.lit("]"))

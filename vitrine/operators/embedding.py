@@ -8,6 +8,7 @@ fixed number of dimensions.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -33,9 +34,9 @@ def hashing_embedder(dim: int) -> Embedder:
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float64)
         for row, text in enumerate(texts):
-            for word in text.lower().split():
+            for word, times in Counter(text.lower().split()).items():
                 digest = zlib.crc32(word.encode())
-                out[row, digest % dim] += 1.0 if digest & 0x10000 else -1.0
+                out[row, digest % dim] += times if digest & 0x10000 else -times
             # Words that cancel out must not leave a zero vector.
             if not out[row].any():
                 out[row, zlib.crc32(text.encode()) % dim] = 1.0

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
 from vitrine.functions import sizing
-from vitrine.session import cut_lineage
 from vitrine.sources import seeds
 
 PRODUCT_KEYS = ["shop_domain", "product_id"]
@@ -32,9 +31,11 @@ def keep_last(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> Dat
     return last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
-def _unmatched(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
+def _unmatched(incoming: DataFrame, stored: DataFrame, keys: list[str], small: bool) -> DataFrame:
     """Incoming rows with no stored key; a small batch goes to the stored keys."""
-    wanted = sizing.small_side(incoming.select(*keys))
+    wanted = incoming.select(*keys)
+    if small or sizing.is_small(wanted):
+        wanted = F.broadcast(wanted)
     known = stored.select(*keys).join(wanted, keys, "left_semi")
     return incoming.join(known, keys, "left_anti")
 
@@ -49,9 +50,9 @@ def upsert(
     """General merge. In ``on_update`` incoming columns are named ``new.<column>``
     and stored ones ``old.<column>``; in ``on_insert`` plain names are incoming.
     Columns left out keep the stored value, or are NULL in a new row."""
-    incoming = cut_lineage(incoming)
+    incoming, small = sizing.settle(incoming)
     hits = incoming.withColumn("_hit", F.lit(True))
-    old, new = stored.alias("old"), (F.broadcast(hits) if sizing.is_small(incoming) else hits).alias("new")
+    old, new = stored.alias("old"), (F.broadcast(hits) if small else hits).alias("new")
     matches = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
     joined = old.join(new, matches, "left")
     updated = joined.select(
@@ -63,7 +64,7 @@ def upsert(
         ]
     )
     kinds = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
-    inserted = _unmatched(incoming, stored, keys).select(
+    inserted = _unmatched(incoming, stored, keys, small).select(
         *[on_insert.get(c, F.col(c) if c in keys else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns]
     )
     return updated.unionByName(inserted)
@@ -116,7 +117,8 @@ def write_back_embeddings(
     }
     old = stored.alias("old")
     hits = vectors.select(*PRODUCT_KEYS, "embedding").withColumn("_hit", F.lit(True))
-    new = (F.broadcast(hits) if sizing.is_small(hits) else hits).alias("new")
+    small = sizing.is_small(hits)
+    new = (F.broadcast(hits) if small else hits).alias("new")
     joined = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in PRODUCT_KEYS], "left")
     snapshot = joined.select(
         *[
@@ -126,7 +128,7 @@ def write_back_embeddings(
             for c in stored.columns
         ]
     )
-    return snapshot, _unmatched(vectors, stored, PRODUCT_KEYS)
+    return snapshot, _unmatched(vectors, stored, PRODUCT_KEYS, small)
 
 
 def add_usage(stored: DataFrame, increments: DataFrame) -> DataFrame:

@@ -262,12 +262,11 @@ def blocked_partials(
 
     product_counts = products.groupBy("cell").count()
     request_counts = requests.groupBy("cell").count()
-    sizes = cut_lineage(
+    sizes, small = sizing.settle(
         product_counts.select("cell", blocks(block_products).alias("p_blocks")).join(
             request_counts.select("cell", blocks(block_requests).alias("q_blocks")), "cell"
         )
     )
-    small = sizing.is_small(sizes)
 
     def deal(rows: DataFrame, spread: list[str], counts: DataFrame) -> DataFrame:
         if small:

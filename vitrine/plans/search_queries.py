@@ -119,7 +119,7 @@ final AS (
          * CASE WHEN price_min >= 905 AND price_max <= 935 THEN 1.05::DOUBLE ELSE 1.0::DOUBLE END
          * (1 + popularity_score / 100), 12) AS final_score FROM top
 )
-SELECT query_id, product_id, similarity, rank, final_score, CAST(similarity AS DECIMAL(5,4))::DOUBLE AS shown_similarity,
+SELECT query_id, product_id, similarity, rank, final_score, CAST(CAST(similarity AS DECIMAL(10,6)) AS DECIMAL(5,4))::DOUBLE AS shown_similarity,
        row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, rank) AS final_rank
 FROM final"""
 )
@@ -137,7 +137,7 @@ def vec_storefront_search(spark, sf_dir):
     ranked = rerank.storefront_rerank(shown, preferred_range=(905.0, 935.0))
     return ranked.select(
         "query_id", "product_id", "similarity", "rank", "final_score",
-        F.col("similarity").cast("decimal(5,4)").cast("double").alias("shown_similarity"), "final_rank",
+        V.shown(F.col("similarity")).cast("double").alias("shown_similarity"), "final_rank",
     )
 
 
