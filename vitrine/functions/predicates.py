@@ -90,12 +90,6 @@ def not_blank(column: str) -> Column:
     return F.length(F.trim(F.regexp_replace(F.coalesce(column, F.lit("")), r"(?U)\s+", " "))) > 0
 
 
-def settings_of(shop: Column) -> Column:
-    """Setting keys that belong to one tenant: its name, or its name plus ``:`` or ``_``."""
-    key = F.col("key")
-    return (key == shop) | key.startswith(F.concat(shop, F.lit(":"))) | key.startswith(F.concat(shop, F.lit("_")))
-
-
 def product_filters(
     price_min: float | None = None,
     price_max: float | None = None,

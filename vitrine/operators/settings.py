@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
+from vitrine.functions import text as X
 from vitrine.sources import seeds
 
 CONFIG_KEY = "ai_search"
@@ -30,3 +31,11 @@ def tenant_config(settings: DataFrame, tenants: DataFrame, defaults: dict | None
     joined = keyed.join(settings.select("key", "value"), "key", "left")
     fields = config_columns(F.col("value"), defaults or seeds.DEFAULT_CONFIG)
     return joined.select("shop_domain", *[column.alias(name) for name, column in fields.items()])
+
+
+def ping_writes(pings: DataFrame) -> DataFrame:
+    """Storefront pings (``shop`` as a URL or host, ``value``, ``updated_at``) as
+    settings writes for ``merge.last_write_wins``; pings without a shop are dropped."""
+    host = X.tenant_host(F.col("shop"))
+    named = pings.filter(F.coalesce(host, F.lit("")) != "")
+    return named.select(X.settings_key(host, "last_active").alias("key"), "value", "updated_at")

@@ -285,6 +285,25 @@ def settings_lww(spark, sf_dir):
     return merge.last_write_wins(stored, late).withColumn("updated_at", moment("updated_at"))
 
 
+@query(
+    f"""WITH writes AS (
+  SELECT string_split(regexp_replace(url, 'https?://', '', 'g'), '/')[1] || ':last_active' AS key, CAST(page_id AS VARCHAR) AS value,
+         TIMESTAMP '2024-01-01' + to_seconds(page_id) AS updated_at FROM pages
+)
+SELECT key, value, {sql.moment('updated_at')} AS updated_at FROM writes
+QUALIFY row_number() OVER (PARTITION BY key ORDER BY writes.updated_at DESC) = 1"""
+)
+def ping_settings(spark, sf_dir):
+    """Pings by storefront URL as settings, the last one per tenant kept."""
+    pings = B.table(spark, sf_dir, "pages").select(
+        F.col("url").alias("shop"),
+        F.col("page_id").cast("string").alias("value"),
+        (F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("page_id"))).alias("updated_at"),
+    )
+    writes = settings.ping_writes(pings)
+    return merge.last_write_wins(writes.filter("false"), writes).withColumn("updated_at", moment("updated_at"))
+
+
 @query(
     f"""WITH {sql.plans()}, {sql.subscriptions({s: [n for n, *_ in seeds.PLAN_ROWS].index(p) + 1 for s, p in B.SEGMENT_PLANS.items()})},
 asked AS (
