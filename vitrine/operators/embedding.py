@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.functions import predicates as P
 from vitrine.functions import skew
 from vitrine.functions.text import cache_key
 from vitrine.operators import merge
@@ -119,7 +120,7 @@ def keyed(rows: DataFrame, text: str, model: str = seeds.DEFAULT_MODEL) -> DataF
 
 def distinct_texts(rows: DataFrame, text: str, model: str = seeds.DEFAULT_MODEL) -> DataFrame:
     """Non-blank texts, once each, with their cache key and number of rows."""
-    usable = keyed(rows.filter(F.trim(F.col(text)) != ""), text, model)
+    usable = keyed(rows.filter(P.not_blank(text)), text, model)
     return usable.groupBy("cache_key").agg(F.first(text).alias("text"), F.count(F.lit(1)).alias("count"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import numeric as N
+from vitrine.functions import sizing
 
 
 def quality_metrics(results: DataFrame, expected: DataFrame, queries: DataFrame) -> DataFrame:
@@ -13,10 +14,14 @@ def quality_metrics(results: DataFrame, expected: DataFrame, queries: DataFrame)
 
     ``results`` and ``expected`` have ``query_id, product_id, shop_domain``;
     ``queries`` lists every query, so one without results still gets a row.
+    The results are computed once and go to the expected rows, which may be as
+    many as the products.
     """
     keys = ["query_id", "product_id", "shop_domain"]
-    returned = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"))
-    hits = results.join(expected, keys, "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    found = sizing.small_side(results.select(*keys).distinct())
+    returned = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("returned"))
+    hits = expected.select(*keys).join(found, keys, "left_semi").distinct()
+    hits = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     wanted = expected.groupBy("query_id").agg(F.count(F.lit(1)).alias("expected"))
     joined = queries.select("query_id").distinct()
     for part in (returned, hits, wanted):

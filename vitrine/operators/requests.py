@@ -66,9 +66,10 @@ def answer(
     products leave after the top-k (``post``), so fewer than k rows may remain,
     or before it (``pre``).
     """
+    config = sizing.small_side(config)
     limited = requests.limit(0)
     if limits is not None:
-        over = limits.filter("searches_exceeded").select(F.col("shop").alias("shop_domain"))
+        over = sizing.small_side(limits.filter("searches_exceeded").select(F.col("shop").alias("shop_domain")))
         limited = requests.join(over, "shop_domain", "left_semi")
         requests = requests.join(over, "shop_domain", "left_anti")
     disabled = requests.join(config.filter("NOT ai_search_enabled").select("shop_domain"), "shop_domain", "left_semi")

@@ -68,7 +68,9 @@ class _Requests:
     def __init__(self, table: pa.Table):
         columns = {name: table.column(name) for name in table.column_names}
         self.ids = columns["query_id"].to_pylist()
-        self.vectors = _unit(np.array(columns["qvec"].to_pylist(), dtype=np.float64))
+        vectors = columns["qvec"].combine_chunks()
+        dim = len(vectors[0]) if len(vectors) else 0
+        self.vectors = _unit(_matrix(vectors, dim))
         self.shops = columns["shop_domain"].to_pylist()
         self.k = np.array(columns["k"].to_pylist(), dtype=np.int64)
         self.floor = _floats(columns["min_similarity"])
@@ -91,7 +93,9 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    if len(lengths) and not (lengths == dim).all():
+    if not len(lengths):
+        return np.empty((0, dim))
+    if not (lengths == dim).all():
         raise ValueError(f"embedding length differs from the request vectors' {dim}")
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 

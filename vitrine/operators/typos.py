@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions import fuzzy, skew
+from vitrine.functions import fuzzy, sizing, skew
 from vitrine.functions.text import words
 
 MIN_WORD = 3
@@ -86,28 +87,64 @@ def _paired(words_of: DataFrame, name: str, length: str, extra: str) -> DataFram
 
 
 def correct_queries(
-    queries: DataFrame, vocabulary: DataFrame, threshold: int = 75, id_column: str = "query_id", text: str = "query"
+    queries: DataFrame,
+    vocabulary: DataFrame,
+    threshold: int = 75,
+    id_column: str = "query_id",
+    text: str = "query",
+    max_fix_bytes: int = sizing.MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """``id, query, corrected_query, was_corrected`` for whole texts.
+    """``queries`` with ``corrected_query, was_corrected``, for whole texts.
 
     Words are lower-cased; words of one or two characters stay; the result is
     rejoined with single blanks even where nothing was corrected. Every
-    distinct word is matched once, however often it occurs.
+    distinct word is matched once, however often it occurs. The words to
+    replace are measured: few are broadcast and applied in place, so texts are
+    not shuffled; many are joined to the texts' words.
     """
-    listed = queries.select(F.col(id_column), F.posexplode(words(F.lower(F.col(text)))).alias("pos", "token"))
-    counts = listed.groupBy("token").count()
+    split = queries.withColumn("_words", words(F.lower(F.col(text))))
+    counts = split.select(F.explode("_words").alias("token")).groupBy("token").count()
     tokens = counts.filter(F.length("token") >= MIN_WORD).select("token")
     fixes = best_matches(tokens, vocabulary, threshold).filter(F.col("best") != F.col("token"))
-    fixed = skew.join(listed, fixes, ["token"], "left", spread=[id_column, "pos"], counts=counts, check_small=True)
-    word = F.struct("pos", F.coalesce("best", "token").alias("word"))
-    rejoined = fixed.groupBy(id_column).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda w: w["word"]), " ").alias("corrected_query"),
-        F.coalesce(F.bool_or(F.col("best").isNotNull()), F.lit(False)).alias("was_corrected"),
-    )
-    return queries.join(rejoined, id_column, "left").select(
+    fixes, small = sizing.settle(fixes, max_fix_bytes)
+    if small:
+        made = split.withColumn("_made", _replace_words(fixes)(F.col("_words")))
+        corrected, changed = F.col("_made.corrected"), F.col("_made.changed")
+    else:
+        made = split.join(_rejoined(split, fixes, counts, id_column), id_column, "left")
+        corrected, changed = F.col("_corrected"), F.col("_changed")
+    return made.select(
         *queries.columns,
-        F.coalesce("corrected_query", F.lit("")).alias("corrected_query"),
-        F.coalesce("was_corrected", F.lit(False)).alias("was_corrected"),
+        F.coalesce(corrected, F.lit("")).alias("corrected_query"),
+        F.coalesce(changed, F.lit(False)).alias("was_corrected"),
+    )
+
+
+def _replace_words(fixes: DataFrame):
+    """Replacement of single words by a broadcast table, over Arrow batches."""
+    shared = fixes.sparkSession.sparkContext.broadcast({r["token"]: r["best"] for r in fixes.collect()})
+
+    @F.pandas_udf("corrected string, changed boolean")
+    def replace(lists: pd.Series) -> pd.DataFrame:
+        table = shared.value
+        made, changed = [], []
+        for item in lists:
+            item = [] if item is None else item
+            made.append(" ".join(table.get(w, w) for w in item))
+            changed.append(any(w in table for w in item))
+        return pd.DataFrame({"corrected": made, "changed": changed})
+
+    return replace
+
+
+def _rejoined(split: DataFrame, fixes: DataFrame, counts: DataFrame, id_column: str) -> DataFrame:
+    """Texts put together again from their words and the words' replacements."""
+    listed = split.select(F.col(id_column), F.posexplode("_words").alias("pos", "token"))
+    fixed = skew.join(listed, fixes, ["token"], "left", spread=[id_column, "pos"], counts=counts)
+    word = F.struct("pos", F.coalesce("best", "token").alias("word"))
+    return fixed.groupBy(id_column).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda w: w["word"]), " ").alias("_corrected"),
+        F.bool_or(F.col("best").isNotNull()).alias("_changed"),
     )
 
 
