@@ -10,9 +10,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from vitrine.plans import all_oracles, all_queries
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = all_queries()
+ORACLES = all_oracles()
 ROWS_ONLY = {"ivf_probe", "embed_batch"}
 
 
