@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import exact
+from vitrine.llm import bpe, exact
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +55,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (keep == F.col("doc_id")).alias("kept"),
         "text_sha256",
     )
+
+
+def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Per document its number of tokens and hashes of its ids and of what they decode to."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    encoded = bpe.encode(docs, path).select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        "ids",
+    )
+    decoded = bpe.decode(encoded, path, ["doc_id", "n_tokens", "ids_sha256"])
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"))
