@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, exact
+from vitrine.llm import bpe, exact, licences
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -73,3 +73,24 @@ def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 @query()
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
+
+
+def _labels(spans: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+
+@query()
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    phrases = F.filter(spans, lambda s: s["phrase"])
+    starts = F.transform(phrases, lambda s: s["start"])
+    return licences.scan(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size(phrases).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        _labels(phrases).alias("base_labels"),
+        _labels(spans).alias("labels"),
+        F.coalesce(F.array_max(F.transform(spans, lambda s: s["covered"])), F.lit(0.0)).alias("score"),
+    )
