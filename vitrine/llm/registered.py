@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, exact, licences
+from vitrine.llm import bpe, exact, licences, secrets
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -94,3 +94,22 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         _labels(spans).alias("labels"),
         F.coalesce(F.array_max(F.transform(spans, lambda s: s["covered"])), F.lit(0.0)).alias("score"),
     )
+
+
+def _span_list(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query()
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    of_kind = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
+    base = F.filter(spans, lambda s: s["kind"] != "crf")
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        of_kind("assign").alias("n_assign"),
+        of_kind("access").alias("n_access"),
+        of_kind("hex").alias("n_hex"),
+        F.sha2(_span_list(base), 256).alias("base_sha256"),
+        _span_list(spans).alias("spans"),
+    )
