@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, exact, licences, secrets
+from vitrine.llm import bpe, exact, language, licences, secrets
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -113,3 +113,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_span_list(base), 256).alias("base_sha256"),
         _span_list(spans).alias("spans"),
     )
+
+
+@query()
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out("doc_id")))
+    return language.predict(docs, model).select(
+        F.col("id").alias("doc_id"), language.held_out("id").alias("held_out"), "lang_pred", "score"
+    )
