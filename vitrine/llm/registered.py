@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, exact, language, licences, secrets
+from vitrine.llm import bpe, decontaminate, exact, language, licences, secrets
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -122,3 +122,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select(
         F.col("id").alias("doc_id"), language.held_out("id").alias("held_out"), "lang_pred", "score"
     )
+
+
+@query()
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, benchmark).select(
+        F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "end", "edits"
+    )
