@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, decontaminate, exact, language, licences, secrets
+from vitrine.llm import bpe, decontaminate, exact, language, licences, secrets, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -130,3 +130,30 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, benchmark).select(
         F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "end", "edits"
     )
+
+
+@query(
+    r"""
+    WITH rules (verdict, host, path) AS (VALUES
+        ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+        ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+    named AS (
+        SELECT page_id,
+               coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+               coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+        FROM pages),
+    judged AS (
+        SELECT n.host, n.path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule,
+               arg_max(r.verdict, length(r.host || r.path)) AS verdict
+        FROM (SELECT DISTINCT host, path FROM named) n
+        JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+        GROUP BY ALL)
+    SELECT n.page_id, n.host, n.path, j.rule, coalesce(j.verdict, 'allow') AS verdict
+    FROM named n LEFT JOIN judged j ON n.host = j.host AND n.path = j.path
+    """
+)
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rules(spark)).select(
+        F.col("id").alias("page_id"), "host", "path", "rule", "verdict"
+    )
