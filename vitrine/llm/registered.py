@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, decontaminate, exact, language, licences, secrets, urls
+from vitrine.llm import bpe, decontaminate, exact, jaccard, language, licences, secrets, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -157,3 +157,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rules(spark)).select(
         F.col("id").alias("page_id"), "host", "path", "rule", "verdict"
     )
+
+
+@query()
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")
+    )
