@@ -4,8 +4,9 @@ A text is its set of word shingles. Within a band of set sizes, shingles are
 dealt to blocks by hash and the hashes in a block are XORed, so a block shows the
 parities of its shingles and two sketches differ in at most as many blocks as
 the sets differ in shingles. Sets similar enough differ in no more than a known
-number of blocks, so (pigeonhole, with the fullest blocks first) each needs only
-that many blocks and one more as join keys to share one with every partner.
+number of blocks, so (pigeonhole) each needs only that many blocks and one more
+as join keys, chosen in one order for all, to share one with every partner. The
+order puts blocks with an uncommon shingle first, then the fuller ones.
 Candidates that share a key are verified on the full sets.
 """
 
@@ -26,6 +27,8 @@ WORDS, PERCENT = 5, 80
 ROWS = 4096  # a row number and a shingle's hash share 64 bits
 BAND = 4  # sizes of a band differ by less than this factor
 BUCKET_BYTES = 32 << 20
+MOST_SLOT_BITS, SLOT_PARTS = 22, 16
+SKETCH_BITS, CELL_ROWS = 2048, 1024
 _ROW_SHIFT = np.uint64(52)
 _STEPS = blocks.mixed(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -79,9 +82,10 @@ def _groups(size: int, percent: int) -> Iterator[tuple[int, int, int]]:
             yield dealt(group, _most_different(border - 1, widest(border - 1), percent), _most_different(size, other, percent))
 
 
-def sketch_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The join keys of one set."""
+def sketch_keys(hashes: np.ndarray, ranks: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The join keys of one set; ``ranks`` has the commonness of shingles by hash."""
     out = []
+    common = ranks[(hashes & np.uint64(len(ranks) - 1)).astype(np.int64)]
     for group, count, wanted in _groups(len(hashes), percent):
         salt = blocks.mixed(np.array([group], np.uint64))
         token = blocks.mixed(hashes ^ salt)
@@ -90,21 +94,66 @@ def sketch_keys(hashes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         filled, first = np.unique(block[order], return_index=True)
         parity = np.bitwise_xor.reduceat(blocks.mixed(token)[order], first)
         key = blocks.mixed(parity ^ blocks.mixed(filled.astype(np.uint64) + salt))
+        rarest = np.minimum.reduceat(common[order], first).astype(np.int64)
         sizes = np.diff(np.append(first, len(order)))
         if len(filled) < wanted:  # empty blocks come last
             empty = np.setdiff1d(np.arange(count), filled).astype(np.uint64)
             key = np.concatenate([key, blocks.mixed(blocks.mixed(empty + salt))])
+            rarest = np.concatenate([rarest, np.full(len(empty), 256)])
             sizes = np.concatenate([sizes, np.zeros(len(empty), np.int64)])
-        out.append(key[np.lexsort((key, -sizes))[:wanted]])
+        out.append(key[np.lexsort((key, -sizes, rarest))[:wanted]])
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def commonness(named: DataFrame, words: int = WORDS) -> np.ndarray:
+    """How common shingles are, over all documents: by hash slot 0 for an ordinary
+    count and one more for each doubling. There are about as many slots as
+    documents, within bounds, so the table's size is bounded; counts of a task
+    are one array, and arrays are summed in two steps. A shingle that shares
+    its slot may rank too common, which costs time and loses nothing."""
+    slots = 1 << min(MOST_SLOT_BITS, max(12, (named.count() - 1).bit_length()))
+    part = slots // SLOT_PARTS
+
+    def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, salt = np.zeros(slots, np.int64), 0
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                for slab in blocks.slabs(batch.slice(low, ROWS), "text"):
+                    hashes, _ = shingle_sets(slab, words)
+                    counts += np.bincount((hashes & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                    salt = (salt * 31 + len(hashes)) % SLOT_PARTS
+        yield arrays({(i, salt): counts[i * part : (i + 1) * part] for i in range(SLOT_PARTS)})
+
+    def arrays(sums: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        keys = [pa.array([k[i] for k in sums], pa.int32()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*keys, blocks.binaries([v.tobytes() for v in sums.values()])], ["part", "salt", "counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for number, counts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sums[number, 0] = sums.get((number, 0), 0) + np.frombuffer(counts, np.int64)
+        if sums:
+            yield arrays(sums)
+
+    schema = "part int, salt int, counts binary"
+    tallied = named.select("text").mapInArrow(tally, schema).repartition("part", "salt").mapInArrow(add, schema)
+    rows = tallied.repartition("part").mapInArrow(add, schema).toPandas()
+    counts = np.zeros(slots, np.int64)
+    for number, raw in zip(rows["part"], rows["counts"], strict=True):
+        counts[number * part : (number + 1) * part] += np.frombuffer(raw, np.int64)
+    ordinary = counts.mean() + 8 * np.sqrt(counts.mean()) + 8
+    return np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / ordinary)), 0).astype(np.uint8)
+
+
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[f"`{id_col}`"].cast("bigint").alias("id"), docs[f"`{text_col}`"].alias("text"))
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """(id, size, one, two, keys): set size, two sums that identify the set, join keys."""
+    named = _named(docs, id_col, text_col)
+    ranks = commonness(named, words)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +162,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                 for slab in blocks.slabs(part, "text"):
                     hashes, begins = shingle_sets(slab, words)
                     sets = [hashes[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
-                    keys = [sketch_keys(s, percent) if len(s) else s for s in sets]
+                    keys = [sketch_keys(s, ranks, percent) if len(s) else s for s in sets]
                     ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                     flat = pa.array(np.concatenate(keys).view(np.int64))
                     one = np.array([blocks.mixed(s).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -130,7 +179,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                     )
 
     schema = "id bigint, size bigint, one bigint, two bigint, keys array<bigint>"
-    return cut_lineage(_named(docs, id_col, text_col).mapInArrow(run, schema))
+    return cut_lineage(named.mapInArrow(run, schema))
 
 
 _ENTRY = np.dtype([("key", "<u8"), ("leader", "<i8"), ("member", "<i8")])
@@ -196,17 +245,22 @@ def star_pairs(kept: DataFrame) -> DataFrame:
     return dealt.mapInArrow(join, "a bigint, b bigint").distinct()
 
 
+def _copies(kept: DataFrame) -> DataFrame:
+    """(id, first) of ids whose set another, smaller id has too: they are linked
+    without a look, and only the smallest one is joined with others."""
+    equal = ["size", "one", "two"]
+    several = kept.groupBy(*equal).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
+    found = kept.select("id", *equal).join(sizing.small_side(several), equal).filter("id > first")
+    return cut_lineage(found.select("id", "first").distinct())
+
+
 def _verified(pairs: DataFrame, kept: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked) for candidate pairs. Equal sets are known by their sums and sizes
-    too far apart are never linked; the sets of all others are made again from their
-    texts and intersected."""
-    facts = kept.select("id", "size", "one", "two").dropDuplicates(["id"])
-    left = facts.withColumnsRenamed({"id": "a", "size": "size_a", "one": "one_a", "two": "two_a"})
-    right = facts.withColumnsRenamed({"id": "b", "size": "size_b", "one": "one_b", "two": "two_b"})
-    known = cut_lineage(pairs.join(left, "a").join(right, "b"))
-    same = F.expr("size_a = size_b AND one_a = one_b AND two_a = two_b")
+    """(a, b, linked) for candidate pairs. Sizes too far apart are never linked; the
+    sets of all others are made again from their texts and intersected."""
+    sizes = kept.select("id", "size").dropDuplicates(["id"])
+    known = cut_lineage(pairs.join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b"))
     near = F.expr(f"100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-    open_ = known.filter(~same & near).select("a", "b")
+    open_ = known.filter(near).select("a", "b")
     ids = sizing.small_side(open_.select(F.col("a").alias("id")).union(open_.select("b")).distinct())
 
     def remake(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,30 +285,121 @@ def _verified(pairs: DataFrame, kept: DataFrame, named: DataFrame, words: int, p
     sets = cut_lineage(named.join(ids, "id", "left_semi").mapInArrow(remake, "id bigint, hashes binary").dropDuplicates(["id"]))
     ones, twos = sets.toDF("a", "one"), sets.toDF("b", "two")
     compared = open_.join(ones, "a").join(twos, "b").select("a", "b", "one", "two")
-    rest = known.filter(same | ~near).select("a", "b", same.alias("linked"))
+    rest = known.filter(~near).select("a", "b", F.lit(False).alias("linked"))
     return cut_lineage(rest.union(compared.mapInArrow(compare, "a bigint, b bigint, linked boolean")))
 
 
-def _unsettled_pairs(tested: DataFrame, kept: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs that share a key but were not compared, not being in one component by now.
+def _unsettled(tested: DataFrame, kept: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, id, component) of the keys whose sets are not yet in one component.
 
-    Such a pair's key also holds a pair that was compared and not linked, so only
-    keys of ids in those pairs are looked at. Of equal sets one stands for all."""
+    Such a key also holds a pair that was compared and not linked, so only keys
+    of ids in those pairs are looked at; a key of two sets has been compared."""
     doubtful = tested.filter("NOT linked")
     ids = doubtful.select(F.col("a").alias("id")).union(doubtful.select("b")).distinct()
-    entries = kept.select("id", "size", "one", "two", F.explode("keys").alias("key"))
+    entries = kept.select("id", F.explode("keys").alias("key"))
     keys = entries.join(sizing.small_side(ids), "id", "left_semi").groupBy("key").count()
     wanted = sizing.small_side(keys.filter("count > 1").select("key"))
-    rows = entries.join(wanted, "key", "left_semi").join(found, "id", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "id"))
-    rows = rows.groupBy("key", "size", "one", "two").agg(F.min("id").alias("id"), F.min("component").alias("component"))
+    rows = entries.join(wanted, "key", "left_semi").join(sizing.small_side(found), "id", "left")
+    return _spread(rows.withColumn("component", F.coalesce("component", "id")))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    rows = cut_lineage(rows)
     spread = F.expr("count(*) > 2 AND min(component) < max(component)")
-    several = sizing.small_side(rows.groupBy("key").agg(spread.alias("spread")).filter("spread").select("key"))
-    rows = cut_lineage(rows.join(several, "key", "left_semi").select("key", "id", "size", "component"))
-    other = rows.select("key", *(F.col(c).alias(f"{c}_2") for c in ("id", "size", "component")))
-    pairs = rows.join(other, "key").filter("id < id_2 AND component <> component_2")
-    pairs = pairs.select(F.col("id").alias("a"), F.col("id_2").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    several = rows.groupBy("key").agg(spread.alias("spread")).filter("spread").select("key")
+    return rows.join(sizing.small_side(several), "key", "left_semi")
+
+
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """For each key a star around the set that meets most others: the original of
+    many near copies shares nearly all its keys, a copy only some."""
+    rows = cut_lineage(rows)
+    met = sizing.small_side(rows.groupBy("key").count())
+    weights = sizing.small_side(rows.join(met, "key").groupBy("id").agg(F.sum("count").alias("weight")))
+    heads = rows.join(weights, "id").groupBy("key").agg(
+        F.max(F.struct("weight", -F.col("id"), "component")).alias("head")
+    )
+    pairs = rows.join(sizing.small_side(heads), "key").filter("component <> head.component")
+    other = -F.col("head.col2")
+    return pairs.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b")).distinct()
+
+
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Each shingle flips one of ``SKETCH_BITS`` bits, so two sketches differ in at
+    most as many bits as the sets differ in shingles."""
+    place = (blocks.mixed(hashes) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=SKETCH_BITS) & 1)
+
+
+def _close(cell: np.ndarray, percent: int) -> np.ndarray:
+    """Index pairs in a cell, of two components, that their sketches and sizes allow to link."""
+    out = [np.zeros((0, 2), np.int64)]
+    sketches = np.ascontiguousarray(cell["sketch"]).view(np.uint64).reshape(len(cell), -1)
+    size, component = cell["size"], cell["component"]
+    largest = np.unique(component, return_counts=True)
+    apart = np.flatnonzero(component != largest[0][largest[1].argmax()])
+    for low in range(0, len(apart), 32):
+        at = apart[low : low + 32]
+        differ = np.bitwise_count(sketches[at][:, None, :] ^ sketches[None, :, :]).sum(2, dtype=np.int64)
+        most = (size[at][:, None] + size[None, :]) * (100 - percent) // (100 + percent)
+        i, j = np.nonzero((differ <= most) & (component[at][:, None] != component[None, :]))
+        out.append(np.stack([at[i], j], 1))
+    return np.concatenate(out)
+
+
+def _sketched_pairs(rows: DataFrame, named: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs of a key, of two components, that bit sketches don't rule out.
+
+    A key with many sets is cut into parts, and any two parts meet in a cell of
+    bounded size; a task compares a cell at a time and passes on the few pairs left."""
+    cells = F.ceil(F.col("count") / CELL_ROWS).cast("int")
+    parts = sizing.small_side(rows.groupBy("key").count().select("key", cells.alias("parts")))
+    own = F.pmod(F.xxhash64("id"), "parts").cast("int")
+    dealt = rows.join(parts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", "id", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    ids = sizing.small_side(rows.select("id").distinct())
+
+    def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                for slab in blocks.slabs(part, "text"):
+                    hashes, begins = shingle_sets(slab, words)
+                    bits = [bit_sketch(hashes[a:b]).tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+                    sizes = pa.array(np.diff(begins))
+                    yield pa.RecordBatch.from_arrays([blocks.column(part, "id", slab), sizes, blocks.binaries(bits)], ["id", "size", "sketch"])
+
+    made = named.join(ids, "id", "left_semi").mapInArrow(sketch, "id bigint, size bigint, sketch binary").dropDuplicates(["id"])
+    full = dealt.join(sizing.small_side(made), "id").select("key", "low", "high", "id", "component", "size", "sketch")
+    entry = np.dtype([("cell", "<i8", 3), ("id", "<i8"), ("component", "<i8"), ("size", "<i8"), ("sketch", "u1", SKETCH_BITS // 8)])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, entry)
+        for batch in [*batches, None]:
+            if batch is not None and batch.num_rows:
+                new = np.zeros(batch.num_rows, entry)
+                for i in range(3):
+                    new["cell"][:, i] = batch.column(i).to_numpy(zero_copy_only=False)
+                for i, name in enumerate(("id", "component", "size")):
+                    new[name] = batch.column(3 + i).to_numpy(zero_copy_only=False)
+                new["sketch"] = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(len(new), -1)
+                held = np.concatenate([held, new])
+            if not len(held):
+                continue
+            cuts = [0, *(np.flatnonzero((held["cell"][1:] != held["cell"][:-1]).any(1)) + 1).tolist(), len(held)]
+            done = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last cell may go on
+            found: set[tuple[int, int]] = set()
+            for a, b in zip(cuts[:done], cuts[1:], strict=False):
+                cell = held[a:b]
+                ids = cell["id"][_close(cell, percent)]
+                found.update(zip(ids.min(1, initial=1 << 62).tolist(), ids.max(1, initial=-1 << 62).tolist(), strict=True))
+            held = held[cuts[done] :].copy()
+            columns = [pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    cell = ["key", "low", "high"]
+    dealt_out = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return full.repartition(dealt_out, *cell).sortWithinPartitions(*cell).mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(
@@ -275,14 +420,26 @@ def near_duplicates(
     named = _named(docs, id_col, text_col)
     kept = profiles(docs, id_col, text_col, words, percent)
     able = kept.filter("size > 0 AND id IS NOT NULL")
-    tested = _verified(star_pairs(able), able, named, words, percent)
+    copies = _copies(able)
+    distinct = able.join(sizing.small_side(copies.select("id")), "id", "left_anti")
+    tested = _verified(star_pairs(distinct), distinct, named, words, percent)
     found = cut_lineage(graph.components(tested.filter("linked").select("a", "b")))
-    more = _verified(_unsettled_pairs(tested, able, found), able, named, words, percent)
-    bridges = cut_lineage(more.filter("linked").select("a", "b"))
-    if not bridges.isEmpty():
-        links = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found = cut_lineage(graph.components(links.union(bridges)))
-    return kept.select("id", "size").join(sizing.small_side(found), "id", "left").select(
+    rows = _unsettled(tested, distinct, found)
+    for last in (False, True):  # what stars leave open is compared in full
+        new = _sketched_pairs(rows, named, words, percent) if last else _hub_pairs(rows)
+        new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        more = _verified(new, distinct, named, words, percent)
+        bridges = cut_lineage(more.filter("linked").select("a", "b"))
+        tested = tested.union(more)
+        if not bridges.isEmpty():
+            links = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            found = cut_lineage(graph.components(links.union(bridges)))
+            renewed = rows.drop("component").join(sizing.small_side(found), "id", "left")
+            rows = _spread(renewed.withColumn("component", F.coalesce("component", "id")))
+    reached = found.withColumnRenamed("id", "first")
+    of_copies = copies.join(reached, "first", "left").select("id", F.coalesce("component", "first").alias("component"))
+    classes = sizing.small_side(found.union(of_copies))
+    return kept.select("id", "size").join(classes, "id", "left").select(
         "id", "size", F.coalesce("component", "id").alias("component")
     )
 
