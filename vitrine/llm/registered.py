@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, decontaminate, exact, jaccard, language, licences, secrets, urls
+from vitrine.llm import bpe, decontaminate, exact, jaccard, language, licences, repeats, secrets, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -164,3 +164,15 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id")
     )
+
+
+@query()
+def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = F.transform("removed", lambda s: s["end"] - s["start"])
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
