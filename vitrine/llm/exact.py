@@ -55,8 +55,16 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; rows without an id stay.
-    Repeated rows of an id that stays all stay."""
-    found = copies(docs, id_col, text_col)
-    dropped = sizing.small_side(found.filter("id <> keep_id").select(F.col("id").alias("_dropped")))
-    return docs.join(dropped, F.col(f"`{id_col}`") == F.col("_dropped"), "left_anti")
+    """One row of each group of equal texts, that of the smallest id, with all its
+    columns. Of repeated rows one stays; rows without an id all stay."""
+    found, own = cut_lineage(copies(docs, id_col, text_col)), F.col(f"`{id_col}`")
+    dropped = sizing.small_side(found.filter("id <> keep_id").select(F.col("id").alias("_other")))
+    kept = docs.join(dropped, own == F.col("_other"), "left_anti")
+    firsts = found.filter("id = keep_id").select(F.col("id").alias("_other"))
+    ids = docs.select(own.alias("_other"))
+    repeated = ids.join(sizing.small_side(firsts), "_other", "left_semi").groupBy("_other").count().filter("count > 1")
+    repeated = sizing.small_side(repeated.select("_other"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, own == F.col("_other"), "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, own == F.col("_other"), "left_anti").union(once)

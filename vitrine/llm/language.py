@@ -134,23 +134,10 @@ def train(
     return _fit(languages, present, found["lang"].map(number).to_numpy())
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The language of every whole text: (id, lang_pred, score).
-
-    ``und`` with score 0 if the text is NULL, empty or without letters, or if
-    there is no model. Otherwise the language of the largest margin, the first
-    by name among equals, with the margin moved to 0..1. Rows come back one for
-    one, NULL and repeated ids included; an empty table gives no rows. Only the
-    text is used.
-    """
+def _scored(rows: DataFrame, model: Model | None) -> DataFrame:
+    """(own, lang_pred, score) for rows of (own, text); ``own`` may be of any type."""
     classes = bpe.character_classes()
-    schema = T.StructType(
-        [
-            T.StructField("id", docs.schema[id_col].dataType),
-            T.StructField("lang_pred", T.StringType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(classes)
@@ -166,12 +153,32 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                         best = margins.argmax(1)
                         scores = np.where(letters, np.clip((margins.max(1) + 1) / 2, 0, 1), 0).astype(float)
                         names = [model.languages[b] if has else UNKNOWN for b, has in zip(best, letters, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [blocks.column(part, "id", slab), pa.array(names, pa.string()), pa.array(scores)],
-                        ["id", "lang_pred", "score"],
-                    )
+                    columns = [blocks.column(part, "own", slab), pa.array(names, pa.string()), pa.array(scores)]
+                    yield pa.RecordBatch.from_arrays(columns, ["own", "lang_pred", "score"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["own"], *added]))
+
+
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The language of every whole text: (id, lang_pred, score).
+
+    ``und`` with score 0 if the text is NULL, empty or without letters, or if
+    there is no model. Otherwise the language of the largest margin, the first
+    by name among equals, with the margin moved to 0..1. Rows come back one for
+    one, NULL and repeated ids included; an empty table gives no rows. Only the
+    text is used.
+    """
+    named = docs.select(docs[f"`{id_col}`"].alias("own"), docs[f"`{text_col}`"].alias("text"))
+    return _scored(named, model).withColumnRenamed("own", "id")
+
 
-    return docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).mapInArrow(run, schema)
+def in_a_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows whose text has a language, with all their columns; those that
+    ``predict`` calls ``und`` go. Without a model nothing is rejected."""
+    if model is None:
+        return docs
+    named = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("own"), docs[f"`{text_col}`"].alias("text"))
+    return _scored(named, model).filter(F.col("lang_pred") != UNKNOWN).select("own.*")
 
 
 def held_out(id_col: Column | str) -> Column:

@@ -90,11 +90,12 @@ def sample(slab: blocks.Slab) -> Iterator[Sample]:
         if found is not None:
             yield found
         return
-    for low in range(0, max(1, len(slab.data) - SPAN + 1), PIECE_BYTES):  # one long text
-        piece = slab.data[low : low + PIECE_BYTES + SPAN - 1]
-        found = _sample_piece(piece, np.array([0, len(piece)]))
-        if found is not None:
-            yield found._replace(at=found.at + low)
+    for row, (begin, end) in enumerate(zip(slab.offsets[:-1].tolist(), slab.offsets[1:].tolist(), strict=True)):
+        for low in range(begin, max(begin, end - SPAN + 1), PIECE_BYTES):
+            piece = slab.data[low : min(end, low + PIECE_BYTES + SPAN - 1)]
+            found = _sample_piece(piece, np.array([0, len(piece)]))
+            if found is not None:
+                yield found._replace(at=found.at + (low - begin), row=found.row + row)
 
 
 def _first_of_each(rows: np.ndarray, *columns: str) -> np.ndarray:
