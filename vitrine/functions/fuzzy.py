@@ -76,6 +76,14 @@ def bigrams(word: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(..))"), 1))
 
 
+def numbered_characters(word: Column) -> Column:
+    """Each character of a word with its number among its equals."""
+    chars = F.split(word, "")
+    return F.transform(
+        chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda other: other == c)).cast("string"))
+    )
+
+
 @F.pandas_udf(T.IntegerType())
 def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
     """Longest common subsequence of two words of any length."""

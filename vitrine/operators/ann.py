@@ -25,25 +25,18 @@ from vitrine.operators import search
 from vitrine.session import cut_lineage, fresh_dir
 
 LISTS = 100
-SAMPLE_PER_LIST = 256
 # Slack for the rounding of similarities and angles; it only adds buckets.
 ANGLE_SLACK = 1e-5
 
 
 def train_centroids(catalog: DataFrame, lists: int = LISTS, seed: int = 7, max_iter: int = 10) -> np.ndarray:
-    """Unit centroids from k-means over a sample of the vectors.
-
-    The sample only shapes the buckets; every vector is assigned to one. The
-    result has ``lists`` rows, whatever the catalogue's size.
-    """
+    """Unit centroids from k-means over all vectors; ``lists`` rows at most."""
     # Zero vectors have no direction to cluster by, and are nobody's neighbour.
     vectors = catalog.select("embedding").filter(F.exists("embedding", lambda x: x != 0))
     total = vectors.count()
     if total == 0:
         raise ValueError("no vectors to train on")
-    fraction = min(1.0, lists * SAMPLE_PER_LIST / total)
-    sample = vectors if fraction == 1.0 else vectors.sample(fraction, seed)
-    features = sample.select(array_to_vector(F.col("embedding")).alias("features"))
+    features = vectors.select(array_to_vector(F.col("embedding")).alias("features"))
     model = KMeans(k=min(lists, total), seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(features)
     centers = np.array(model.clusterCenters(), dtype=np.float64)
     norms = np.linalg.norm(centers, axis=1, keepdims=True)

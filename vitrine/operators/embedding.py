@@ -109,9 +109,12 @@ def outcome(embedded: DataFrame, *keys: str) -> DataFrame:
 
 
 def fresh_entries(cache: DataFrame, as_of: datetime, days: int = CACHE_DAYS) -> DataFrame:
-    """Cache entries (``cache_key, embedding, cached_at``) not past their life."""
+    """Cache entries (``cache_key, embedding, cached_at``) not past their life, the
+    newest of each key."""
     oldest = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL '{int(days)}' DAY")
-    return cache.filter(F.col("cached_at") > oldest)
+    newest = F.max(F.struct("cached_at", "embedding")).alias("_last")
+    live = cache.filter(F.col("cached_at") > oldest).groupBy("cache_key").agg(newest)
+    return live.select("cache_key", "_last.embedding", "_last.cached_at")
 
 
 def keyed(rows: DataFrame, text: str, model: str = seeds.DEFAULT_MODEL) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
 from vitrine.functions import sizing
+from vitrine.session import cut_lineage
 from vitrine.sources import seeds
 
 PRODUCT_KEYS = ["shop_domain", "product_id"]
@@ -31,6 +32,18 @@ def keep_last(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> Dat
     return last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
 
 
+def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with one row per key: the last by ``ordinal`` if there is such a column, else
+    the greatest. Nothing is shuffled unless some key is repeated."""
+    if rows.groupBy(*keys).count().filter("count > 1").isEmpty():
+        return rows
+    if "ordinal" in rows.columns:
+        return keep_last(rows, keys).select(*rows.columns)
+    others = [c for c in rows.columns if c not in keys]
+    greatest = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row"))
+    return greatest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in rows.columns])
+
+
 def _unmatched(incoming: DataFrame, stored: DataFrame, keys: list[str], small: bool) -> DataFrame:
     """Incoming rows with no stored key; a small batch goes to the stored keys."""
     wanted = incoming.select(*keys)
@@ -49,8 +62,10 @@ def upsert(
 ) -> DataFrame:
     """General merge. In ``on_update`` incoming columns are named ``new.<column>``
     and stored ones ``old.<column>``; in ``on_insert`` plain names are incoming.
-    Columns left out keep the stored value, or are NULL in a new row."""
+    Columns left out keep the stored value, or are NULL in a new row. Of rows that
+    repeat a key the last one counts (see ``one_per_key``)."""
     incoming, small = sizing.settle(incoming)
+    incoming = one_per_key(incoming, keys)
     hits = incoming.withColumn("_hit", F.lit(True))
     old, new = stored.alias("old"), (F.broadcast(hits) if small else hits).alias("new")
     matches = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
@@ -116,6 +131,7 @@ def write_back_embeddings(
         "updated_at": _moment(as_of),
     }
     old = stored.alias("old")
+    vectors = one_per_key(vectors, PRODUCT_KEYS)
     hits = vectors.select(*PRODUCT_KEYS, "embedding").withColumn("_hit", F.lit(True))
     small = sizing.is_small(hits)
     new = (F.broadcast(hits) if small else hits).alias("new")
@@ -147,11 +163,16 @@ def last_write_wins(stored: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def upsert_plans(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Price and limits of known plans change; unknown plans are added as active."""
+    """Price and limits of known plans change; unknown plans are added as active, with
+    ids that follow the largest one in order of their names."""
     fields = ["price", "max_products", "max_searches_per_month"]
     insert = {c: F.col(c) for c in ["name", *fields]}
     insert |= {"features": F.lit(seeds.DEFAULT_PLAN_FEATURES), "active": F.lit(True)}
-    return upsert(stored, incoming, ["name"], {c: F.col(f"new.{c}") for c in fields}, insert)
+    merged = cut_lineage(upsert(stored, incoming, ["name"], {c: F.col(f"new.{c}") for c in fields}, insert))
+    last = merged.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    following = F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("name"))
+    new = F.when(F.col("id").isNull(), last + following).otherwise(F.col("id"))
+    return merged.withColumn("id", new.cast(stored.schema["id"].dataType))
 
 
 def deactivate_plans(plans: DataFrame, names: list[str]) -> DataFrame:

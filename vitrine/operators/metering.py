@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
-from vitrine.operators import coverage
+from vitrine.functions import sizing
+from vitrine.operators import coverage, merge
 
 CYCLE_DAYS = 30
 
@@ -65,13 +66,23 @@ def usage_since_reset(subscriptions: DataFrame, usage: DataFrame, usage_type: st
 
 
 def plan_limits(
-    subscriptions: DataFrame, plans: DataFrame, catalog: DataFrame, usage: DataFrame, as_of: date | None = None
+    subscriptions: DataFrame,
+    plans: DataFrame,
+    catalog: DataFrame,
+    usage: DataFrame,
+    as_of: date | None = None,
+    tenants: DataFrame | None = None,
 ) -> DataFrame:
     """Usage against the plan's caps per tenant (-1 is unlimited).
 
     Products may reach their cap; searches may not. With ``as_of`` overdue
-    cycles are reset first.
+    cycles are reset first, and those of ``tenants`` (``shop_domain``) that have no
+    subscription are checked against the default plan, from ``as_of`` on.
     """
+    if tenants is not None:
+        if as_of is None:
+            raise ValueError("new subscriptions need as_of, the day they start")
+        subscriptions = merge.subscribe_new(subscriptions, tenants, plans, as_of)
     current = subscriptions if as_of is None else reset_cycles(subscriptions, as_of)
     caps = plans.select(
         F.col("id").alias("plan_id"), F.col("name").alias("plan"), "max_products",
@@ -79,7 +90,7 @@ def plan_limits(
     )
     joined = (
         current.select("shop_domain", "plan_id")
-        .join(caps, "plan_id", "left")
+        .join(sizing.small_side(caps), "plan_id", "left")
         .join(coverage.product_counts(catalog), "shop_domain", "left")
         .join(usage_since_reset(current, usage), "shop_domain", "left")
         .withColumn("current_products", F.coalesce("products", F.lit(0)).cast("bigint"))
@@ -143,7 +154,7 @@ def migrate_plans(subscriptions: DataFrame, plans: DataFrame, renames: DataFrame
     """Move subscribers of renamed plans; a pair with an unknown name moves nobody."""
     pairs = _rename_pairs(plans, renames).filter("old_id IS NOT NULL AND new_id IS NOT NULL")
     moves = pairs.select(F.col("old_id").alias("plan_id"), "new_id")
-    joined = subscriptions.join(moves, "plan_id", "left")
+    joined = subscriptions.join(sizing.small_side(moves), "plan_id", "left")
     return joined.withColumn("plan_id", F.coalesce("new_id", "plan_id")).select(*subscriptions.columns)
 
 

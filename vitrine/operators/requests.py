@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import jsonfields as J
 from vitrine.functions import numeric as N
 from vitrine.functions import sizing
-from vitrine.operators import search, typos
+from vitrine.operators import search, settings, typos
 from vitrine.session import cut_lineage
 
 
@@ -34,7 +34,7 @@ def prepare(
 
     ``embed`` adds ``qvec`` to rows that have ``query_id`` and ``corrected_query``.
     """
-    configured = requests.join(config, "shop_domain").filter("ai_search_enabled")
+    configured = settings.with_config(requests, config).filter("ai_search_enabled")
     corrected = typos.correct_queries(configured, vocabulary)
     text = F.when(F.col("autocorrect"), F.col("corrected_query")).otherwise(F.col("query"))
     ready = corrected.withColumns(
@@ -61,7 +61,8 @@ def answer(
     """Plan limit, configuration gate, typo correction, embedding, top-k within
     the tenant, threshold, archived filter, formatting.
 
-    ``requests``: ``query_id, shop_domain, query, max_results, max_price``.
+    ``requests``: ``query_id, shop_domain, query, max_results, max_price``. A tenant
+    that ``config`` doesn't know is answered with the default configuration.
     The threshold goes before the top-k, where it gives the same rows. Archived
     products leave after the top-k (``post``), so fewer than k rows may remain,
     or before it (``pre``).

@@ -23,11 +23,14 @@ from pyspark.sql import types as T
 
 from vitrine.functions import sizing, skew
 from vitrine.functions.vectors import SIMILARITY_PLACES
+from vitrine.sources import seeds
 from vitrine.session import cut_lineage
 
 MAX_BROADCAST_REQUESTS = 16384
 MAX_BROADCAST_BYTES = 64 << 20
-MAX_RESULTS = 1000
+NO_LIMIT = (1 << 31) - 1
+UNLIMITED_RESULTS = 1000
+RANK_PARTS = 64
 BLOCK_PRODUCTS = 16384
 BLOCK_REQUESTS = 8192
 # Scores computed at once in a task (32 MB of doubles).
@@ -46,12 +49,13 @@ _OPTIONAL = {
 _PRODUCT_FIELDS = {"product_id": "string", "shop_domain": "string", "price": "double", "in_stock": "boolean"}
 
 
-def effective_limit(config_limit: Column, requested: Column) -> Column:
-    """``unlimited`` means 1000 whatever was requested; else the smaller of both;
-    a request of NULL or 0 takes the configured limit."""
-    configured = config_limit.try_cast("int")
+def effective_limit(config_limit: Column, requested: Column, unlimited: int | None = UNLIMITED_RESULTS) -> Column:
+    """``unlimited`` means 1000 whatever was requested (None: no limit at all); else the
+    smaller of both; a request of NULL or 0 takes the configured limit. A configured
+    limit that is no number counts as the default one."""
+    configured = F.coalesce(config_limit.try_cast("int"), F.lit(int(seeds.DEFAULT_CONFIG["results_limit"])))
     return (
-        F.when(config_limit == "unlimited", F.lit(MAX_RESULTS))
+        F.when(config_limit == "unlimited", F.lit(NO_LIMIT if unlimited is None else unlimited))
         .when(F.coalesce(requested, F.lit(0)) == 0, configured)
         .otherwise(F.least(requested, configured))
         .cast("int")
@@ -72,7 +76,7 @@ class _Requests:
         dim = len(vectors[0]) if len(vectors) else 0
         self.vectors = _unit(_matrix(vectors, dim))
         self.shops = columns["shop_domain"].to_pylist()
-        self.k = np.array(columns["k"].to_pylist(), dtype=np.int64)
+        self.k = np.array([NO_LIMIT if v is None else v for v in columns["k"].to_pylist()], dtype=np.int64)
         self.floor = _floats(columns["min_similarity"])
         self.low = _floats(columns["min_price"])
         self.high = _floats(columns["max_price"])
@@ -216,10 +220,16 @@ def _result_schema(queries: DataFrame) -> T.StructType:
 
 
 def final_rank(partial: DataFrame) -> DataFrame:
-    """Best ``k`` rows per request out of partial results; adds ``rank``."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "product_id", F.asc_nulls_first("shop_domain"))
-    ranked = partial.withColumn("rank", F.row_number().over(order))
-    return ranked.filter((F.col("rank") <= MAX_RESULTS) & (F.col("rank") <= F.col("k"))).drop("k")
+    """Best ``k`` rows per request out of partial results; adds ``rank``.
+
+    Each task of the scan hands in up to k rows per request, so a request's rows
+    are ranked in parts first and only ``RANK_PARTS`` times k of them meet."""
+    part = F.pmod(F.xxhash64("product_id", "shop_domain"), F.lit(RANK_PARTS))
+    order = [F.desc("similarity"), F.col("product_id"), F.asc_nulls_first("shop_domain")]
+    within = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
+    short = partial.withColumn("part", part).withColumn("rank", within).filter("rank <= k").drop("rank", "part")
+    ranked = short.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.filter("rank <= k").drop("k")
 
 
 def broadcast_partials(products: DataFrame, requests: DataFrame, block: pa.Table, by_tenant: bool) -> DataFrame:
@@ -315,7 +325,8 @@ def top_k(
     ``catalog`` has ``product_id, shop_domain, embedding`` and optionally
     ``price, in_stock``. ``queries`` has ``query_id, qvec`` and optionally
     ``shop_domain, k, min_similarity, min_price, max_price, in_stock_only``.
-    With ``by_tenant`` a request sees only its own tenant's products.
+    With ``by_tenant`` a request sees only its own tenant's products. Without a
+    ``k`` a request gets every product that passes.
     """
     products = _products(catalog)
     requests = _requests(queries, k)

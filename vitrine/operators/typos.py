@@ -10,7 +10,6 @@ from vitrine.functions import fuzzy, sizing, skew
 from vitrine.functions.text import words
 
 MIN_WORD = 3
-MAX_LITERAL_TERMS = 256
 MAX_BROADCAST_TERMS = 100_000
 # Below this threshold two matching words need not share a character pair.
 LOWEST_BLOCKED_THRESHOLD = 67
@@ -24,12 +23,7 @@ def _small_vocabulary(vocabulary: DataFrame, most: int) -> list[str] | None:
 
 def best_matches(tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75) -> DataFrame:
     """Best vocabulary term per distinct token: ``token, best``, matches only."""
-    if threshold >= LOWEST_BLOCKED_THRESHOLD:
-        return joined_matches(tokens, vocabulary, threshold)
-    terms = _small_vocabulary(vocabulary, MAX_LITERAL_TERMS)
-    if terms is None:
-        raise ValueError(f"a vocabulary this large needs a threshold of {LOWEST_BLOCKED_THRESHOLD} or more")
-    return literal_matches(tokens, terms, threshold)
+    return joined_matches(tokens, vocabulary, threshold)
 
 
 def literal_matches(tokens: DataFrame, terms: list[str], threshold: int = 75) -> DataFrame:
@@ -41,31 +35,33 @@ def literal_matches(tokens: DataFrame, terms: list[str], threshold: int = 75) ->
 def joined_matches(
     tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75, max_broadcast: int = MAX_BROADCAST_TERMS
 ) -> DataFrame:
-    """Matches by an equi-join, for a vocabulary of any size.
+    """Matches by an equi-join, for a vocabulary of any size and any positive threshold.
 
-    A common subsequence of length L between words that are D insertions and
+    Below a threshold of 67 matching words need not share a character pair, but
+    still as many single characters as their common subsequence has, so they
+    are joined on characters (each with its number among its equals). A common subsequence of length L between words that are D insertions and
     deletions apart keeps at least ``L + 1 - D`` of the padded character pairs,
     which is one or more from a threshold of 67 on. So every matching pair of
     words shares a character pair, and the join on those loses none. Repeated
     character pairs of a word are joined once; their number (``extra``) is taken
     off the required count.
     """
-    limit = F.lit(int(threshold))
-    left = _paired(tokens, "token", "n", "token_extra")
+    limit, pairs = F.lit(int(threshold)), threshold >= LOWEST_BLOCKED_THRESHOLD
+    left = _paired(tokens, "token", "n", "token_extra", pairs)
     small = _small_vocabulary(vocabulary, max_broadcast)
     terms = (
         vocabulary.select("term").distinct()
         if small is None
         else tokens.sparkSession.createDataFrame([(t,) for t in small], "term string")
     )
-    right = _paired(terms, "term", "m", "term_extra")
+    right = _paired(terms, "term", "m", "term_extra", pairs)
     if small is None:
         paired = skew.join(left, right, ["pair"], "inner", spread=["token"])
     else:
         paired = left.join(F.broadcast(right), "pair")
     total = F.col("n") + F.col("m")
     lowest = F.ceil(limit * total / F.lit(200))
-    needed = lowest * 3 + 1 - total - F.least("token_extra", "term_extra")
+    needed = lowest * 3 + 1 - total - F.least("token_extra", "term_extra") if pairs else lowest
     shared = (
         paired.filter(F.least("n", "m") * 200 >= limit * total)
         .groupBy("token", "term", "n", "m", "token_extra", "term_extra")
@@ -78,10 +74,11 @@ def joined_matches(
     return scored.groupBy("token").agg(F.min(order)["term"].alias("best"))
 
 
-def _paired(words_of: DataFrame, name: str, length: str, extra: str) -> DataFrame:
-    """A row per word and distinct character pair, with the word's length and
-    how many of its pairs are repeats."""
-    sized = words_of.select(name, F.length(name).alias(length), fuzzy.bigrams(F.col(name)).alias("_pairs"))
+def _paired(words_of: DataFrame, name: str, length: str, extra: str, pairs: bool) -> DataFrame:
+    """A row per word and distinct character pair (or numbered character), with the
+    word's length and how many of its pairs are repeats."""
+    parts = fuzzy.bigrams(F.col(name)) if pairs else fuzzy.numbered_characters(F.col(name))
+    sized = words_of.select(name, F.length(name).alias(length), parts.alias("_pairs"))
     repeats = (F.col(length) + 1 - F.size("_pairs")).alias(extra)
     return sized.select(name, length, repeats, F.explode("_pairs").alias("pair"))
 

@@ -217,6 +217,88 @@ def plan_limits(spark, sf_dir):
     return _limits(spark, sf_dir)
 
 
+@query(
+    f"""WITH {sql.CAT}, {sql.SEARCHES}, {sql.USAGE}, {sql.plans()}, {_SUBS},
+shops AS (SELECT shop_domain FROM subs UNION SELECT shop_domain FROM cat),
+current AS (
+  SELECT shop_domain, plan_id, CASE WHEN {_DUE} THEN DATE '2024-01-31' ELSE search_reset_date END AS reset
+  FROM subs WHERE CAST(replace(shop_domain, 'shop_', '') AS INTEGER) % 3 <> 0
+  UNION ALL
+  SELECT shop_domain, 1, DATE '2024-01-31' FROM shops
+  WHERE shop_domain NOT IN (SELECT shop_domain FROM subs WHERE CAST(replace(shop_domain, 'shop_', '') AS INTEGER) % 3 <> 0)
+),
+products AS (SELECT shop_domain, COUNT(*) AS n FROM cat GROUP BY 1),
+used AS (SELECT c.shop_domain, SUM(u.usage_count) AS n FROM current c JOIN usage u ON u.shop_domain = c.shop_domain AND u.usage_date >= c.reset GROUP BY 1)
+SELECT c.shop_domain AS shop,
+       CASE c.plan_id WHEN 1 THEN 'starter' WHEN 2 THEN 'launch' WHEN 3 THEN 'growth' WHEN 4 THEN 'scale' ELSE 'enterprise' END AS plan,
+       CASE c.plan_id WHEN 1 THEN 300 WHEN 2 THEN 1000 WHEN 3 THEN 7500 WHEN 4 THEN 20000 ELSE -1 END AS max_searches,
+       COALESCE(n.n, 0) AS current_products, CAST(COALESCE(u.n, 0) AS BIGINT) AS current_searches
+FROM current c LEFT JOIN products n USING (shop_domain) LEFT JOIN used u USING (shop_domain)"""
+)
+def plan_limits_unsubscribed(spark, sf_dir):
+    """Limits of all tenants, a third of whom have no subscription yet."""
+    catalog = B.catalog(spark, sf_dir, vectors=False)
+    subscribed = B.subscriptions(spark, sf_dir)
+    tenants = subscribed.select("shop_domain").union(catalog.select("shop_domain"))
+    some = subscribed.filter(F.regexp_extract("shop_domain", r"(\d+)", 1).cast("int") % 3 != 0)
+    usage = metering.usage_from_events(B.search_events(spark, sf_dir))
+    limits = metering.plan_limits(some, seeds.plans(spark), catalog, usage, as_of=B.AS_OF_DATE, tenants=tenants)
+    return limits.select("shop", "plan", "max_searches", "current_products", "current_searches")
+
+
+@query(
+    f"""WITH {_SUBS} SELECT shop_domain, CASE plan_id
+  WHEN 1 THEN 'starter: ai_search,semantic_search,typo_correction,basic_analytics,email_support'
+  WHEN 2 THEN 'launch: ai_search,semantic_search,typo_correction,analytics,user_intent,email_support'
+  WHEN 3 THEN 'growth: ai_search,semantic_search,typo_correction,advanced_analytics,user_intent,merchandising,email_support'
+  WHEN 4 THEN 'scale: ai_search,semantic_search,typo_correction,advanced_analytics,user_intent,merchandising,api_access,priority_support'
+  ELSE 'enterprise: ai_search,semantic_search,typo_correction,unlimited,user_intent,merchandising,dedicated_support,custom_integrations,api_access,priority_support'
+END AS features FROM subs"""
+)
+def plan_features(spark, sf_dir):
+    """The features that each tenant's plan offers."""
+    offered = seeds.plans(spark).select(
+        F.col("id").alias("plan_id"),
+        F.concat_ws(": ", "name", F.array_join(F.json_object_keys("features"), ",")).alias("features"),
+    )
+    return B.subscriptions(spark, sf_dir).join(F.broadcast(offered), "plan_id").select("shop_domain", "features")
+
+
+_PLAN_NAMES = "CASE c_mktsegment WHEN 'BUILDING' THEN 'growth' ELSE lower(c_mktsegment) END"
+
+
+@query(
+    f"""WITH incoming AS (
+  SELECT {_PLAN_NAMES} AS name, COUNT(*) AS n FROM customer GROUP BY 1),
+stored (id, name, price, products, searches) AS (VALUES (1, 'starter', 0.0, 50, 300), (2, 'launch', 9.0, 250, 1000),
+  (3, 'growth', 19.0, 2500, 7500), (4, 'scale', 49.0, 5000, 20000), (5, 'enterprise', 149.0, -1, -1)),
+fresh AS (SELECT row_number() OVER (ORDER BY name) + 5 AS id, name, n FROM incoming WHERE name NOT IN (SELECT name FROM stored))
+SELECT CAST(s.id AS BIGINT) AS id, s.name, CAST(COALESCE(i.n, s.price) AS DOUBLE) AS price,
+       CAST(COALESCE(i.n * 2, s.products) AS BIGINT) AS max_products, CAST(COALESCE(i.n * 3, s.searches) AS BIGINT) AS max_searches
+FROM stored s LEFT JOIN incoming i USING (name)
+UNION ALL SELECT CAST(id AS BIGINT), name, CAST(n AS DOUBLE), n * 2, n * 3 FROM fresh"""
+)
+def plan_upsert(spark, sf_dir):
+    """Plans priced by the size of a customer segment: one known, the others new,
+    each sent twice; read back as the active plans."""
+    name = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("growth")).otherwise(F.lower("c_mktsegment"))
+    counted = B.table(spark, sf_dir, "customer").groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    incoming = counted.select(
+        "name",
+        F.col("n").cast("decimal(10,2)").alias("price"),
+        (F.col("n") * 2).cast("int").alias("max_products"),
+        (F.col("n") * 3).cast("int").alias("max_searches_per_month"),
+        F.lit(2).alias("ordinal"),
+    )
+    older = incoming.withColumns({"price": F.lit(1).cast("decimal(10,2)"), "ordinal": F.lit(1)})
+    plans = merge.active_plans(merge.upsert_plans(seeds.plans(spark), older.unionByName(incoming)))
+    return plans.select(
+        F.col("id").cast("bigint").alias("id"), "name", F.col("price").cast("double").alias("price"),
+        F.col("max_products").cast("bigint").alias("max_products"),
+        F.col("max_searches_per_month").cast("bigint").alias("max_searches"),
+    )
+
+
 @query(
     _LIMITS
     + """ SELECT shop, '{"shop":"' || shop || '","plan":"' || plan || '","current_products":' || current_products || ',"max_products":' || max_products ||

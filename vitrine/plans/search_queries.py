@@ -17,6 +17,22 @@ RANKED = """row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, p
 COLUMNS = ["query_id", "product_id", "shop_domain", "similarity", "rank"]
 
 
+@query(
+    f"""WITH {sql.CAT}, {sql.LABELS}, scored AS (
+  SELECT 'label_' || CAST(l.label AS VARCHAR) AS query_id, c.product_id || '_' || r.range AS product_id, c.shop_domain,
+         round(list_cosine_similarity(c.embedding, l.qvec), 6) AS similarity
+  FROM cat c, lab l, range(4) r WHERE c.embedding IS NOT NULL
+)
+SELECT *, {RANKED} AS rank FROM scored QUALIFY {RANKED} <= 1500"""
+)
+def vec_topk_deep(spark, sf_dir):
+    """1,500 results per request, each product listed four times."""
+    copies = F.explode(F.array(*(F.lit(str(i)) for i in range(4))))
+    catalog = B.catalog(spark, sf_dir).filter("embedding IS NOT NULL").withColumn("_copy", copies)
+    catalog = catalog.withColumn("product_id", F.concat_ws("_", "product_id", "_copy")).drop("_copy")
+    return search.top_k(catalog, B.label_requests(spark, sf_dir), k=1500).select(*COLUMNS)
+
+
 @query(
     f"""WITH {sql.CAT}, {sql.LABELS}, scored AS (
   SELECT 'label_' || CAST(l.label AS VARCHAR) AS query_id, c.product_id, c.shop_domain, c.title, c.vendor, c.price,

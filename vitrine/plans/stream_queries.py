@@ -16,7 +16,6 @@ from vitrine.session import fresh_dir
 from vitrine.streaming import jobs
 
 # The given tables carry a month of events in no order of arrival.
-WATERMARK = "60 days"
 
 
 def _stream(spark, sf_dir, name, schema):
@@ -38,7 +37,7 @@ FROM searches GROUP BY 1, 2, 3"""
 )
 def stream_usage_counters(spark, sf_dir):
     """Usage metering as a stream."""
-    stream = jobs.usage_counters(_searches(spark, sf_dir), watermark=WATERMARK)
+    stream = jobs.usage_counters(_searches(spark, sf_dir))
     final = jobs.drained_table(stream, ["shop_domain", "usage_type", "usage_date"], "usage")
     return final.withColumn("usage_date", day("usage_date"))
 
@@ -46,7 +45,7 @@ def stream_usage_counters(spark, sf_dir):
 @query(f"WITH {sql.SEARCHES} SELECT {sql.day('CAST(created_at AS DATE)')} AS date, {A._DAILY} FROM searches GROUP BY 1")
 def stream_daily_stats(spark, sf_dir):
     """Daily search statistics as a stream."""
-    stream = jobs.daily_stats(_searches(spark, sf_dir), watermark=WATERMARK)
+    stream = jobs.daily_stats(_searches(spark, sf_dir))
     return jobs.drained_table(stream, ["date"], "daily").withColumn("date", day("date"))
 
 
@@ -56,7 +55,7 @@ FROM events GROUP BY user_id, time_bucket(INTERVAL 1 HOUR, ts)"""
 )
 def stream_rate_limit(spark, sf_dir):
     """Requests per client and fixed window (here an hour and one request)."""
-    stream = jobs.rate_limits(_events(spark, sf_dir), "user_id", "ts", limit=1, window="1 hour", watermark=WATERMARK)
+    stream = jobs.rate_limits(_events(spark, sf_dir), "user_id", "ts", limit=1, window="1 hour", watermark=None)
     final = jobs.drained_table(stream, ["user_id", "window_start"], "rate")
     return final.withColumn("window_start", moment("window_start"))
 

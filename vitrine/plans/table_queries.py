@@ -215,6 +215,13 @@ def upsert_full(spark, sf_dir):
     return _merged_view(merge.upsert_products(B.stored_catalog(spark, sf_dir), incoming, LATER))
 
 
+@query(_MERGED.format(embedding="CASE WHEN l.product_id IS NULL THEN c.embedding IS NOT NULL ELSE FALSE END", source="latest"))
+def upsert_repeated_keys(spark, sf_dir):
+    """The same upsert of a batch that repeats keys: the last row of each counts."""
+    incoming = B.incoming_catalog(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>"))
+    return _merged_view(merge.upsert_products(B.stored_catalog(spark, sf_dir), incoming, LATER))
+
+
 @query(_MERGED.format(embedding="c.embedding IS NOT NULL", source="latest"))
 def upsert_preserve_embedding(spark, sf_dir):
     incoming = merge.keep_last(B.incoming_catalog(spark, sf_dir), merge.PRODUCT_KEYS)
@@ -287,7 +294,7 @@ def settings_lww(spark, sf_dir):
 
 @query(
     f"""WITH writes AS (
-  SELECT string_split(regexp_replace(url, 'https?://', '', 'g'), '/')[1] || ':last_active' AS key, CAST(page_id AS VARCHAR) AS value,
+  SELECT string_split(regexp_replace(url, 'https?://', '', 'g'), '/')[1] || ':extension_last_active' AS key, CAST(page_id AS VARCHAR) AS value,
          TIMESTAMP '2024-01-01' + to_seconds(page_id) AS updated_at FROM pages
 )
 SELECT key, value, {sql.moment('updated_at')} AS updated_at FROM writes
@@ -383,6 +390,21 @@ def config_defaults(spark, sf_dir):
     return settings.tenant_config(B.settings(spark, sf_dir), tenants)
 
 
+@query(
+    f"""WITH {sql.CAT}, {_STORED_CONFIG}
+SELECT shop_domain, '8' AS results_limit, 10.0::DOUBLE AS similarity_threshold, FALSE AS exclude_out_of_stock,
+       TRUE AS exclude_archived, TRUE AS ai_search_enabled FROM stored WHERE n % 7 <> 6
+UNION ALL SELECT shop_domain, '10', 70.0::DOUBLE, FALSE, FALSE, TRUE FROM stored WHERE n % 7 = 6"""
+)
+def config_partial(spark, sf_dir):
+    """Stored configurations that lack most keys, beside tenants that stored nothing."""
+    stored = B.settings(spark, sf_dir).withColumn("value", F.lit('{"results_limit": "8"}'))
+    found = settings.tenant_config(stored, B.catalog(spark, sf_dir, vectors=False))
+    return found.select(
+        "shop_domain", "results_limit", "similarity_threshold", "exclude_out_of_stock", "exclude_archived", "ai_search_enabled"
+    )
+
+
 @query(
     f"""WITH {sql.CAT}, {_STORED_CONFIG}
 SELECT shop_domain || ':ai_search' AS key, CASE WHEN n % 7 <> 6 THEN CASE WHEN n % 5 = 1 THEN 'unlimited' ELSE '8' END ELSE 'unlimited' END AS results_limit,
@@ -458,14 +480,14 @@ def response_documents(spark, sf_dir):
 
 _SETTINGS_SQL = f"""
 keys AS (
-  SELECT DISTINCT 'shop_' || CAST(c_custkey AS VARCHAR) || s.suffix AS key FROM customer, (VALUES (''), (':last_active'), ('_theme')) s(suffix)
+  SELECT DISTINCT 'shop_' || CAST(c_custkey AS VARCHAR) || s.suffix AS key FROM customer, (VALUES (''), (':extension_last_active'), ('_theme')) s(suffix)
 ),
 gone AS (SELECT DISTINCT 'shop_' || CAST(s_suppkey AS VARCHAR) AS shop_domain FROM supplier)"""
 
 
 def _settings_rows(spark, sf_dir):
     name = F.concat(F.lit("shop_"), F.col("c_custkey").cast("string"))
-    suffixes = F.array(F.lit(""), F.lit(":last_active"), F.lit("_theme"))
+    suffixes = F.array(F.lit(""), F.lit(":extension_last_active"), F.lit("_theme"))
     return B.table(spark, sf_dir, "customer").select(F.explode(F.transform(suffixes, lambda s: F.concat(name, s))).alias("key"), F.lit("{}").alias("value"))
 
 

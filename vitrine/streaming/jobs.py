@@ -34,13 +34,16 @@ def read_files(spark: SparkSession, path: str, schema: T.StructType, max_files:
 # ------------------------------------------------------------- streaming plans
 
 
-def _event_time(rows: DataFrame, column: str, watermark: str) -> DataFrame:
-    """Watermarks need a zoned timestamp; the zone is the session's both ways."""
-    return rows.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, watermark)
+def _event_time(rows: DataFrame, column: str, watermark: str | None) -> DataFrame:
+    """Watermarks need a zoned timestamp; the zone is the session's both ways. Without
+    a watermark no event is ever too late, and the state keeps every window."""
+    zoned = rows.withColumn(column, F.col(column).cast("timestamp"))
+    return zoned if watermark is None else zoned.withWatermark(column, watermark)
 
 
-def usage_counters(events: DataFrame, usage_type: str = "search", watermark: str = WATERMARK) -> DataFrame:
-    """Running daily usage per tenant."""
+def usage_counters(events: DataFrame, usage_type: str = "search", watermark: str | None = None) -> DataFrame:
+    """Running daily usage per tenant; the state holds one row per tenant and day, and
+    late events count as long as no ``watermark`` is given."""
     windowed = _event_time(events, "created_at", watermark).groupBy(
         "shop_domain", F.window("created_at", "1 day").alias("w")
     )
@@ -49,8 +52,9 @@ def usage_counters(events: DataFrame, usage_type: str = "search", watermark: str
     )
 
 
-def daily_stats(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Running search statistics per day."""
+def daily_stats(events: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Running search statistics per day; one row of state per day, late events
+    included unless a ``watermark`` is given."""
     windowed = _event_time(events, "created_at", watermark).groupBy(F.window("created_at", "1 day").alias("w"))
     return windowed.agg(
         F.count(F.lit(1)).alias("total_searches"),
@@ -67,9 +71,10 @@ def daily_stats(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 
 def rate_limits(
-    requests: DataFrame, client: str, moment: str, limit: int = 100, window: str = "60 seconds", watermark: str = "5 minutes"
+    requests: DataFrame, client: str, moment: str, limit: int = 100, window: str = "60 seconds", watermark: str | None = WATERMARK
 ) -> DataFrame:
-    """Requests per client and fixed window, flagged beyond the limit."""
+    """Requests per client and fixed window, flagged beyond the limit. Requests that
+    come later than the watermark are not counted; None counts them all."""
     counted = (
         _event_time(requests, moment, watermark)
         .groupBy(client, F.window(moment, window).alias("w"))
