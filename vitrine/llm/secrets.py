@@ -28,18 +28,34 @@ KINDS = ["assign", "access", "hex", "crf"]
 
 #: The training sample: so many documents, and so many windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 4000, 4, 32
-ROUNDS, RATE, DECAY = 60, 0.25, 1e-4
+ROUNDS, DECAY = 60, 1e-4
+#: Training steps: a token's own shape is to decide more than its neighbours, and those more
+#: than how rare secrets are in the sample.
+OWN_RATE, NEAR_RATE, OTHER_RATE = 0.3, 0.08, 0.05
 
 OUTSIDE, BEGIN, INSIDE = range(3)
 _KEY_WORDS = [b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey", b"key", b"auth", b"bearer", b"credential"]
 _ASSIGN_WORDS = [b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey"]
-_REACH = (-3, -2, -1, 0, 1, 2)
 _SIZES = np.array([4, 8, 12, 20, 32])
 _NONE, _EQUALS, _COLON, _QUOTE, _STOP, _MARK, _KEY, _SHAPES = range(8)
 OBSERVATIONS = _SHAPES + 64 * (len(_SIZES) + 1)
 _FILES = 3
 
 
+def _coarser() -> tuple[np.ndarray, np.ndarray]:
+    """Observations of words by length alone, and by whether they mix digits and letters."""
+    every = np.arange(OBSERVATIONS, dtype=np.int32)
+    sizes, bits = np.divmod(np.maximum(every - _SHAPES, 0), 64)
+    mixes = (bits & 1) + 2 * ((bits & 14) > 0) + 4 * ((bits & 48) > 0)
+    word = every >= _SHAPES
+    return np.where(word, _SHAPES + sizes, every).astype(np.int32), np.where(word, _SHAPES + mixes, every).astype(np.int32)
+
+
+#: What the emissions look at: how many tokens away, and how finely (None: the whole shape).
+_SIZE_ONLY, _MIX_ONLY = _coarser()
+_REACH = ((-3, None), (-2, None), (-1, None), (0, None), (1, None), (2, None), (0, _SIZE_ONLY), (0, _MIX_ONLY))
+
+
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     """Shape bits of word bytes, and the observations of single marks."""
     bits, marks = np.zeros(256, np.uint8), np.full(256, _MARK, np.int32)
@@ -91,6 +107,11 @@ class Tokens:
         hashes = blocks.span_hashes(blocks.running_bytes(data), self.starts[maybe], self.ends[maybe])
         self.seen[maybe[np.isin(hashes, keys)]] = _KEY
 
+    def view(self, reach: tuple[int, np.ndarray | None]) -> np.ndarray:
+        offset, coarser = reach
+        seen = self.context(offset)
+        return seen if coarser is None else coarser[seen]
+
     def context(self, offset: int) -> np.ndarray:
         """The observation ``offset`` tokens away in the same text, or none."""
         out = np.zeros_like(self.seen)
@@ -167,6 +188,7 @@ class Field:
         moved = np.bincount((tags[:, :-1] * 3 + tags[:, 1:])[pairs], minlength=9).reshape(3, 3)
         means = [np.zeros_like(p) for p in self.parts()]
         squares = [np.zeros_like(p) for p in self.parts()]
+        near = np.array([OWN_RATE if offset == 0 else NEAR_RATE for offset, _ in _REACH])[:, None, None]
         count = max(1, int(used.sum()))
         for step in range(1, ROUNDS + 1):
             scores = self.file[files][:, None] + sum(self.seen[k][seen[..., k]] for k in range(len(_REACH)))
@@ -178,11 +200,11 @@ class Field:
                 for k in range(len(_REACH)):
                     slopes[0][k, :, tag] = np.bincount(seen[..., k].ravel(), flat, OBSERVATIONS)
                 slopes[1][:, tag] = np.bincount(files, rest[..., tag].sum(1), _FILES)
-            for part, slope, mean, square in zip(self.parts(), slopes, means, squares, strict=True):
+            for part, slope, mean, square, rate in zip(self.parts(), slopes, means, squares, (near, OTHER_RATE, OTHER_RATE), strict=True):
                 slope = slope / count + DECAY * part
                 mean += 0.1 * (slope - mean)
                 square += 0.01 * (slope**2 - square)
-                part -= RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+                part -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
 
     def _expected(self, scores: np.ndarray, used: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tag probabilities of every token and expected counts of the moves."""
@@ -208,8 +230,8 @@ class Field:
     def emissions(self, tokens: Tokens) -> np.ndarray:
         weights = self.seen.astype(np.float32)
         out = np.repeat(self.file.astype(np.float32)[tokens.files], np.diff(tokens.bounds), axis=0)
-        for k, offset in enumerate(_REACH):
-            out += weights[k][tokens.context(offset)]
+        for k, reach in enumerate(_REACH):
+            out += weights[k][tokens.view(reach)]
         return out
 
     def tags(self, tokens: Tokens) -> np.ndarray:
@@ -252,7 +274,8 @@ def _viterbi(scores: np.ndarray, moves: np.ndarray, lead: np.ndarray, tail: np.n
 
 def _windows(slab: blocks.Slab) -> Iterator[tuple[bytes, bytes, int]]:
     """Training windows of a slab: observations, tags and file class; those with
-    secrets first, then evenly spread ones."""
+    secrets first, then evenly spread ones. Those with a long token of letters and
+    digits that no pattern covers are left out, as it may be a secret or not."""
     tokens, found = Tokens(slab), base_spans(slab)
     tags = np.zeros(len(tokens.starts), np.int8)
     for row, spans in found.items():
@@ -263,14 +286,16 @@ def _windows(slab: blocks.Slab) -> Iterator[tuple[bytes, bytes, int]]:
             inside = np.flatnonzero((tokens.ends > chars[value]) & (tokens.starts < chars[end]))
             tags[inside] = INSIDE
             tags[inside[:1]] = BEGIN
-    seen = np.stack([tokens.context(k) for k in _REACH], 1).astype(np.int16)
+    seen = np.stack([tokens.view(reach) for reach in _REACH], 1).astype(np.int16)
+    sizes, bits = np.divmod(np.maximum(tokens.seen - _SHAPES, 0), 64)
+    unclear = (tags == OUTSIDE) & (sizes >= 3) & ((bits & 1) > 0) & ((bits & 14) > 0)
     for row in range(slab.last - slab.first):
         low, high = int(tokens.bounds[row]), int(tokens.bounds[row + 1])
         hits = (low + np.flatnonzero(tags[low:high] == BEGIN) - WINDOW // 2).tolist()
         spread = np.linspace(low, max(low, high - WINDOW), SAMPLE_WINDOWS).astype(int).tolist()
         for start in list(dict.fromkeys(hits[:SAMPLE_WINDOWS] + spread))[: 2 * SAMPLE_WINDOWS]:
             a, b = max(low, start), min(high, start + WINDOW)
-            if b > a:
+            if b > a and not unclear[a:b].any():
                 yield seen[a:b].tobytes(), tags[a:b].tobytes(), int(tokens.files[row])
 
 
