@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, decontaminate, exact, jaccard, language, licences, repeats, secrets, urls
+from vitrine.llm import bpe, decontaminate, exact, jaccard, language, licences, quality, repeats, secrets, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -115,6 +115,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select(
+        F.col("id").alias("doc_id"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("kept")
+    )
+
+
 @query()
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
