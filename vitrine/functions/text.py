@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that end a word (Unicode white space and separators).
 SPACE_CLASS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+SPACES = "".join(chr(code) for code in range(0x3001) if re.fullmatch(SPACE_CLASS, chr(code)))
+
 # Words added to a text for its price band.
 BUDGET_WORDS = "affordable budget-friendly económico barato"
 MIDDLE_WORDS = "mid-range precio medio"
@@ -20,7 +24,8 @@ def words(text: Column) -> Column:
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    """White space cut off both ends, looking at the ends only."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def slug(title: Column) -> Column:

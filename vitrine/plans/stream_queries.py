@@ -135,10 +135,26 @@ def stream_webhook_intake(spark, sf_dir):
 @query("SELECT DISTINCT 'shop_' || CAST(conv_id AS VARCHAR) AS shop_domain FROM conversations WHERE turn % 5 <> 4 AND conv_id % 2 = 0 AND role = 'user'")
 def stream_erase_requests(spark, sf_dir):
     """Tenants named by valid erase payloads (those of user turns)."""
+    return spark.read.schema("shop_domain string").parquet(f"{_erase_intake(spark, sf_dir)}/erase").select("shop_domain").distinct()
+
+
+def _erase_intake(spark, sf_dir):
     stream = _stream(spark, sf_dir, "conversations", _CONVERSATIONS)
     path = fresh_dir(spark, "erase")
     body = F.to_json(F.struct(F.concat(F.lit("shop_"), F.col("conv_id").cast("string")).alias("shop_domain"), F.col("text").alias("note")))
     payloads = A.signed_bodies(stream.withColumn("text", body).withColumn("_role", F.col("role")), ["_role"])
     payloads = payloads.withColumn("topic", F.when(F.col("_role") == "user", "tenant/erase").otherwise("other")).drop("_role")
     jobs.drain(payloads, jobs.webhook_intake(path, A.SECRET), f"{path}/checkpoint", mode="append")
-    return spark.read.schema("shop_domain string").parquet(f"{path}/erase").select("shop_domain").distinct()
+    return path
+
+
+@query(
+    f"""WITH {sql.CAT}, gone AS (SELECT DISTINCT 'shop_' || CAST(conv_id AS VARCHAR) AS shop_domain FROM conversations
+  WHERE turn % 5 <> 4 AND conv_id % 2 = 0 AND role = 'user')
+SELECT shop_domain, COUNT(*) AS products FROM cat WHERE shop_domain NOT IN (SELECT shop_domain FROM gone) GROUP BY 1"""
+)
+def stream_tenant_erase(spark, sf_dir):
+    """Products per tenant after the erasures that arrived as payloads."""
+    tables = {"products": B.catalog(spark, sf_dir, vectors=False)}
+    kept = jobs.erase_arrived(spark, _erase_intake(spark, sf_dir), tables)["products"]
+    return kept.groupBy("shop_domain").agg(F.count(F.lit(1)).alias("products"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions import numeric as N
-from vitrine.operators import merge, webhooks
+from vitrine.operators import merge, purge, webhooks
 from vitrine.operators.embedding import Embedder, embed_rows
 from vitrine.session import fresh_dir
 
@@ -209,3 +209,8 @@ def webhook_intake(path: str, secret: str) -> Write:
         erased.write.mode("overwrite").parquet(f"{path}/erase/batch={batch_id}")
 
     return write
+
+
+def erase_arrived(spark: SparkSession, path: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without the rows of all tenants that intake batches at ``path`` asked to erase."""
+    return purge.erase_tenants(tables, spark.read.schema("shop_domain string").parquet(f"{path}/erase"))
