@@ -26,6 +26,7 @@ from vitrine.llm import (
     jaccard,
     language,
     licences,
+    quality,
     registered,
     repeats,
     secrets,
@@ -435,3 +436,34 @@ def test_digest_columns(spark, sf_dir):
     empty_hash = hashlib.sha256(b"").hexdigest()
     none = registered.token_digests(table(spark, [(1, None, None)])).first()
     assert (none["n_tokens"], none["ids_sha256"], none["decoded_sha256"]) == (0, empty_hash, empty_hash)
+
+
+def test_quality_on_labels_not_trained_on(spark, sf_dir, docs, empty):
+    folder = sf_dir.replace("0.001", "0.01")
+    given_, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    aside = F.crc32(F.col("doc_id").cast("string")) % 4 == 0
+    model = quality.train(given_, labels.filter(~aside))
+    found = quality.score(given_, model).withColumnRenamed("id", "doc_id").join(labels.filter(aside), "doc_id")
+    right = lambda c: F.avg(((F.col(c) >= 0.5) == (F.col("quality") == 1)).cast("int"))
+    combined, clean = found.agg(right("score"), F.avg(F.when(F.col("quality") == 1, (F.col("score") >= 0.5).cast("int")))).first()
+    assert combined > 0.9 and clean > 0.95
+    awkward = docs.withColumn("source", F.lit(None).cast("string"))
+    scores = by_id(quality.score(awkward, model), "text_score", "meta_score", "score")
+    assert sum(map(len, scores.values())) == docs.count()
+    assert all(0 <= x <= 1 for rows in scores.values() for row in rows for x in row)
+    both = labels.limit(0).unionByName(labels.filter("quality = 1").limit(3))
+    assert quality.train(given_, both) is None and quality.train(awkward.limit(0), labels) is None
+    assert {tuple(r) for r in quality.score(awkward, None).select("score").collect()} == {(0.5,)}
+    assert quality.score(empty.withColumn("source", F.lit("s")), model).count() == 0
+
+
+def test_views_teach_each_other():
+    """A view that the few labels say nothing about learns from the other one."""
+    rnd = np.random.default_rng(3)
+    truth = rnd.random(600) < 0.5
+    text = np.where(truth[:, None], 1.0, -1.0) + rnd.normal(0, 0.4, (600, 4))
+    meta = np.where(truth[:, None], 1.0, -1.0) * np.array([[1, 0, 0]]) + rnd.normal(0, 0.6, (600, 3))
+    known, pool = slice(0, 20), slice(20, 400)
+    model = quality.co_train((text[known], meta[known]), truth[known].astype(float), (text[pool], meta[pool]))
+    for view, features in ((model.text, text), (model.meta, meta)):
+        assert ((view.odds(features[400:]) > 0) == truth[400:]).mean() > 0.9
