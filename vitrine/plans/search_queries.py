@@ -350,7 +350,8 @@ asked AS (
 ),
 scored AS (
   SELECT a.query_id, a.title AS corrected_query, a.k, a.exclude_archived, c.product_id, c.shop_domain, c.title, c.price, c.vendor, c.category,
-         c.handle, c.archived, round(list_cosine_similarity(c.embedding, a.qvec), 6) AS similarity, a.similarity_threshold
+         c.handle, c.archived, md5(COALESCE(c.description, '-')) AS description_md5,
+         round(list_cosine_similarity(c.embedding, a.qvec), 6) AS similarity, a.similarity_threshold
   FROM asked a JOIN cat c USING (shop_domain)
   WHERE c.embedding IS NOT NULL AND (a.max_price IS NULL OR c.price <= a.max_price) AND (NOT a.exclude_out_of_stock OR c.in_stock)
 ),
@@ -360,8 +361,8 @@ top AS (
 shown AS (SELECT * FROM top WHERE NOT (exclude_archived AND archived))"""
 
 
-def _answers(spark, sf_dir, archived_filter="post"):
-    catalog = B.catalog(spark, sf_dir)
+def _answers(spark, sf_dir, archived_filter="post", descriptions=False, limits=None):
+    catalog = B.catalog(spark, sf_dir, descriptions=descriptions)
     config = settings.tenant_config(B.settings(spark, sf_dir), catalog.select("shop_domain"))
     vectors = B.title_vectors(spark, sf_dir).withColumnRenamed("title", "corrected_query")
     return requests.answer(
@@ -370,18 +371,44 @@ def _answers(spark, sf_dir, archived_filter="post"):
         config,
         typos.vocabulary_from_titles(B.catalog(spark, sf_dir, vectors=False)),
         lambda rows: rows.join(vectors, "corrected_query"),
+        limits=limits,
         archived_filter=archived_filter,
     )
 
 
-@query(
-    _REQUEST_SQL
-    + """ SELECT query_id, shop_domain, corrected_query, rank, product_id AS id, title, CAST(price AS DOUBLE) AS price,
-       vendor, category, handle, similarity AS similarity_score FROM shown"""
-)
+_SHOWN_COLUMNS = """ SELECT query_id, shop_domain, corrected_query, rank, product_id AS id, title, CAST(price AS DOUBLE) AS price,
+       vendor, category, handle, description_md5, similarity AS similarity_score FROM shown"""
+
+
+def _shown(results):
+    return results.withColumn("description_md5", F.md5(F.coalesce("description", F.lit("-")))).drop("description")
+
+
+@query(_REQUEST_SQL + _SHOWN_COLUMNS)
 def search_requests(spark, sf_dir):
     """Misspelt requests answered end to end under each tenant's configuration."""
-    return _answers(spark, sf_dir).results.drop("description")
+    return _shown(_answers(spark, sf_dir, descriptions=True).results)
+
+
+@query(
+    _REQUEST_SQL.replace("WHERE similarity >= similarity_threshold / 100.0", "WHERE similarity >= similarity_threshold / 100.0 AND NOT (exclude_archived AND archived)")
+    + _SHOWN_COLUMNS
+)
+def search_requests_pre(spark, sf_dir):
+    """The same requests with archived products left out before the top-k."""
+    return _shown(_answers(spark, sf_dir, archived_filter="pre", descriptions=True).results)
+
+
+@query(
+    f"""WITH {sql.CAT}, sold AS (SELECT DISTINCT shop_domain, title FROM cat WHERE embedding IS NOT NULL)
+SELECT shop_domain || '/' || title AS query_id, shop_domain FROM sold WHERE CAST(replace(shop_domain, 'shop_', '') AS INTEGER) % 4 = 1"""
+)
+def search_limited(spark, sf_dir):
+    """Requests turned away by their tenant's plan."""
+    number = F.regexp_extract("shop_domain", r"(\d+)", 1).cast("int")
+    shops = B.catalog(spark, sf_dir, vectors=False).select("shop_domain").distinct()
+    limits = shops.select(F.col("shop_domain").alias("shop"), (number % 4 == 1).alias("searches_exceeded"))
+    return _answers(spark, sf_dir, limits=limits).limited.select("query_id", "shop_domain")
 
 
 @query(
