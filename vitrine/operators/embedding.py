@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions import predicates as P
-from vitrine.functions import skew
+from vitrine.functions import sizing, skew
 from vitrine.functions.text import cache_key
 from vitrine.operators import merge
 from vitrine.session import cut_lineage
@@ -144,14 +144,18 @@ def embed_through_cache(
 ) -> tuple[DataFrame, DataFrame]:
     """``rows`` with ``embedding``, and the entries to append to the cache.
 
-    Each distinct text is looked up or embedded once. ``spread`` names columns
-    that tell rows of equal text apart, as one text may be most of the input.
+    Each distinct text is looked up or embedded once; keys are counted without
+    their texts, and only the texts of missing keys are fetched. ``spread`` names
+    columns that tell rows of equal text apart, as one text may be most of the input.
     """
-    added = embed_rows(cache_misses(rows, text, cache, as_of, model), "text", embedder)
-    added = cut_lineage(added.filter(F.col("status") == "ok"))
+    usable = keyed(rows.filter(P.not_blank(text)), text, model)
+    wanted = cut_lineage(usable.groupBy("cache_key").count())
+    live = fresh_entries(cache, as_of)
+    missing = sizing.small_side(wanted.join(live, "cache_key", "left_anti").select("cache_key"))
+    texts = usable.join(missing, "cache_key", "left_semi").groupBy("cache_key").agg(F.first(text).alias("text"))
+    added = cut_lineage(embed_rows(texts, "text", embedder).filter(F.col("status") == "ok"))
     new_entries = added.select("cache_key", "embedding", F.lit(as_of).cast("timestamp_ntz").alias("cached_at"))
-    wanted = distinct_texts(rows, text, model)
-    hits = fresh_entries(cache, as_of).join(wanted, "cache_key", "left_semi")
+    hits = live.join(wanted, "cache_key", "left_semi")
     known = hits.select("cache_key", "embedding").unionByName(new_entries.select("cache_key", "embedding"))
     found = skew.join(keyed(rows, text, model), known, ["cache_key"], "left", spread=spread, counts=wanted, check_small=True)
     return found.drop("cache_key"), new_entries

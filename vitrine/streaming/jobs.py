@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.functions import numeric as N
+from vitrine.functions import sizing
 from vitrine.operators import merge, purge, webhooks
 from vitrine.operators.embedding import Embedder, embed_rows
 from vitrine.session import fresh_dir
@@ -160,7 +161,7 @@ def embed_new_products(table_path: str, text: str, embedder: Embedder) -> Write:
             rows.select(*merge.PRODUCT_KEYS, text, F.monotonically_increasing_id().alias("ordinal")), merge.PRODUCT_KEYS
         )
         keyed = last.select(*merge.PRODUCT_KEYS, text, F.sha2(text, 256).alias("text_key"))
-        stored = _stored_before(spark, table_path, batch_id)
+        stored = _stored_before(spark, table_path, batch_id, keyed.select(*merge.PRODUCT_KEYS))
         todo = keyed if stored is None else keyed.join(stored, [*merge.PRODUCT_KEYS, "text_key"], "left_anti")
         embedded = embed_rows(todo, text, embedder)
         embedded.drop(text).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
@@ -180,12 +181,14 @@ _EMBEDDED = T.StructType(
 )
 
 
-def _stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Keys embedded by earlier batches: the newest entry per product, if it went well."""
+def _stored_before(spark: SparkSession, path: str, batch_id: int, wanted: DataFrame) -> DataFrame | None:
+    """What earlier batches embedded of the wanted products: the newest entry of each, if
+    it went well. Earlier entries of other products are only scanned, by key."""
     if batch_id == 0:
         return None
     schema = T.StructType([*_EMBEDDED.fields, T.StructField("batch", T.LongType())])
     earlier = spark.read.schema(schema).parquet(path).filter(F.col("batch") < batch_id)
+    earlier = earlier.join(sizing.small_side(wanted), merge.PRODUCT_KEYS, "left_semi")
     newest = earlier.groupBy(*merge.PRODUCT_KEYS).agg(F.max_by(F.struct("text_key", "status"), "batch").alias("_last"))
     done = newest.filter(F.col("_last.status") == "ok")
     return done.select(*merge.PRODUCT_KEYS, F.col("_last.text_key").alias("text_key"))
