@@ -55,7 +55,7 @@ def test_partial_aggregation_precedes_every_shuffle_of_events(spark, sf_dir):
 
 def test_top_k_limits_before_the_shuffle(spark):
     partial = spark.range(5000).selectExpr("cast(id % 7 as string) AS query_id", "cast(id as int) AS k", "cast(id as string) AS product_id", "'s' AS shop_domain", "cast(id as double) AS similarity")
-    assert "WindowGroupLimit" in plan(search.final_rank(partial))
+    assert "WindowGroupLimit" in plan(search.final_rank(partial, most=1000))
 
 
 def test_size_check(spark):

@@ -120,11 +120,15 @@ def _bucket_angles(requests: DataFrame, centroids: np.ndarray) -> DataFrame:
 def _score(index: BucketIndex, requests: DataFrame, visits: DataFrame) -> DataFrame:
     """Partial results of the requests in the buckets they visit.
 
-    The visited buckets, at most one per centroid, become a partition filter.
+    The visited buckets, at most one per centroid, become a partition filter. Requests
+    that are few go to the buckets as they lie; many are dealt to blocks with them.
     """
     asked = cut_lineage(requests.join(visits.select("query_id", "cell"), "query_id"))
     cells = sorted(row["cell"] for row in asked.select("cell").distinct().collect())
     products = index.products.drop("angle").filter(F.col("cell").isin(cells))
+    block, _ = search.small_block(asked)
+    if block is not None:
+        return search.broadcast_partials(products, asked, block, "cell")
     return search.blocked_partials(products, asked, by_tenant=False)
 
 

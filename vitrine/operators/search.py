@@ -69,13 +69,13 @@ def threshold_fraction(percent: Column) -> Column:
 class _Requests:
     """Requests of one block as arrays; absent bounds are NaN."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, group: str | None):
         columns = {name: table.column(name) for name in table.column_names}
         self.ids = columns["query_id"].to_pylist()
         vectors = columns["qvec"].combine_chunks()
         dim = len(vectors[0]) if len(vectors) else 0
         self.vectors = _unit(_matrix(vectors, dim))
-        self.shops = columns["shop_domain"].to_pylist()
+        self.groups = columns[group].to_pylist() if group else []
         self.k = np.array([NO_LIMIT if v is None else v for v in columns["k"].to_pylist()], dtype=np.int64)
         self.floor = _floats(columns["min_similarity"])
         self.low = _floats(columns["min_price"])
@@ -105,17 +105,16 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 class _BestRows:
-    """Running best rows per request while batches of products pass by."""
+    """Running best rows per request while batches of products pass by. With a
+    ``group`` column a request meets only the products of its own group."""
 
-    def __init__(self, requests: _Requests, by_tenant: bool):
+    def __init__(self, requests: _Requests, group: str | None):
         self.requests = requests
         self.kept: list[list[tuple]] = [[] for _ in requests.ids]
         self.cut = np.full(len(requests.ids), -np.inf)
-        self.members: dict[str | None, np.ndarray] = {}
-        if by_tenant:
-            shops = np.array(requests.shops, dtype=object)
-            self.members = {shop: np.flatnonzero(shops == shop) for shop in set(requests.shops)}
-        self.by_tenant = by_tenant
+        groups = np.array(requests.groups, dtype=object)
+        self.members = {name: np.flatnonzero(groups == name) for name in set(requests.groups)}
+        self.group = group
 
     def add(self, batch: pa.RecordBatch) -> None:
         if batch.num_rows == 0 or not self.requests.ids:
@@ -124,10 +123,10 @@ class _BestRows:
         vectors = _unit(_matrix(column["embedding"], self.requests.vectors.shape[1]))
         price = column["price"].to_numpy(zero_copy_only=False).astype(np.float64)
         stock = np.array(column["in_stock"].to_numpy(zero_copy_only=False), dtype=bool)
-        if not self.by_tenant:
+        if self.group is None:
             self._score_in_parts(column, vectors, price, stock, np.arange(batch.num_rows), np.arange(len(self.cut)))
             return
-        codes = column["shop_domain"].dictionary_encode()
+        codes = column[self.group].dictionary_encode()
         names = codes.dictionary.to_pylist()
         index = codes.indices.to_numpy(zero_copy_only=False)
         for code, name in enumerate(names):
@@ -219,31 +218,44 @@ def _result_schema(queries: DataFrame) -> T.StructType:
     )
 
 
-def final_rank(partial: DataFrame) -> DataFrame:
-    """Best ``k`` rows per request out of partial results; adds ``rank``.
+def final_rank(partial: DataFrame, most: int = NO_LIMIT) -> DataFrame:
+    """Best ``k`` rows per request out of partial results; adds ``rank``. ``most`` is the
+    largest k, if known; a small one is applied before the shuffle.
 
     Each task of the scan hands in up to k rows per request, so a request's rows
     are ranked in parts first and only ``RANK_PARTS`` times k of them meet."""
     part = F.pmod(F.xxhash64("product_id", "shop_domain"), F.lit(RANK_PARTS))
     order = [F.desc("similarity"), F.col("product_id"), F.asc_nulls_first("shop_domain")]
     within = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
-    short = partial.withColumn("part", part).withColumn("rank", within).filter("rank <= k").drop("rank", "part")
+    short = partial.withColumn("part", part).withColumn("rank", within).filter(f"rank <= k AND rank <= {most}").drop("rank", "part")
     ranked = short.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return ranked.filter("rank <= k").drop("k")
+    return ranked.filter(f"rank <= k AND rank <= {most}").drop("k")
 
 
-def broadcast_partials(products: DataFrame, requests: DataFrame, block: pa.Table, by_tenant: bool) -> DataFrame:
+def _group(by_tenant: bool) -> str | None:
+    return "shop_domain" if by_tenant else None
+
+
+def small_block(requests: DataFrame, most: int = MAX_BROADCAST_REQUESTS) -> tuple[pa.Table | None, int]:
+    """The requests, if they are few and small enough to be sent to all tasks, and the largest k."""
+    width, largest = F.size("qvec") * 8 + 128, F.max(F.coalesce("k", F.lit(NO_LIMIT)))
+    facts = requests.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"), largest.alias("k")).first()
+    small = facts["rows"] <= most and facts["bytes"] <= MAX_BROADCAST_BYTES
+    return (requests.toArrow() if small else None), facts["k"] or 0
+
+
+def broadcast_partials(products: DataFrame, requests: DataFrame, block: pa.Table, group: str | None) -> DataFrame:
     schema = _result_schema(requests)
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
     shared = products.sparkSession.sparkContext.broadcast(block)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _BestRows(_Requests(shared.value), by_tenant)
+        kept = _BestRows(_Requests(shared.value, group), group)
         for batch in batches:
             kept.add(batch)
         yield from kept.table(arrow_schema).to_batches()
 
-    if by_tenant:
+    if group == "shop_domain":
         shops = sorted({s for s in block.column("shop_domain").to_pylist() if s is not None})
         if len(shops) <= MAX_PUSHED_TENANTS:
             products = products.filter(F.col("shop_domain").isin(shops))
@@ -287,7 +299,7 @@ def blocked_partials(
             return rows.join(F.broadcast(sizes), "cell")
         return skew.join(rows, sizes, ["cell"], "inner", spread=spread, counts=counts)
 
-    schema = _result_schema(requests)
+    schema, group = _result_schema(requests), _group(by_tenant)
     arrow_schema = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
     zero = F.lit(0).cast("bigint")
     dealt_products = (
@@ -302,7 +314,7 @@ def blocked_partials(
     )
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = _BestRows(_Requests(right), by_tenant)
+        kept = _BestRows(_Requests(right, group), group)
         for batch in left.to_batches():
             kept.add(batch)
         return kept.table(arrow_schema)
@@ -330,14 +342,14 @@ def top_k(
     """
     products = _products(catalog)
     requests = _requests(queries, k)
-    head = requests.limit(max_broadcast + 1).toArrow()
-    if head.num_rows <= max_broadcast and head.nbytes <= MAX_BROADCAST_BYTES:
-        partial = broadcast_partials(products, requests, head, by_tenant)
+    requests = cut_lineage(requests)
+    head, largest = small_block(requests, max_broadcast)
+    if head is not None:
+        partial = broadcast_partials(products, requests, head, _group(by_tenant))
     else:
-        requests = cut_lineage(requests)
         cell = F.col("shop_domain") if by_tenant else F.lit("all")
         partial = blocked_partials(products.withColumn("cell", cell), requests.withColumn("cell", cell), by_tenant)
-    return final_rank(partial)
+    return final_rank(partial, largest)
 
 
 def with_products(results: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame:
