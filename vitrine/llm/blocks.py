@@ -7,14 +7,18 @@ longer than a slab is a slab of its own).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLAB_BYTES = 1 << 20
+SLAB_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
+Task = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0xD1342543DE82EF95
@@ -111,6 +115,29 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - begin, counts) + np.arange(total)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """``docs``, its session set to hand texts to Python a few megabytes at a time."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs
+
+
+def tidy(run: Task) -> Task:
+    """``run``, after which the worker hands unused memory back to the system, as the
+    same process serves other tasks and stages."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return wrapped
+
+
 def column(batch: pa.RecordBatch, name: str, slab: Slab) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name)).slice(slab.first, slab.last - slab.first)
 

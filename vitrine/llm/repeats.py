@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.functions import sizing
 from vitrine.llm import blocks
 from vitrine.session import cut_lineage
 
@@ -194,8 +193,8 @@ def _names(named: DataFrame, buckets: int) -> DataFrame:
         yield _rows(_OPEN_HOT, tuples[lead & hot])
         yield _rows(_OPEN, tuples[lead & ~hot & (contexts > 1)])
 
-    dealt = named.mapInArrow(local, _OUT_SCHEMA).repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc", "at"), F.lit(buckets)).cast("int")))
-    return cut_lineage(dealt.mapInArrow(join, _OUT_SCHEMA).select("kind", "doc", "at", "count", "name"))
+    dealt = named.mapInArrow(blocks.tidy(local), _OUT_SCHEMA).repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc", "at"), F.lit(buckets)).cast("int")))
+    return cut_lineage(dealt.mapInArrow(blocks.tidy(join), _OUT_SCHEMA).select("kind", "doc", "at", "count", "name"))
 
 
 def _first_strings(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +237,7 @@ def _string_repeats(named: DataFrame, open_: DataFrame, buckets: int) -> DataFra
     wanted = open_.groupBy("doc").agg(
         F.collect_list(F.struct("at", "count", "name", (F.col("kind") == _OPEN_HOT).alias("hot"))).alias("tuples")
     )
-    texts = named.join(sizing.small_side(wanted), named["id"] == F.col("doc")).select("id", "text", "tuples")
+    texts = named.join(wanted, named["id"] == F.col("doc")).select("id", "text", "tuples")
     head = np.dtype([("name", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("count", "<u4")])
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +295,8 @@ def _string_repeats(named: DataFrame, open_: DataFrame, buckets: int) -> DataFra
             strings, repeated = _first_strings(np.concatenate(parts))
             yield _rows(_REPEATED, _runs(strings[repeated]))
 
-    dealt = texts.mapInArrow(local, _OUT_SCHEMA).repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc", "at"), F.lit(buckets)).cast("int")))
-    return cut_lineage(dealt.mapInArrow(join, _OUT_SCHEMA).select("doc", "at", "count"))
+    dealt = texts.mapInArrow(blocks.tidy(local), _OUT_SCHEMA).repartition(buckets, F.coalesce("bucket", F.pmod(F.xxhash64("doc", "at"), F.lit(buckets)).cast("int")))
+    return cut_lineage(dealt.mapInArrow(blocks.tidy(join), _OUT_SCHEMA).select("doc", "at", "count"))
 
 
 def _removed(slab: blocks.Slab, row: int, at: np.ndarray, count: np.ndarray) -> tuple[list[dict[str, int]], bytes]:
@@ -351,5 +350,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "removed", "kept"])
 
     schema = T.StructType.fromDDL("id bigint, n_bytes bigint, removed array<struct<start: bigint, end: bigint>>, kept binary")
-    joined = named.join(sizing.small_side(runs), named["id"] == F.col("doc"), "left").select("id", "text", "runs")
-    return joined.mapInArrow(cut, schema)
+    joined = named.join(runs, named["id"] == F.col("doc"), "left").select("id", "text", "runs")
+    return joined.mapInArrow(blocks.tidy(cut), schema)
