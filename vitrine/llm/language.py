@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,21 +95,20 @@ def _fit(languages: list[str], present: np.ndarray, language: np.ndarray) -> Mod
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model | None:
-    """A model from at most ``SAMPLE_TEXTS`` texts (those of the smallest id hashes) of
-    each of the ``LANGUAGES`` most frequent languages; their n-gram sets, of fixed
-    size, reach the driver. Rows without an id, language or letter are left out;
-    without any other row there is no model."""
+    """A model from about ``SAMPLE_TEXTS`` texts, chosen by id hash, of each of the
+    ``LANGUAGES`` most frequent languages (all texts of a language that has no
+    more); their n-gram sets, of fixed size, reach the driver. Rows without an id,
+    language or letter are left out; without any other row there is no model."""
     named = docs.select(
         docs[f"`{id_col}`"].alias("id"), docs[f"`{lang_col}`"].alias("lang"), docs[f"`{text_col}`"].alias("text")
     ).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    languages = sorted(r["lang"] for r in frequent.collect())
-    if not languages:
+    rows_of = {r["lang"]: r["count"] for r in frequent.collect()}
+    if not rows_of:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ranked = named.select("id", "lang").filter(F.col("lang").isin(languages)).withColumn("rank", F.row_number().over(order))
-    chosen = ranked.filter(F.col("rank") <= SAMPLE_TEXTS).select("id", "lang").distinct()
-    texts = named.join(F.broadcast(chosen), ["id", "lang"], "left_semi")
+    # A hash below this share of a language's rows: one filter, no rows of a language meet.
+    rank = F.pmod(F.xxhash64("id"), F.create_map(*(F.lit(x) for pair in rows_of.items() for x in pair))[F.col("lang")])
+    texts = named.filter(F.col("lang").isin(list(rows_of)) & (rank < SAMPLE_TEXTS))
     classes = bpe.character_classes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +123,7 @@ def train(
                     yield pa.RecordBatch.from_arrays([ids, langs, pa.array(packed, pa.binary())], ["id", "lang", "grams"])
 
     schema = T.StructType([texts.schema["id"], T.StructField("lang", T.StringType()), T.StructField("grams", T.BinaryType())])
-    rows = texts.select("id", "lang", "text").mapInArrow(run, schema).filter("grams IS NOT NULL")
+    rows = texts.select("id", "lang", "text").mapInArrow(blocks.tidy(run), schema).filter("grams IS NOT NULL").dropDuplicates(["id", "lang"])
     found = rows.orderBy(F.xxhash64("id"), "id", "lang", "grams").toPandas()
     languages = sorted(set(found["lang"]))
     if not languages:
@@ -134,8 +133,8 @@ def train(
     return _fit(languages, present, found["lang"].map(number).to_numpy())
 
 
-def _scored(rows: DataFrame, model: Model | None) -> DataFrame:
-    """(own, lang_pred, score) for rows of (own, text); ``own`` may be of any type."""
+def _scored(rows: DataFrame, model: Model | None, text: str, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of ``rows`` with ``lang_pred`` and ``score`` for the column ``text``."""
     classes = bpe.character_classes()
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
@@ -144,7 +143,7 @@ def _scored(rows: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             for low in range(0, batch.num_rows, ROWS):
                 part = batch.slice(low, ROWS)
-                for slab in blocks.slabs(part, "text"):
+                for slab in blocks.slabs(part, text):
                     rows = slab.last - slab.first
                     names, scores = [UNKNOWN] * rows, np.zeros(rows)
                     if model is not None:
@@ -153,10 +152,11 @@ def _scored(rows: DataFrame, model: Model | None) -> DataFrame:
                         best = margins.argmax(1)
                         scores = np.where(letters, np.clip((margins.max(1) + 1) / 2, 0, 1), 0).astype(float)
                         names = [model.languages[b] if has else UNKNOWN for b, has in zip(best, letters, strict=True)]
-                    columns = [blocks.column(part, "own", slab), pa.array(names, pa.string()), pa.array(scores)]
-                    yield pa.RecordBatch.from_arrays(columns, ["own", "lang_pred", "score"])
+                    own = [blocks.column(part, c, slab) for c in keep]
+                    columns = [*own, pa.array(names, pa.string()), pa.array(scores)]
+                    yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["own"], *added]))
+    return rows.mapInArrow(blocks.tidy(run), T.StructType([*(rows.schema[c] for c in keep), *added]))
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,8 +168,8 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     one, NULL and repeated ids included; an empty table gives no rows. Only the
     text is used.
     """
-    named = docs.select(docs[f"`{id_col}`"].alias("own"), docs[f"`{text_col}`"].alias("text"))
-    return _scored(named, model).withColumnRenamed("own", "id")
+    named = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
+    return _scored(named, model, "text", ["id"])
 
 
 def in_a_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -177,8 +177,11 @@ def in_a_language(docs: DataFrame, model: Model | None, text_col: str = "text")
     ``predict`` calls ``und`` go. Without a model nothing is rejected."""
     if model is None:
         return docs
-    named = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("own"), docs[f"`{text_col}`"].alias("text"))
-    return _scored(named, model).filter(F.col("lang_pred") != UNKNOWN).select("own.*")
+    plain = {f"column_{i}": c for i, c in enumerate(docs.columns)}  # no name clashes with those added
+    named = docs.toDF(*plain)
+    text = f"column_{docs.columns.index(text_col)}"
+    found = _scored(named, model, text, named.columns).filter(F.col("lang_pred") != UNKNOWN)
+    return found.select(*(F.col(own).alias(name) for own, name in plain.items()))
 
 
 def held_out(id_col: Column | str) -> Column:
