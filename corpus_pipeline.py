@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.llm import decontaminate, exact, jaccard, language, registered
+from vitrine.llm import blocks, decontaminate, exact, jaccard, language, registered
 from vitrine.session import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: NULL texts and texts without letters."""
+    docs = blocks.bounded(docs)
     model = language.train(docs.filter(~language.held_out("doc_id")))
     return language.in_a_language(docs, model)
 
@@ -21,17 +22,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the one with the smallest id stays."""
-    return jaccard.without_near_duplicates(docs)
+    return jaccard.without_near_duplicates(blocks.bounded(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
-    return decontaminate.without_contaminated(docs, registered.table(spark, sf_dir, "benchmark"))
+    return decontaminate.without_contaminated(blocks.bounded(docs), registered.table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: number of tokens and hashes of the ids and of what they decode to."""
-    return registered.token_digests(docs)
+    return registered.token_digests(blocks.bounded(docs))
 
 
 STAGES = [

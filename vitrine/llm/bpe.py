@@ -316,7 +316,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 )
 
     named = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
-    return named.mapInArrow(run, schema)
+    return named.mapInArrow(blocks.tidy(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, keep: list[str] | None = None) -> DataFrame:
@@ -339,4 +339,4 @@ def decode(encoded: DataFrame, vocabulary: str, keep: list[str] | None = None) -
                 kept = [part.column(part.schema.get_field_index(c)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, blocks.binaries(texts)], [*keep, "decoded"])
 
-    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, schema)
+    return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(blocks.tidy(run), schema)

@@ -223,7 +223,7 @@ def contaminated(
                     rest = [[i for _, i in best], [v[1] for v in best.values()], [v[2] for v in best.values()], [v[0] for v in best.values()]]
                     yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in rest)], ["id", "number", "start", "end", "edits"])
 
-        return named.mapInArrow(run, schema)
+        return named.mapInArrow(blocks.tidy(run), schema)
 
     spark, parts = docs.sparkSession, []
     for names, texts in _blocks(items.filter("text IS NOT NULL")):

@@ -26,7 +26,7 @@ from vitrine.session import cut_lineage
 WORDS, PERCENT = 5, 80
 ROWS = 4096  # a row number and a shingle's hash share 64 bits
 BAND = 4  # sizes of a band differ by less than this factor
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES, PACKED_ROWS = 8 << 20, 2048
 MOST_SLOT_BITS, SLOT_PARTS = 22, 16
 SKETCH_BITS, CELL_ROWS = 2048, 1024
 _ROW_SHIFT = np.uint64(52)
@@ -137,8 +137,8 @@ def commonness(named: DataFrame, words: int = WORDS) -> np.ndarray:
             yield arrays(sums)
 
     schema = "part int, salt int, counts binary"
-    tallied = named.select("text").mapInArrow(tally, schema).repartition("part", "salt").mapInArrow(add, schema)
-    rows = tallied.repartition("part").mapInArrow(add, schema).toPandas()
+    tallied = named.select("text").mapInArrow(blocks.tidy(tally), schema).repartition("part", "salt").mapInArrow(blocks.tidy(add), schema)
+    rows = tallied.repartition("part").mapInArrow(blocks.tidy(add), schema).toPandas()
     counts = np.zeros(slots, np.int64)
     for number, raw in zip(rows["part"], rows["counts"], strict=True):
         counts[number * part : (number + 1) * part] += np.frombuffer(raw, np.int64)
@@ -179,7 +179,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
                     )
 
     schema = "id bigint, size bigint, one bigint, two bigint, keys array<bigint>"
-    return cut_lineage(named.mapInArrow(run, schema))
+    return cut_lineage(named.mapInArrow(blocks.tidy(run), schema))
 
 
 _ENTRY = np.dtype([("key", "<u8"), ("leader", "<i8"), ("member", "<i8")])
@@ -215,7 +215,7 @@ def star_pairs(kept: DataFrame) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, PACKED_ROWS) for b in batches for low in range(0, b.num_rows, PACKED_ROWS)):
             lists = batch.column(1)
             counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             entries = np.zeros(int(counts.sum()), _ENTRY)
@@ -240,9 +240,9 @@ def star_pairs(kept: DataFrame) -> DataFrame:
         pairs = np.concatenate([pairs, entries[local]])
         yield pa.RecordBatch.from_arrays([pa.array(pairs["leader"].copy()), pa.array(pairs["member"].copy())], ["a", "b"])
 
-    packed = kept.select("id", "keys").mapInArrow(pack, "bucket int, entries binary")
+    packed = kept.select("id", "keys").mapInArrow(blocks.tidy(pack), "bucket int, entries binary")
     dealt = packed.repartition(buckets, "bucket").select("entries")
-    return dealt.mapInArrow(join, "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(blocks.tidy(join), "a bigint, b bigint").distinct()
 
 
 def _copies(kept: DataFrame) -> DataFrame:
@@ -282,11 +282,11 @@ def _verified(pairs: DataFrame, kept: DataFrame, named: DataFrame, words: int, p
                 linked.append(100 * shared >= percent * (len(one) + len(two) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    sets = cut_lineage(named.join(ids, "id", "left_semi").mapInArrow(remake, "id bigint, hashes binary").dropDuplicates(["id"]))
+    sets = cut_lineage(named.join(ids, "id", "left_semi").mapInArrow(blocks.tidy(remake), "id bigint, hashes binary").dropDuplicates(["id"]))
     ones, twos = sets.toDF("a", "one"), sets.toDF("b", "two")
     compared = open_.join(ones, "a").join(twos, "b").select("a", "b", "one", "two")
     rest = known.filter(~near).select("a", "b", F.lit(False).alias("linked"))
-    return cut_lineage(rest.union(compared.mapInArrow(compare, "a bigint, b bigint, linked boolean")))
+    return cut_lineage(rest.union(compared.mapInArrow(blocks.tidy(compare), "a bigint, b bigint, linked boolean")))
 
 
 def _unsettled(tested: DataFrame, kept: DataFrame, found: DataFrame) -> DataFrame:
@@ -369,7 +369,7 @@ def _sketched_pairs(rows: DataFrame, named: DataFrame, words: int, percent: int)
                     sizes = pa.array(np.diff(begins))
                     yield pa.RecordBatch.from_arrays([blocks.column(part, "id", slab), sizes, blocks.binaries(bits)], ["id", "size", "sketch"])
 
-    made = named.join(ids, "id", "left_semi").mapInArrow(sketch, "id bigint, size bigint, sketch binary").dropDuplicates(["id"])
+    made = named.join(ids, "id", "left_semi").mapInArrow(blocks.tidy(sketch), "id bigint, size bigint, sketch binary").dropDuplicates(["id"])
     full = dealt.join(sizing.small_side(made), "id").select("key", "low", "high", "id", "component", "size", "sketch")
     entry = np.dtype([("cell", "<i8", 3), ("id", "<i8"), ("component", "<i8"), ("size", "<i8"), ("sketch", "u1", SKETCH_BITS // 8)])
 
@@ -399,7 +399,7 @@ def _sketched_pairs(rows: DataFrame, named: DataFrame, words: int, percent: int)
 
     cell = ["key", "low", "high"]
     dealt_out = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(dealt_out, *cell).sortWithinPartitions(*cell).mapInArrow(compare, "a bigint, b bigint").distinct()
+    return full.repartition(dealt_out, *cell).sortWithinPartitions(*cell).mapInArrow(blocks.tidy(compare), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(

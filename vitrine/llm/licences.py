@@ -268,4 +268,4 @@ def scan(
                 )
 
     named = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
-    return named.mapInArrow(run, schema)
+    return named.mapInArrow(blocks.tidy(run), schema)

@@ -194,7 +194,7 @@ def _views(rows: DataFrame, scored: Model | None = None) -> DataFrame:
                         columns = [blocks.binaries([np.packbits(p).tobytes() for p in present]), blocks.binaries([m.tobytes() for m in meta])]
                     yield pa.RecordBatch.from_arrays([blocks.column(part, "id", slab), *columns], names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(blocks.tidy(run), schema)
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import bpe, decontaminate, exact, jaccard, language, licences, quality, repeats, secrets, urls
+from vitrine.llm import blocks, bpe, decontaminate, exact, jaccard, language, licences, quality, repeats, secrets, urls
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -30,7 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return blocks.bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 @query(

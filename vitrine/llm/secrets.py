@@ -317,7 +317,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
                 )
 
     field = Field()
-    rows = texts.select("text").mapInArrow(run, "seen binary, tags binary, file int").toPandas()
+    rows = texts.select("text").mapInArrow(blocks.tidy(run), "seen binary, tags binary, file int").toPandas()
     if len(rows):
         rows = rows.sort_values(["seen", "tags", "file"])  # no order of tasks shows in the weights
         seen = np.zeros((len(rows), WINDOW, len(_REACH)), np.int64)
@@ -383,4 +383,4 @@ def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
                 values = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans] for spans in lists]
                 yield pa.RecordBatch.from_arrays([blocks.column(batch, "id", slab), pa.array(values, pa.list_(_ARROW_SPAN))], ["id", "spans"])
 
-    return docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).mapInArrow(blocks.tidy(run), schema)

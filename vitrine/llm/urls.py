@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
+from vitrine.llm import blocks
 
 # The rules (verdict, host, path).
 RULES = [
@@ -52,9 +53,9 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"first": F.xxhash64("key"), "second": F.xxhash64("key", F.lit(1))})
 
 
-def _probe(blocks: int, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _probe(total: int, first: np.ndarray, second: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word and bit of each probe: one block by the first hash, bits by the second."""
-    base = (first.view(np.uint64) % np.uint64(blocks)).astype(np.int64) * (BLOCK_BITS // 64)
+    base = (first.view(np.uint64) % np.uint64(total)).astype(np.int64) * (BLOCK_BITS // 64)
     bits = second.view(np.uint64)
     for i in range(PROBES):
         place = (bits >> np.uint64(9 * i)) & np.uint64(BLOCK_BITS - 1)
@@ -64,17 +65,17 @@ def _probe(blocks: int, first: np.ndarray, second: np.ndarray) -> Iterator[tuple
 def bloom(keys: DataFrame) -> np.ndarray:
     """The filter's words, built by tasks and merged word by word before they meet."""
     count = max(1, keys.count())
-    blocks = min(-(-count * BITS_PER_KEY // BLOCK_BITS), MOST_BITS // BLOCK_BITS)
+    total = min(-(-count * BITS_PER_KEY // BLOCK_BITS), MOST_BITS // BLOCK_BITS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, second = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for word, bit in _probe(blocks, first, second):
+            for word, bit in _probe(total, first, second):
                 yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], ["word", "bits"])
 
-    words = _hashed(keys).select("first", "second").mapInArrow(run, "word bigint, bits bigint")
+    words = _hashed(keys).select("first", "second").mapInArrow(blocks.tidy(run), "word bigint, bits bigint")
     merged = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(blocks * (BLOCK_BITS // 64), np.uint64)
+    out = np.zeros(total * (BLOCK_BITS // 64), np.uint64)
     out[merged["word"].to_numpy()] = merged["bits"].to_numpy().view(np.uint64)
     return out
 
@@ -93,7 +94,7 @@ def possible(candidates: DataFrame, words: np.ndarray) -> DataFrame:
             yield batch.filter(pa.array(keep))
 
     rows = _hashed(candidates)
-    return rows.mapInArrow(run, rows.schema).drop("first", "second")
+    return rows.mapInArrow(blocks.tidy(run), rows.schema).drop("first", "second")
 
 
 def _longest(path: Column, lengths: list[int]) -> Column:
