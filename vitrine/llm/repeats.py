@@ -33,7 +33,9 @@ HOT_CONTEXTS = 64
 BUCKET_TUPLES = 1 << 20
 _FACTORS = blocks.mixed(np.arange(101, 104, dtype=np.uint64)) | np.uint64(1)
 
-_TUPLE = np.dtype([("name", "<u8"), ("context", "<u4"), ("doc", "<i8"), ("at", "<u4"), ("count", "u1"), ("hot", "u1")])
+_TUPLE = np.dtype([("name", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("count", "u1"), ("hot", "u1")])
+#: Suffixes alike in these cover the same bytes: two independent 64-bit hashes and the length.
+_ALIKE = ("name", "context", "count")
 _STRING = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 
 
@@ -80,7 +82,7 @@ def _sample_piece(data: np.ndarray, offsets: np.ndarray) -> Sample | None:
     at = starts[first]
     hashes = blocks.span_hashes(blocks.running_bytes(data), at, at + count - 1 + SPAN)
     row = row[first]
-    return Sample(row, at - offsets[row], count, grams[place[first]], (hashes >> np.uint64(32)).astype(np.uint32))
+    return Sample(row, at - offsets[row], count, grams[place[first]], hashes)
 
 
 def sample(slab: blocks.Slab) -> Iterator[Sample]:
@@ -107,8 +109,8 @@ def _first_of_each(rows: np.ndarray, *columns: str) -> np.ndarray:
 def _settle(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tuples sorted by name, context and order in the corpus; which of them repeat an
     earlier one in full; and the number of contexts of each tuple's name."""
-    tuples = tuples[np.lexsort((tuples["at"], tuples["doc"], tuples["context"], tuples["name"]))]
-    lead = _first_of_each(tuples, "name", "context")
+    tuples = tuples[np.lexsort((tuples["at"], tuples["doc"], tuples["count"], tuples["context"], tuples["name"]))]
+    lead = _first_of_each(tuples, *_ALIKE)
     leads = tuples[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
     same = (leads["doc"] == tuples["doc"]) & (leads["at"] == tuples["at"])  # a repeated row is no repeat of itself
     name = np.cumsum(_first_of_each(tuples, "name")) - 1
@@ -168,7 +170,7 @@ def _names(named: DataFrame, buckets: int) -> DataFrame:
                 continue
             tuples, repeated, contexts = _settle(np.concatenate(parts))
             yield _rows(_REPEATED, tuples[repeated])
-            lead = _first_of_each(tuples, "name", "context")
+            lead = _first_of_each(tuples, *_ALIKE)
             hot = contexts > HOT_CONTEXTS
             yield _rows(_OPEN_HOT, tuples[lead & hot])
             send = tuples[lead & (~hot | _first_of_each(tuples, "name"))]
@@ -189,7 +191,7 @@ def _names(named: DataFrame, buckets: int) -> DataFrame:
         tuples, repeated, contexts = _settle(tuples[tuples["hot"] == 0])
         yield _rows(_REPEATED, tuples[repeated])
         hot = np.isin(tuples["name"], marked)
-        lead = _first_of_each(tuples, "name", "context")
+        lead = _first_of_each(tuples, *_ALIKE)
         yield _rows(_OPEN_HOT, tuples[lead & hot])
         yield _rows(_OPEN, tuples[lead & ~hot & (contexts > 1)])
 
