@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from vitrine.llm import repeats
+import random
+
+from vitrine.llm import repeats, secrets
 
 
 def test_contexts_alike_in_half_a_hash_are_told_apart(spark):
@@ -14,3 +16,22 @@ def test_contexts_alike_in_half_a_hash_are_told_apart(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[1]])], "doc_id bigint, text string")
     kept = {r["id"]: bytes(r["kept"]).decode() for r in repeats.without_repeats(docs).collect()}
     assert kept == {0: texts[0], 1: texts[1], 2: ""}
+
+
+def test_field_learns_from_rare_secrets(spark, monkeypatch):
+    """Few documents hold secrets, and none of those is among the smallest id hashes."""
+    monkeypatch.setattr(secrets, "SAMPLE_DOCS", 50)
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 7))) for _ in range(300)]
+    around = [[" ".join(rnd.choices(words, k=30)) for _ in range(2)] for _ in range(4000)]
+    ids = spark.range(4000).selectExpr("id", "xxhash64(id) AS hash").orderBy("hash").collect()
+    hexes = ["".join(rnd.choices("0123456789abcdef", k=40)) for _ in range(31)]
+    rows = [[r["id"], f"{a} {b}"] for r, (a, b) in zip(ids, around, strict=True)]
+    for row, (a, b), own in zip(rows[-30:], around[-30:], hexes, strict=False):
+        row[1] = f'{a} token = "{own}" {b}'
+    other = f'{around[0][0]} pin = "{hexes[30].upper()}" {around[0][1]}'
+    rows.append([5000, other])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = {r["id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    assert [other[s["start"] : s["end"]] for s in spans[5000]] == [hexes[30].upper()]
+    assert not any(spans[r[0]] for r in rows[:-31])

@@ -2,7 +2,8 @@
 
 The field tags tokens as begin, inside or outside of a secret from their own
 shape, the shapes of their neighbours and a file feature. It learns from what
-the patterns find in a bounded sample of documents, and is decoded by Viterbi.
+the patterns find in bounded samples of the documents with and without such finds,
+and is decoded by Viterbi.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm import blocks
+from vitrine.session import cut_lineage
 
 # The patterns.
 ASSIGN = re.compile(
@@ -26,7 +28,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ["assign", "access", "hex", "crf"]
 
-#: The training sample: so many documents, and so many windows of each.
+#: The training sample: so many documents in which a pattern finds something and so many
+#: others, and so many windows of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOW = 4000, 4, 32
 ROUNDS, DECAY = 60, 1e-4
 #: Training steps: a token's own shape is to decide more than its neighbours, and those more
@@ -299,13 +302,31 @@ def _windows(slab: blocks.Slab) -> Iterator[tuple[bytes, bytes, int]]:
                 yield seen[a:b].tobytes(), tags[a:b].tobytes(), int(tokens.files[row])
 
 
+def _sample(texts: DataFrame) -> DataFrame:
+    """Ids to learn from. All rows are searched; of the documents with a find, and of the
+    others, the ``SAMPLE_DOCS`` of the smallest id hashes are taken."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slab in blocks.slabs(batch, "text"):
+                hit = np.zeros(slab.last - slab.first, bool)
+                hit[[row for row, spans in base_spans(slab).items() if spans]] = True
+                yield pa.RecordBatch.from_arrays([blocks.column(batch, "id", slab), pa.array(hit)], ["id", "hit"])
+
+    schema = T.StructType([texts.schema["id"], T.StructField("hit", T.BooleanType())])
+    marked = cut_lineage(texts.mapInArrow(blocks.tidy(run), schema).groupBy("id").agg(F.max("hit").alias("hit")))
+    parts = [marked.filter(F.col("hit") == hit).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS) for hit in (True, False)]
+    return parts[0].union(parts[1]).select("id")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """A field fitted to the patterns' spans in ``SAMPLE_DOCS`` documents, those of
-    the smallest id hashes; at most ``2 * SAMPLE_WINDOWS`` windows of ``WINDOW``
-    tokens of each reach the driver. Without any, the field tags nothing."""
-    ids = docs.select(docs[f"`{id_col}`"].alias("id")).filter("id IS NOT NULL").distinct()
-    chosen = F.broadcast(ids.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS))
-    texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).join(chosen, "id", "left_semi")
+    """A field fitted to the patterns' spans in up to ``SAMPLE_DOCS`` documents that have
+    some and as many that have none. The ratio of the two is not set back to that of
+    all documents, as rare secrets would then silence the field; at most
+    ``2 * SAMPLE_WINDOWS`` windows of ``WINDOW`` tokens of each reach the driver.
+    Without any, the field tags nothing."""
+    named = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).filter("id IS NOT NULL")
+    texts = named.join(F.broadcast(_sample(named)), "id", "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +341,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
     rows = texts.select("text").mapInArrow(blocks.tidy(run), "seen binary, tags binary, file int").toPandas()
     if len(rows):
         rows = rows.sort_values(["seen", "tags", "file"])  # no order of tasks shows in the weights
-        seen = np.zeros((len(rows), WINDOW, len(_REACH)), np.int64)
+        seen = np.zeros((len(rows), WINDOW, len(_REACH)), np.int16)
         tags = np.zeros((len(rows), WINDOW), np.int64)
         used = np.zeros((len(rows), WINDOW), bool)
         for i, (a, b) in enumerate(zip(rows["seen"], rows["tags"], strict=True)):
