@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import random
 
-from vitrine.llm import repeats, secrets
+import numpy as np
+import pytest
+
+from vitrine.llm import decontaminate, repeats, secrets
 
 
 def test_contexts_alike_in_half_a_hash_are_told_apart(spark):
@@ -18,6 +21,19 @@ def test_contexts_alike_in_half_a_hash_are_told_apart(spark):
     assert kept == {0: texts[0], 1: texts[1], 2: ""}
 
 
+@pytest.mark.parametrize("size", [155, 400])
+def test_exact_passages_are_found_wherever_they_start(size):
+    """As with windows at every byte: what fills a window up to its budget is found."""
+    rnd = random.Random(size)
+    words = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randint(3, 8))) for _ in range(100))
+    item = words[:size].strip() + "x" * (size - len(words[:size].strip()))
+    index = decontaminate.Index([item])
+    for length in (108, 112, 120, 125, 134):
+        for at in range(size - length + 1):
+            data = np.frombuffer(b"#" * 40 + item[at : at + length].encode() + b"#" * 40, np.uint8)
+            assert list(index.find(data, np.array([0, len(data)]))), (length, at)
+
+
 def test_field_learns_from_rare_secrets(spark, monkeypatch):
     """Few documents hold secrets, and none of those is among the smallest id hashes."""
     monkeypatch.setattr(secrets, "SAMPLE_DOCS", 50)

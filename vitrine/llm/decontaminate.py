@@ -23,9 +23,12 @@ from vitrine.llm import blocks
 
 Q = 8  # a q-gram is one 64-bit word
 BUDGET = 0.1
-LEAST_BYTES, WHOLE_BYTES, WINDOW_BYTES, STRIDE_BYTES = 32, 160, 120, 40
-#: Items are compared in blocks of so many bytes at most, one pass over the documents each.
-BLOCK_BYTES = 8 << 20
+#: Windows stand no further apart than a window's budget, so a copied passage that is
+#: within the budget of a window at any place has one that holds all of it.
+LEAST_BYTES, WHOLE_BYTES, WINDOW_BYTES, STRIDE_BYTES = 32, 160, 120, 10
+#: Items are compared in blocks of so many bytes at most, one pass over the documents each;
+#: a byte stands in some ``WINDOW_BYTES / STRIDE_BYTES`` windows.
+BLOCK_BYTES = 2 << 20
 _FILTER_BITS = 22
 _SLOTS, _BATCH, _MANY = 1 << 21, 2048, 1 << 20
 
@@ -57,16 +60,16 @@ class Index:
 
     def __init__(self, texts: list[str], budget: float = BUDGET) -> None:
         owners, windows = [], []
+        stride = min(STRIDE_BYTES, max(1, int(WINDOW_BYTES * budget)))
         for owner, text in enumerate(texts):
             raw = np.frombuffer(text.encode(), np.uint8)
             data = plain(raw, np.array([0, len(raw)]))[0].tobytes().rstrip()
             if len(data) < LEAST_BYTES:
                 continue
-            if len(data) <= WHOLE_BYTES:
-                cuts = [(0, len(data))]
-            else:
-                starts = [*range(0, len(data) - WINDOW_BYTES, STRIDE_BYTES), len(data) - WINDOW_BYTES]
-                cuts = [(s, s + WINDOW_BYTES) for s in starts]
+            cuts = [(0, len(data))] if len(data) <= WHOLE_BYTES else []
+            if len(data) > WINDOW_BYTES:
+                starts = [*range(0, len(data) - WINDOW_BYTES, stride), len(data) - WINDOW_BYTES]
+                cuts += [(s, s + WINDOW_BYTES) for s in starts]
             owners += [owner] * len(cuts)
             windows += [np.frombuffer(data[a:b], np.uint8) for a, b in cuts]
         self.owners, self.windows = np.array(owners, np.int64), windows
@@ -195,9 +198,11 @@ def contaminated(
     """Documents that hold a passage of a benchmark item: (id, item, start, end, edits).
 
     Texts and items are compared in lower case, other than letters and digits
-    as single spaces. An item of up to ``WHOLE_BYTES`` is one passage, a longer
-    one all its windows of ``WINDOW_BYTES``; a passage is held if some region
-    differs by at most ``budget`` edits per byte. One row for each document and
+    as single spaces. An item of up to ``WHOLE_BYTES`` is a passage; of one longer
+    than ``WINDOW_BYTES``, so are its windows of that size, ``STRIDE_BYTES`` apart
+    or nearer for a small budget, and the last. A passage is held if some region
+    differs by at most ``budget`` edits per byte, so an exact copy of
+    ``1 - budget`` of a window is found wherever it starts. One row for each document and
     item: its fewest edits, and of those the first place, as byte positions of
     the compared form. Items shorter than ``LEAST_BYTES`` are no passages. NULL
     texts hold nothing, NULL items are left out, rows without an id take no
