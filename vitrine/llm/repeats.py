@@ -1,12 +1,12 @@
-"""Removal of repeated byte strings with a sparse suffix order kept outside memory.
-
-Induced sorting orders a sample of the suffixes first and derives the others from
-it. Here the sample is content-defined: every string of ``SPAN`` bytes holds a
-sampled suffix, at the same place in all its occurrences (the smallest hash of the
-``GRAM`` bytes at each place). Each sampled suffix stands for the strings around
-it. Suffix tuples (name, context, document, place) are dealt and sorted by name in
-Spark's disk-backed shuffle; equal contexts settle all their strings at once, and
-only where one name has several contexts are their strings told apart one by one.
+"""Removal of repeated byte strings by content-defined fingerprints and hash grouping.
+
+This replaces external induced sorting: there is no suffix order, no common-prefix
+value, no queue and no recursion. Every string of ``SPAN`` bytes holds a sampled
+place, the same in all its occurrences (the smallest hash of the ``GRAM`` bytes at
+each place), which stands for the strings around it. Tuples (name, context, document,
+place) are dealt by a hash of the name in Spark's shuffle and grouped by their hashes
+in a task's memory; equal contexts settle all their strings at once, and only where
+one name has several contexts are their strings told apart one by one, by hash.
 """
 
 from __future__ import annotations
