@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizing
-from vitrine.llm import blocks, bpe, decontaminate, exact, jaccard, language, licences, quality, repeats, secrets, urls
+from vitrine.llm import (
+    blocks,
+    bpe,
+    decontaminate,
+    dialogue,
+    exact,
+    jaccard,
+    language,
+    licences,
+    quality,
+    repeats,
+    secrets,
+    urls,
+    warc,
+)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+ARCHIVED = datetime(2024, 1, 31, tzinfo=timezone.utc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -185,3 +201,33 @@ def op8_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query()
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.damaged(dialogue.turns(table(spark, sf_dir, "conversations")))
+    return dialogue.repair(rows).withColumnRenamed("id", "conv_id")
+
+
+@query(
+    r"""
+    WITH hashed AS (
+        SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+    ),
+    digits AS (
+        SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS hexes,
+               max(page_id) OVER (PARTITION BY payload) AS largest
+        FROM hashed)
+    SELECT page_id, payload_bytes,
+           list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((
+               ('0x' || substr(hexes, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)
+               FOR i IN range(32)], 'string_agg', '') AS payload_digest,
+           CASE WHEN page_id IS DISTINCT FROM largest AND largest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM largest THEN largest END AS refers_to
+    FROM digits
+    """
+)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"), ARCHIVED).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to"
+    )
