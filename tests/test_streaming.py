@@ -78,6 +78,44 @@ def test_rate_limit_flags(spark):
     assert {(r["client"], r["requests"], r["limited"]) for r in drained.collect()} == {("a", 101, True), ("b", 60, False), ("b", 40, False)}
 
 
+def test_late_requests_are_counted_apart(spark):
+    """Three deliveries with restarts: windows close, late requests go to ``late``, nothing is lost."""
+    start = datetime(2024, 1, 1)
+    deliveries = [
+        [("a", start), ("a", start + timedelta(seconds=59)), ("b", start + timedelta(days=3)), (None, start), ("c", None)],
+        [("a", start + timedelta(seconds=5)), ("b", start + timedelta(days=3, seconds=30)), ("b", start + timedelta(days=2, hours=1))],
+        [("a", start + timedelta(seconds=61)), ("b", start + timedelta(days=3, seconds=59)), ("c", start)],
+    ]
+    schema = T.StructType([T.StructField("client", T.StringType()), T.StructField("at", T.TimestampNTZType())])
+    path = fresh_dir(spark, "late")
+    for rows in deliveries:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = jobs.rate_limits(jobs.read_files(spark, f"{path}/in", schema), "client", "at", limit=2)
+        jobs.drain(stream, jobs.batch_log(f"{path}/log"), f"{path}/checkpoint")
+    got = jobs.rate_limit_totals(spark, f"{path}/log", stream, "client", limit=2)
+    moment = F.date_format("window_start", "dd HH:mm")
+    assert as_set(got.select("client", moment, "accepted", "late", "requests", "limited")) == {
+        ("a", "01 00:00", 2, 1, 3, True),
+        ("a", "01 00:01", 0, 1, 1, False),
+        ("b", "04 00:00", 3, 0, 3, True),
+        ("b", "03 01:00", 1, 0, 1, False),
+        ("c", "01 00:00", 0, 1, 1, False),
+    }
+    closed = spark.read.schema(stream.schema).parquet(f"{path}/log").filter("closed AND late = 0")
+    assert as_set(closed.select("client", moment, "requests")) == {("a", "01 00:00", 2)}
+
+
+def test_no_watermark_counts_everything_as_accepted(spark):
+    start = datetime(2024, 1, 1)
+    schema = T.StructType([T.StructField("client", T.LongType()), T.StructField("at", T.TimestampNTZType())])
+    path = fresh_dir(spark, "unclosed")
+    for days in (9, 0):
+        spark.createDataFrame([(7, start + timedelta(days=d)) for d in (days, 0)], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = jobs.rate_limits(jobs.read_files(spark, path, schema, max_files=1), "client", "at", watermark=None)
+    drained = jobs.drained_table(stream, ["client", "window_start"], "unclosed-test")
+    assert {(r["window_start"].day, r["requests"]) for r in drained.collect()} == {(1, 3), (10, 1)}
+
+
 def test_new_and_changed_products_are_embedded_once(spark):
     path = fresh_dir(spark, "embed-stream")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("shop_domain", "product_id", "text")])

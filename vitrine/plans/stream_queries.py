@@ -49,15 +49,26 @@ def stream_daily_stats(spark, sf_dir):
     return jobs.drained_table(stream, ["date"], "daily").withColumn("date", day("date"))
 
 
+_MIDDLE = "2024-01-16"
+
+
 @query(
-    f"""SELECT user_id, {sql.moment("time_bucket(INTERVAL 1 HOUR, ts)")} AS window_start, COUNT(*) AS requests, COUNT(*) > 1 AS limited
+    f"""SELECT user_id, {sql.moment("time_bucket(INTERVAL 1 HOUR, ts)")} AS window_start,
+  COUNT(*) FILTER (ts >= TIMESTAMP '{_MIDDLE}') AS accepted, COUNT(*) FILTER (ts < TIMESTAMP '{_MIDDLE}') AS late,
+  COUNT(*) AS requests, COUNT(*) > 1 AS limited
 FROM events GROUP BY user_id, time_bucket(INTERVAL 1 HOUR, ts)"""
 )
 def stream_rate_limit(spark, sf_dir):
-    """Requests per client and fixed window (here an hour and one request)."""
-    stream = jobs.rate_limits(_events(spark, sf_dir), "user_id", "ts", limit=1, window="1 hour", watermark=None)
-    final = jobs.drained_table(stream, ["user_id", "window_start"], "rate")
-    return final.withColumn("window_start", moment("window_start"))
+    """Requests per client and fixed window (here an hour and one request), with the default
+    watermark. The second half of the month arrives first, so the first half is late."""
+    events = B.table(spark, sf_dir, "events")
+    path = fresh_dir(spark, "rate")
+    for arrived in (events.filter(f"ts >= '{_MIDDLE}'"), events.filter(f"ts < '{_MIDDLE}'")):
+        arrived.write.mode("append").parquet(f"{path}/in")
+        stream = jobs.rate_limits(jobs.read_files(spark, f"{path}/in", schemas.EVENTS), "user_id", "ts", limit=1, window="1 hour")
+        jobs.drain(stream, jobs.batch_log(f"{path}/log"), f"{path}/checkpoint")
+    totals = jobs.rate_limit_totals(spark, f"{path}/log", stream, "user_id", limit=1)
+    return totals.withColumn("window_start", moment("window_start"))
 
 
 @query(

@@ -2,8 +2,8 @@
 
 Each job is a streaming DataFrame plus a sink that is safe to replay: a
 micro-batch writes under its own batch id and a repeated one overwrites
-itself. Late events beyond the watermark are dropped (default one day); the
-batch twins in ``operators`` count every event.
+itself. No event is dropped: metering and statistics have no watermark unless
+one is given, and the rate limiter counts late requests apart.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from vitrine.functions import sizing
 from vitrine.operators import merge, purge, webhooks
 from vitrine.operators.embedding import Embedder, embed_rows
 from vitrine.session import fresh_dir
+from vitrine.streaming import limiter
 
 WATERMARK = "1 day"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 Write = Callable[[DataFrame, int], None]
 
 
@@ -74,16 +76,18 @@ def daily_stats(events: DataFrame, watermark: str | None = None) -> DataFrame:
 def rate_limits(
     requests: DataFrame, client: str, moment: str, limit: int = 100, window: str = "60 seconds", watermark: str | None = WATERMARK
 ) -> DataFrame:
-    """Requests per client and fixed window, flagged beyond the limit. Requests that
-    come later than the watermark are not counted; None counts them all."""
-    counted = (
-        _event_time(requests, moment, watermark)
-        .groupBy(client, F.window(moment, window).alias("w"))
-        .agg(F.count(F.lit(1)).alias("requests"))
-    )
-    return counted.select(
-        client, F.col("w.start").alias("window_start"), "requests", (F.col("requests") > limit).alias("limited")
-    )
+    """Requests per client and fixed window, flagged beyond the limit. A window closes when
+    the watermark passes its end; requests for a closed window go to ``late`` instead.
+    ``rate_limit_totals`` adds both up. Needs the RocksDB state store (see ``drain``)."""
+    width = requests.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL {window})").first()[0]
+    counted = limiter.windows(requests, client, moment, width, watermark)
+    return counted.withColumn("limited", F.col("requests") > limit)
+
+
+def rate_limit_totals(spark: SparkSession, log: str, stream: DataFrame, client: str, limit: int = 100) -> DataFrame:
+    """Every request that a drained ``rate_limits`` stream has logged, late ones included:
+    per client and window ``accepted``, ``late``, ``requests`` and ``limited``."""
+    return limiter.totals(spark.read.schema(stream.schema).parquet(log), client, limit)
 
 
 def last_pings(pings: DataFrame) -> DataFrame:
@@ -112,14 +116,23 @@ def latest_rows(spark: SparkSession, path: str, schema: T.StructType, keys: list
 
 
 def drain(stream: DataFrame, write: Write, checkpoint: str, mode: str = "update") -> None:
-    """Process what is available now and stop; a later call continues there."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Process what is available now and stop; a later call continues there.
+
+    The state lies in RocksDB, on the executors' disks, as it may outgrow their memory
+    and as timers need it; the setting is put back once the query has started."""
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, limiter.ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(_STORE, before)
     query.awaitTermination()
 
 
