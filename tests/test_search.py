@@ -74,6 +74,29 @@ def test_top_k_equals_brute_force(frames, data, by_tenant, max_broadcast):
     assert result(search.top_k(catalog, asked, by_tenant=by_tenant, max_broadcast=max_broadcast)) == brute(data, by_tenant)
 
 
+@pytest.mark.parametrize("max_broadcast", [search.MAX_BROADCAST_REQUESTS, 0])
+def test_results_without_a_k(frames, data, monkeypatch, max_broadcast):
+    """Some requests have a k and some none; the state is settled often, and ranks span many tasks."""
+    monkeypatch.setattr(search, "GATHERED_ROWS", 20)
+    products, asked = data
+    asked = [(*a[:3], None if i % 3 else 4, *a[4:]) for i, a in enumerate(asked)]
+    catalog, table = frames
+    table = table.withColumn("k", F.when(F.substring("query_id", 2, 3).cast("int") % 3 == 0, 4))
+    assert result(search.top_k(catalog, table, max_broadcast=max_broadcast)) == brute((products, asked), False)
+
+
+def test_total_rank_numbers_across_tasks(spark):
+    rows = [("hot", f"p{i % 90}", f"s{i // 90}", float(i % 7)) for i in range(900)] + [("b", "p", "s", 1.0), ("c", "p", None, 1.0), ("c", "p", "s", 1.0)]
+    frame = spark.createDataFrame(rows, "query_id string, product_id string, shop_domain string, similarity double").repartition(5)
+    found = {tuple(r) for r in search.total_rank(frame).collect()}
+    wanted = set()
+    for name in ("hot", "b", "c"):
+        own = sorted((r for r in rows if r[0] == name), key=lambda r: (-r[3], r[1], r[2] or ""))
+        wanted |= {(*r, i + 1) for i, r in enumerate(own)}
+    assert found == wanted
+    assert search.total_rank(frame.limit(0)).count() == 0
+
+
 def test_small_blocks_equal_brute_force(frames, data):
     """Cells cut into many blocks of products and requests."""
     catalog, asked = frames

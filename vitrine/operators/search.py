@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,9 @@ BLOCK_PRODUCTS = 16384
 BLOCK_REQUESTS = 8192
 # Scores computed at once in a task (32 MB of doubles).
 SCORES_AT_ONCE = 4 << 20
+# Rows that a task gathers before it cuts them to the best ones; the largest k ranked by a window.
+GATHERED_ROWS = 1 << 18
+WINDOW_ROWS = 10_000
 MAX_PUSHED_TENANTS = 1000
 MAX_DIRECT_PARTIALS = 1000
 
@@ -106,17 +111,23 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 class _BestRows:
     """Running best rows per request while batches of products pass by. With a
-    ``group`` column a request meets only the products of its own group."""
+    ``group`` column a request meets only the products of its own group.
 
-    def __init__(self, requests: _Requests, group: str | None):
-        self.requests = requests
-        self.kept: list[list[tuple]] = [[] for _ in requests.ids]
+    Rows are columns throughout: what a batch adds is appended, and sorted in and cut
+    to each request's k whenever enough has gathered. Rows of requests without a k are
+    handed on at once, so the state never holds all passing products."""
+
+    def __init__(self, requests: _Requests, group: str | None, schema: pa.Schema):
+        self.requests, self.schema = requests, schema
         self.cut = np.full(len(requests.ids), -np.inf)
         groups = np.array(requests.groups, dtype=object)
         self.members = {name: np.flatnonzero(groups == name) for name in set(requests.groups)}
         self.group = group
+        self.unlimited = requests.k >= NO_LIMIT
+        self.names = pa.array(requests.ids, schema.field("query_id").type)
+        self.kept, self.added, self.gathered = None, [], 0
 
-    def add(self, batch: pa.RecordBatch) -> None:
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if batch.num_rows == 0 or not self.requests.ids:
             return
         column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -124,7 +135,7 @@ class _BestRows:
         price = column["price"].to_numpy(zero_copy_only=False).astype(np.float64)
         stock = np.array(column["in_stock"].to_numpy(zero_copy_only=False), dtype=bool)
         if self.group is None:
-            self._score_in_parts(column, vectors, price, stock, np.arange(batch.num_rows), np.arange(len(self.cut)))
+            yield from self._score_in_parts(column, vectors, price, stock, np.arange(batch.num_rows), np.arange(len(self.cut)))
             return
         codes = column[self.group].dictionary_encode()
         names = codes.dictionary.to_pylist()
@@ -132,12 +143,14 @@ class _BestRows:
         for code, name in enumerate(names):
             asked = self.members.get(name)
             if asked is not None:
-                self._score_in_parts(column, vectors, price, stock, np.flatnonzero(index == code), asked)
+                yield from self._score_in_parts(column, vectors, price, stock, np.flatnonzero(index == code), asked)
 
-    def _score_in_parts(self, column, vectors, price, stock, rows, asked) -> None:
+    def _score_in_parts(self, column, vectors, price, stock, rows, asked) -> Iterator[pa.RecordBatch]:
         step = max(1, SCORES_AT_ONCE // max(1, len(asked)))
         for start in range(0, len(rows), step):
             self._score(column, vectors, price, stock, rows[start : start + step], asked)
+            if self.gathered >= GATHERED_ROWS:
+                yield from self._settle()
 
     def _score(self, column, vectors, price, stock, rows, asked) -> None:
         want = self.requests
@@ -156,31 +169,48 @@ class _BestRows:
         bar = self.cut[asked]
         if len(rows) > most:
             bar = np.maximum(bar, np.partition(scores, len(rows) - most, axis=0)[len(rows) - most])
-        hits = (scores >= bar) & (scores > -np.inf)
-        for j in np.flatnonzero(hits.any(axis=0)):
-            request = int(asked[j])
-            found = np.flatnonzero(hits[:, j])
-            picked = pa.array(rows[found])
-            ids = column["product_id"].take(picked).to_pylist()
-            shops = column["shop_domain"].take(picked).to_pylist()
-            merged = self.kept[request] + [
-                (-float(scores[i, j]), pid, shop or "", shop) for i, pid, shop in zip(found, ids, shops)
-            ]
-            merged.sort(key=lambda row: row[:3])
-            k = int(want.k[request])
-            self.kept[request] = merged[:k]
-            if len(merged) >= k > 0:
-                self.cut[request] = -merged[k - 1][0]
-
-    def table(self, schema: pa.Schema) -> pa.Table:
-        flat = [
-            (self.requests.ids[i], int(self.requests.k[i]), pid, shop, -negative)
-            for i, rows in enumerate(self.kept)
-            for negative, pid, _, shop in rows
-        ]
-        names = ["query_id", "k", "product_id", "shop_domain", "similarity"]
-        columns = [pa.array([row[n] for row in flat], type=schema.field(name).type) for n, name in enumerate(names)]
-        return pa.Table.from_arrays(columns, schema=schema)
+        at, request = np.nonzero((scores >= bar) & (scores > -np.inf))
+        if len(at):
+            picked = pa.array(rows[at])
+            self._append(asked[request], scores[at, request], column["product_id"].take(picked), column["shop_domain"].take(picked))
+
+    def _append(self, request: np.ndarray, scores: np.ndarray, ids: pa.Array, shops: pa.Array) -> None:
+        columns = [pa.array(request, pa.int64()), pa.array(scores, pa.float64()), ids.cast(pa.string()), shops.cast(pa.string())]
+        self.added.append(pa.Table.from_arrays(columns, _STATE))
+        self.gathered += len(request)
+
+    def _settle(self) -> Iterator[pa.RecordBatch]:
+        """Cut the state to the best rows; hand on those of requests without a k."""
+        if not self.added:
+            return
+        rows = pa.concat_tables([self.kept, *self.added] if self.kept is not None else self.added)
+        self.added, self.gathered = [], 0
+        free = self.unlimited[rows["request"].to_numpy()]
+        if free.any():
+            yield from self._named(rows.filter(pa.array(free)))
+            rows = rows.filter(pa.array(~free))
+        order = [("request", "ascending"), ("similarity", "descending"), ("product_id", "ascending"), ("shop_domain", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, order, null_placement="at_start")).combine_chunks()
+        request = rows["request"].to_numpy()
+        place = np.arange(len(request)) - np.searchsorted(request, request)
+        k = self.requests.k[request]
+        full = place == k - 1
+        self.cut[request[full]] = rows["similarity"].to_numpy()[full]
+        self.kept = rows.filter(pa.array(place < k))
+
+    def _named(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        request = rows["request"].to_numpy()
+        columns = [self.names.take(pa.array(request)), pa.array(self.requests.k[request].astype(np.int32))]
+        columns += [rows["product_id"], rows["shop_domain"], rows["similarity"]]
+        yield from pa.Table.from_arrays(columns, schema=self.schema).to_batches()
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        yield from self._settle()
+        if self.kept is not None:
+            yield from self._named(self.kept)
+
+
+_STATE = ["request", "similarity", "product_id", "shop_domain"]
 
 
 def _products(catalog: DataFrame) -> DataFrame:
@@ -218,20 +248,62 @@ def _result_schema(queries: DataFrame) -> T.StructType:
     )
 
 
-def final_rank(partial: DataFrame, most: int = NO_LIMIT) -> DataFrame:
+def _order() -> list[Column]:
+    return [F.desc("similarity"), F.col("product_id"), F.asc_nulls_first("shop_domain")]
+
+
+def final_rank(partial: DataFrame, most: int | None = None) -> DataFrame:
     """Best ``k`` rows per request out of partial results; adds ``rank``. ``most`` is the
-    largest k, if known; a small one is applied before the shuffle.
+    largest k, if known; a small one is applied before the shuffle, and where it is
+    large, or there is none, requests are ranked without a window (``total_rank``).
 
     Each task of the scan hands in up to k rows per request, so a request's rows
     are ranked in parts first and only ``RANK_PARTS`` times k of them meet."""
+    if most is not None and most > WINDOW_ROWS:
+        return total_rank(partial).filter("rank <= k").drop("k")
+    most = NO_LIMIT if most is None else most
     part = F.pmod(F.xxhash64("product_id", "shop_domain"), F.lit(RANK_PARTS))
-    order = [F.desc("similarity"), F.col("product_id"), F.asc_nulls_first("shop_domain")]
-    within = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
+    within = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*_order()))
     short = partial.withColumn("part", part).withColumn("rank", within).filter(f"rank <= k AND rank <= {most}").drop("rank", "part")
-    ranked = short.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    ranked = short.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order())))
     return ranked.filter(f"rank <= k AND rank <= {most}").drop("k")
 
 
+def total_rank(rows: DataFrame) -> DataFrame:
+    """Adds ``rank`` per request, however many rows a request has.
+
+    Rows are sorted by range of request and score, so a request may lie in many
+    tasks. Each numbers its own rows; a request's numbers start, in every task, after
+    the rows that the tasks before hold of it. Only these counts meet per request.
+    """
+    place = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("rank", T.LongType())])
+    at = rows.columns.index("query_id")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, carried = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(at))
+            ends = runs.run_ends.to_numpy().astype(np.int64)
+            starts = np.concatenate([[0], ends[:-1]])
+            names = runs.values
+            if names[0].as_py() == last:
+                starts[0] -= carried
+            places = np.arange(1, batch.num_rows + 1) - np.repeat(starts, np.diff(ends, prepend=0))
+            last, carried = names[len(names) - 1].as_py(), int(places[-1])
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(places)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "rank"])
+
+    placed = rows.repartitionByRange("query_id", *_order()).sortWithinPartitions("query_id", *_order())
+    numbered = cut_lineage(placed.mapInArrow(number, place))
+    counts = numbered.groupBy("query_id", "_part").agg(F.max("rank").alias("rows"))
+    before = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("query_id", "_part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
+    ranked = numbered.join(sizing.small_side(offsets), ["query_id", "_part"])
+    return ranked.withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).select(*rows.columns, "rank")
+
+
 def _group(by_tenant: bool) -> str | None:
     return "shop_domain" if by_tenant else None
 
@@ -250,10 +322,10 @@ def broadcast_partials(products: DataFrame, requests: DataFrame, block: pa.Table
     shared = products.sparkSession.sparkContext.broadcast(block)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _BestRows(_Requests(shared.value, group), group)
+        kept = _BestRows(_Requests(shared.value, group), group, arrow_schema)
         for batch in batches:
-            kept.add(batch)
-        yield from kept.table(arrow_schema).to_batches()
+            yield from kept.add(batch)
+        yield from kept.finish()
 
     if group == "shop_domain":
         shops = sorted({s for s in block.column("shop_domain").to_pylist() if s is not None})
@@ -314,10 +386,9 @@ def blocked_partials(
     )
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = _BestRows(_Requests(right, group), group)
-        for batch in left.to_batches():
-            kept.add(batch)
-        return kept.table(arrow_schema)
+        kept = _BestRows(_Requests(right, group), group, arrow_schema)
+        found = [rows for batch in left.to_batches() for rows in kept.add(batch)]
+        return pa.Table.from_batches([*found, *kept.finish()], arrow_schema)
 
     keys = ["cell", "p_block", "q_block"]
     grouped = dealt_products.drop("p_blocks", "q_blocks").groupBy(*keys)

@@ -81,6 +81,20 @@ def vec_threshold_topk_blocked(spark, sf_dir):
     return _threshold(spark, sf_dir, 0)
 
 
+@query(
+    f"""WITH {sql.CAT}, {sql.LABELS}, scored AS (
+  SELECT 'label_' || CAST(l.label AS VARCHAR) AS query_id, c.product_id, c.shop_domain,
+         round(list_cosine_similarity(c.embedding, l.qvec), 6) AS similarity
+  FROM cat c, lab l WHERE c.embedding IS NOT NULL
+)
+SELECT *, {RANKED} AS rank FROM scored WHERE similarity >= -0.1"""
+)
+def vec_threshold_unlimited(spark, sf_dir):
+    """Every product above a threshold per label request, ranked, with no k."""
+    asked = B.label_requests(spark, sf_dir).withColumn("min_similarity", F.lit(-0.1))
+    return search.top_k(B.catalog(spark, sf_dir), asked).select(*COLUMNS)
+
+
 @query(
     f"""WITH {sql.CAT}, center AS (
   SELECT list(m ORDER BY i) AS qvec FROM (
