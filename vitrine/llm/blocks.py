@@ -21,7 +21,6 @@ SLAB_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 Task = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0xD1342543DE82EF95
 
 
 class Slab(NamedTuple):
@@ -60,36 +59,51 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-_BYTE_WORDS = mixed(np.arange(256, dtype=np.uint64))
-_POWERS: list[np.ndarray] = []
+# Two polynomial hashes modulo primes below 2^31: products fit 64 bits, and no text is known
+# whose value is the same for every base, as there is modulo a power of two.
+_PRIMES = (np.uint64((1 << 31) - 1), np.uint64((1 << 31) - 19))
+_BASES = (0x3C6EF372, 0x1BD11BDA)
+_BYTE_WORDS = [mixed(np.arange(256, dtype=np.uint64) + np.uint64(256 * i)) % p for i, p in enumerate(_PRIMES)]
+_POWERS: list[list[np.ndarray]] = []
 
 
-def _powers(count: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < count:
+def _powers(count: int) -> list[list[np.ndarray]]:
+    """Of each base and its inverse, as many powers as a slab has bytes."""
+    if not _POWERS or len(_POWERS[0][0]) < count:
         size = max(count, SLAB_BYTES + 1024)
-        forward = np.full(size, _BASE, np.uint64)
-        backward = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        forward[0] = backward[0] = 1
-        _POWERS[:] = [np.cumprod(forward), np.cumprod(backward)]
+        made = []
+        for base, prime in zip(_BASES, _PRIMES, strict=True):
+            both = []
+            for factor in (base, pow(base, -1, int(prime))):
+                out = np.ones(size, np.uint64)
+                done = 1
+                while done < size:
+                    step = np.uint64(pow(factor, done, int(prime)))
+                    out[done : 2 * done] = out[: min(done, size - done)] * step % prime
+                    done *= 2
+                both.append(out)
+            made.append(both)
+        _POWERS[:] = made
     return _POWERS
 
 
-def running(values: np.ndarray) -> np.ndarray:
+def running_bytes(data: np.ndarray) -> list[np.ndarray]:
     """Prefix sums from which ``span_hashes`` takes the hash of any span."""
-    forward = _powers(len(values) + 1)[0]
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * forward[: len(values)], out=out[1:])
-    return out
+    sums = []
+    for words, prime, (forward, _) in zip(_BYTE_WORDS, _PRIMES, _powers(len(data) + 1), strict=True):
+        out = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(words[data] * forward[: len(data)] % prime, out=out[1:])
+        sums.append(out)
+    return sums
 
 
-def running_bytes(data: np.ndarray) -> np.ndarray:
-    return running(_BYTE_WORDS[data])
-
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans: equal content gives equal hashes wherever it stands."""
-    backward = _powers(len(sums))[1]
-    return mixed((sums[ends] - sums[starts]) * backward[starts])
+    parts = [
+        (own[ends] - own[starts]) % prime * backward[starts] % prime
+        for own, prime, (_, backward) in zip(sums, _PRIMES, _powers(len(sums[0])), strict=True)
+    ]
+    return mixed(parts[0] << np.uint64(32) | parts[1])
 
 
 def word_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

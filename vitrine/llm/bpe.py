@@ -231,6 +231,21 @@ class Merger:
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct slice, and which of these every slice equals. Slices meet by
+    hash; their bytes are then compared, and should a hash have deceived, meet by content."""
+    hashes = blocks.span_hashes(blocks.running_bytes(data), starts, ends)
+    _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+    first, sizes = starts[example][which], ends - starts
+    alike = np.array_equal(sizes, (ends - starts)[example][which])
+    if alike and np.array_equal(data[blocks.ragged(first, sizes)], data[starts[0] : ends[-1]]):
+        return example, which
+    number: dict[bytes, int] = {}
+    slices = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    which = np.array([number.setdefault(piece, len(number)) for piece in slices], np.int64)
+    return np.unique(which, return_index=True)[1], which
+
+
 class Encoder:
     """Ids and byte offsets for slabs, with a cache of merged pieces."""
 
@@ -240,16 +255,15 @@ class Encoder:
         self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
         for token, rank in self.ranks.items():
             self.sizes[rank] = len(token)
-        self.cache: dict[int, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
-    def _merge(self, data: np.ndarray, keys: list[int], starts: np.ndarray, sizes: np.ndarray) -> None:
+    def _merge(self, data: np.ndarray, keys: list[bytes], starts: np.ndarray, sizes: np.ndarray) -> None:
         for low, high in zip((0, *LANES), (*LANES, None), strict=True):
             chosen = np.flatnonzero((sizes > low) & (sizes <= high if high else True))
             if high:
                 done = self.merger.merge(data, starts[chosen], sizes[chosen])
             else:
-                raw = [data[starts[i] : starts[i] + sizes[i]].tobytes() for i in chosen.tolist()]
-                done = [np.array(merge_piece(piece, self.ranks), "<u4").tobytes() for piece in raw]
+                done = [np.array(merge_piece(keys[i], self.ranks), "<u4").tobytes() for i in chosen.tolist()]
             self.cache.update((keys[i], ids) for i, ids in zip(chosen.tolist(), done, strict=True))
 
     def encode(self, slab: blocks.Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,11 +277,11 @@ class Encoder:
         first[slab.offsets] = True
         starts = char_starts[self.splitter.boundaries(codes, first[char_starts])]
         ends = np.append(starts[1:], len(data))
-        hashes = blocks.span_hashes(blocks.running_bytes(data), starts, ends)
-        distinct, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        example, which = _distinct(data, starts, ends)
         if len(self.cache) > CACHE_PIECES:
             self.cache.clear()
-        keys = distinct.tolist()
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
         new = np.array([i for i, key in enumerate(keys) if key not in self.cache], np.int64)
         begin = starts[example[new]]
         self._merge(data, [keys[i] for i in new.tolist()], begin, ends[example[new]] - begin)
