@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import ann, quality, requests, rerank, search, settings
+from vitrine.operators import ann, pq, quality, requests, rerank, search, settings
 from vitrine.session import build_session  # noqa: F401
 
 DIM = 8
@@ -141,6 +141,35 @@ def test_exact_index_equals_brute_force(frames, data):
     assert {r[0] for r in few} <= {f"q{j}" for j in range(12)}
 
 
+def test_quantised_search(frames, data, monkeypatch):
+    """Exact while all lists are probed and the shortlist holds everything; filters and thresholds hold;
+    requests may come in blocks."""
+    catalog, asked = frames
+    asked = asked.withColumn("k", F.least("k", F.lit(290)))
+    index = pq.build(catalog, lists=9, parts=4, probes=9, shortlist=300)
+    wanted = brute((data[0], [(*a[:3], min(a[3], 290), *a[4:]) for a in data[1]]), False)
+    plain = asked.drop("shop_domain")
+    assert result(pq.top_k(index, plain)) == wanted
+    monkeypatch.setattr(search, "MAX_BROADCAST_REQUESTS", 5)
+    assert result(pq.top_k(index, plain)) == wanted
+    with pytest.raises(ValueError, match="shortlist holds 20"):
+        pq.top_k(pq.replace(index, shortlist=20), plain)
+    few = pq.replace(index, probes=2, shortlist=10)
+    found = result(pq.top_k(few, plain.withColumn("k", F.lit(5))))
+    assert {r[:4] for r in found} <= {r[:4] for r in result(search.top_k(catalog, plain.withColumn("k", F.lit(300))))}
+
+
+def test_calibration_reaches_the_recall(spark):
+    random = np.random.default_rng(4)
+    centres = random.normal(size=(20, 16))
+    rows = [(f"p{i}", "s", [float(x) for x in centres[i % 20] + 0.3 * random.normal(size=16)]) for i in range(2000)]
+    catalog = spark.createDataFrame(rows, "product_id string, shop_domain string, embedding array<float>").repartition(4)
+    index = pq.calibrated(pq.build(catalog, lists=20, parts=8), catalog, k=10, target=0.95)
+    assert index.probes < 10 and index.shortlist < 400
+    asked = catalog.filter("cast(substring(product_id, 2) as int) % 50 = 0").selectExpr("product_id AS query_id", "embedding AS qvec")
+    assert pq.recall(pq.top_k(index, asked), search.top_k(catalog, asked, k=10)) >= 0.9
+
+
 def test_similar_products_leave_out_the_anchor(spark):
     rows = [(f"p{i}", "s", [1.0, float(i // 2)], True) for i in range(8)] + [("p0", "other", [1.0, 0.0], True)]
     catalog = spark.createDataFrame(rows, "product_id string, shop_domain string, embedding array<float>, available boolean")

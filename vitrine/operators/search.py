@@ -134,8 +134,12 @@ class _BestRows:
         vectors = _unit(_matrix(column["embedding"], self.requests.vectors.shape[1]))
         price = column["price"].to_numpy(zero_copy_only=False).astype(np.float64)
         stock = np.array(column["in_stock"].to_numpy(zero_copy_only=False), dtype=bool)
+
+        def score(rows: np.ndarray, asked: np.ndarray) -> np.ndarray:
+            return np.round(vectors[rows] @ self.requests.vectors[asked].T, SIMILARITY_PLACES)
+
         if self.group is None:
-            yield from self._score_in_parts(column, vectors, price, stock, np.arange(batch.num_rows), np.arange(len(self.cut)))
+            yield from self._score_in_parts(column, score, price, stock, np.arange(batch.num_rows), np.arange(len(self.cut)))
             return
         codes = column[self.group].dictionary_encode()
         names = codes.dictionary.to_pylist()
@@ -143,19 +147,20 @@ class _BestRows:
         for code, name in enumerate(names):
             asked = self.members.get(name)
             if asked is not None:
-                yield from self._score_in_parts(column, vectors, price, stock, np.flatnonzero(index == code), asked)
+                yield from self._score_in_parts(column, score, price, stock, np.flatnonzero(index == code), asked)
 
-    def _score_in_parts(self, column, vectors, price, stock, rows, asked) -> Iterator[pa.RecordBatch]:
+    def _score_in_parts(self, column, score, price, stock, rows, asked) -> Iterator[pa.RecordBatch]:
         step = max(1, SCORES_AT_ONCE // max(1, len(asked)))
         for start in range(0, len(rows), step):
-            self._score(column, vectors, price, stock, rows[start : start + step], asked)
+            part = rows[start : start + step]
+            with np.errstate(invalid="ignore"):
+                self._keep(column, score(part, asked), price, stock, part, asked)
             if self.gathered >= GATHERED_ROWS:
                 yield from self._settle()
 
-    def _score(self, column, vectors, price, stock, rows, asked) -> None:
+    def _keep(self, column, scores, price, stock, rows, asked) -> None:
         want = self.requests
         with np.errstate(invalid="ignore"):
-            scores = np.round(vectors[rows] @ want.vectors[asked].T, SIMILARITY_PLACES)
             cost = price[rows][:, None]
             allowed = (np.isnan(want.high[asked]) | (cost <= want.high[asked])) & (
                 np.isnan(want.low[asked]) | (cost >= want.low[asked])

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from vitrine.functions import predicates as P
 from vitrine.functions import sizing
 from vitrine.functions import vectors as V
-from vitrine.operators import ann, quality, requests, rerank, search, settings, typos
+from vitrine.operators import ann, pq, quality, requests, rerank, search, settings, typos
 from vitrine.plans import bindings as B
 from vitrine.plans import sql
 from vitrine.plans.registry import query
+from vitrine.session import cut_lineage
 from vitrine.sources import seeds
 
 RANKED = """row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, product_id, shop_domain)"""
@@ -505,3 +506,39 @@ def ivf_probe(spark, sf_dir):
     """Approximate inverted-file search in the nearest buckets."""
     index = ann.build_index(B.catalog(spark, sf_dir), lists=16)
     return ann.probe(index, B.label_requests(spark, sf_dir), k=10, probes=4).select(*COLUMNS)
+
+
+def _every_fiftieth(spark, sf_dir):
+    chosen = B.catalog(spark, sf_dir).filter("id % 50 = 0 AND embedding IS NOT NULL")
+    return chosen.select(F.col("product_id").alias("query_id"), F.col("embedding").alias("qvec"))
+
+
+_FIFTIETH = f"""WITH {sql.CAT}, scored AS (
+  SELECT q.product_id AS query_id, c.product_id, c.shop_domain, round(list_cosine_similarity(c.embedding, q.embedding), 6) AS similarity
+  FROM cat c, cat q WHERE c.embedding IS NOT NULL AND q.embedding IS NOT NULL AND q.id % 50 = 0
+), top AS (SELECT *, {RANKED} AS rank FROM scored QUALIFY {RANKED} <= 10)"""
+
+
+@query(_FIFTIETH + " SELECT * FROM top")
+def vec_topk_fiftieth(spark, sf_dir):
+    """Exact neighbours of every fiftieth product."""
+    return search.top_k(B.catalog(spark, sf_dir), _every_fiftieth(spark, sf_dir), k=10).select(*COLUMNS)
+
+
+@query(_FIFTIETH + " SELECT * FROM top")
+def pq_topk_all(spark, sf_dir):
+    """The quantised search with all lists probed; as long as the shortlist holds all products it is the exact one."""
+    index = pq.build(B.catalog(spark, sf_dir), lists=16, probes=16, shortlist=search.WINDOW_ROWS)
+    return pq.top_k(index, _every_fiftieth(spark, sf_dir), k=10).select(*COLUMNS)
+
+
+@query(_FIFTIETH + " SELECT COUNT(DISTINCT query_id) AS requests, COUNT(*) AS results, TRUE AS recall_reached FROM top")
+def pq_recall(spark, sf_dir):
+    """Every fiftieth product searched in a calibrated index: at least 90 % of the exact neighbours are found."""
+    catalog = B.catalog(spark, sf_dir)
+    index = pq.calibrated(pq.build(catalog), catalog)
+    asked = _every_fiftieth(spark, sf_dir)
+    found, exact = cut_lineage(pq.top_k(index, asked, k=10)), search.top_k(catalog, asked, k=10)
+    reached = pq.recall(found, exact) >= 0.9
+    counts = found.agg(F.countDistinct("query_id").alias("requests"), F.count(F.lit(1)).alias("results"))
+    return counts.withColumn("recall_reached", F.lit(reached))
