@@ -116,8 +116,7 @@ def write_back_embeddings(
     stored: DataFrame, vectors: DataFrame, as_of: datetime, clear: str = "set_false"
 ) -> tuple[DataFrame, DataFrame]:
     """Store new vectors (keys plus ``embedding``) and settle the resync flag:
-    ``set_false`` writes it as false, ``remove`` deletes it. ``vectors`` is read
-    several times; pass a stored or checkpointed table.
+    ``set_false`` writes it as false, ``remove`` deletes it. ``vectors`` is read once.
 
     Returns the next snapshot and the vectors whose product is unknown.
     """
@@ -131,9 +130,9 @@ def write_back_embeddings(
         "updated_at": _moment(as_of),
     }
     old = stored.alias("old")
+    vectors, small = sizing.settle(vectors)
     vectors = one_per_key(vectors, PRODUCT_KEYS)
     hits = vectors.select(*PRODUCT_KEYS, "embedding").withColumn("_hit", F.lit(True))
-    small = sizing.is_small(hits)
     new = (F.broadcast(hits) if small else hits).alias("new")
     joined = old.join(new, [F.col(f"old.{k}") == F.col(f"new.{k}") for k in PRODUCT_KEYS], "left")
     snapshot = joined.select(

@@ -12,7 +12,7 @@ from vitrine.functions import jsonfields as J
 from vitrine.functions import predicates as P
 from vitrine.functions import text as X
 from vitrine.functions import vectors as V
-from vitrine.operators import coverage, diff, embedding, merge, metering, purge, settings
+from vitrine.operators import buckets, coverage, diff, embedding, merge, metering, purge, settings
 from vitrine.plans import bindings as B
 from vitrine.plans import sql
 from vitrine.plans.registry import day, listed, moment, query
@@ -240,7 +240,7 @@ def embedding_writeback(spark, sf_dir):
     vectors = stored.filter(P.has_embedding()).select(
         "shop_domain", "product_id", F.transform("embedding", lambda x: -x).alias("embedding")
     )
-    snapshot, _ = merge.write_back_embeddings(stored, cut_lineage(vectors), LATER)
+    snapshot, _ = merge.write_back_embeddings(stored, vectors, LATER)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return snapshot.select(
         "product_id", P.has_embedding().alias("has_embedding"), F.round(F.coalesce(total, F.lit(0.0)), 6).alias("total"),
@@ -248,6 +248,40 @@ def embedding_writeback(spark, sf_dir):
     )
 
 
+_BUCKET_ROWS = 2000
+
+
+@query(_MERGED.format(embedding="c.embedding IS NOT NULL", source="latest"))
+def bucket_upsert(spark, sf_dir):
+    """A later snapshot merged into a catalogue in key buckets, vectors left as they are."""
+    path = fresh_dir(spark, "buckets")
+    buckets.create(B.stored_catalog(spark, sf_dir), path, _BUCKET_ROWS)
+    incoming = merge.keep_last(B.incoming_catalog(spark, sf_dir), merge.PRODUCT_KEYS)
+    buckets.upsert_product_info(spark, path, incoming, LATER)
+    return _merged_view(buckets.current(spark, path))
+
+
+@query(
+    f"""WITH {sql.CAT}, hit AS (SELECT *, embedding IS NOT NULL AND shop_domain = 'shop_3' AS h FROM cat)
+SELECT product_id, shop_domain, round(COALESCE(list_sum(CASE WHEN h THEN list_transform(embedding, lambda x: -x) ELSE embedding END), 0), 6) AS total,
+       CASE WHEN h THEN FALSE ELSE needs_resync END AS needs_resync,
+       {sql.moment(f"CASE WHEN h THEN {_LATER} ELSE updated_at END")} AS updated_at FROM hit"""
+)
+def bucket_writeback(spark, sf_dir):
+    """One tenant's vectors written back into its buckets; the others are not read."""
+    path, stored = fresh_dir(spark, "buckets"), B.stored_catalog(spark, sf_dir, descriptions=False)
+    buckets.create(stored, path, _BUCKET_ROWS)
+    vectors = stored.filter(P.has_embedding() & (F.col("shop_domain") == "shop_3")).select(
+        "shop_domain", "product_id", F.transform("embedding", lambda x: -x).alias("embedding")
+    )
+    buckets.write_back_embeddings(spark, path, vectors, LATER)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return buckets.current(spark, path).select(
+        "product_id", "shop_domain", F.round(F.coalesce(total, F.lit(0.0)), 6).alias("total"),
+        J.flag("metadata", "needs_resync").alias("needs_resync"), moment("updated_at").alias("updated_at"),
+    )
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS product_id FROM embeddings WHERE vec_id NOT IN (SELECT s_suppkey FROM supplier)")
 def embedding_unknown_ids(spark, sf_dir):
     """Vectors whose product is unknown (a catalogue of the suppliers' numbers)."""
@@ -257,7 +291,7 @@ def embedding_unknown_ids(spark, sf_dir):
     vectors = B.table(spark, sf_dir, "embeddings").select(
         F.lit("one").alias("shop_domain"), F.col("vec_id").cast("string").alias("product_id"), "embedding"
     )
-    _, unknown = merge.write_back_embeddings(stored, cut_lineage(vectors), LATER)
+    _, unknown = merge.write_back_embeddings(stored, vectors, LATER)
     return unknown.select("product_id")
 
 
