@@ -28,9 +28,10 @@ REACH = SPAN - GRAM + 1
 #: Longer texts are sampled in pieces; a piece's places fit the low bits of a hash.
 PIECE_BYTES = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
-#: A name with more contexts than this in one batch goes the way of single strings.
-HOT_CONTEXTS = 64
-BUCKET_TUPLES = 1 << 20
+#: A name with more contexts than this in one batch, or in all, goes the way of single strings.
+HOT_CONTEXTS, HOT_IN_ALL = 64, 512
+#: A task's bucket: tuples of 30 bytes, or half as many strings of 20 bytes; sorting holds it some five times.
+BUCKET_TUPLES = 1 << 17
 _FACTORS = blocks.mixed(np.arange(101, 104, dtype=np.uint64)) | np.uint64(1)
 
 _TUPLE = np.dtype([("name", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("count", "u1"), ("hot", "u1")])
@@ -111,8 +112,8 @@ def _settle(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     earlier one in full; and the number of contexts of each tuple's name."""
     tuples = tuples[np.lexsort((tuples["at"], tuples["doc"], tuples["count"], tuples["context"], tuples["name"]))]
     lead = _first_of_each(tuples, *_ALIKE)
-    leads = tuples[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-    same = (leads["doc"] == tuples["doc"]) & (leads["at"] == tuples["at"])  # a repeated row is no repeat of itself
+    leads = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    same = (tuples["doc"][leads] == tuples["doc"]) & (tuples["at"][leads] == tuples["at"])  # a repeated row is no repeat of itself
     name = np.cumsum(_first_of_each(tuples, "name")) - 1
     contexts = np.bincount(name, lead, minlength=1).astype(np.int64)[name] if len(tuples) else name
     return tuples, ~same, contexts
@@ -152,8 +153,8 @@ def _names(named: DataFrame, buckets: int) -> DataFrame:
     """Tuples that repeat an earlier one in full, and those whose name has other contexts.
 
     A batch settles its own tuples first and sends on one of each name and
-    context; of a name that has very many, it sends a mark only, and every
-    task that holds the name learns from the mark that it is hot."""
+    context; of a name that has very many, it sends a mark only. All contexts and marks of
+    a name meet in one task, which decides whether it is hot in the whole corpus."""
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,10 +188,11 @@ def _names(named: DataFrame, buckets: int) -> DataFrame:
         if not parts:
             return
         tuples = np.concatenate(parts)
+        parts.clear()
         marked = np.unique(tuples["name"][tuples["hot"] > 0])
         tuples, repeated, contexts = _settle(tuples[tuples["hot"] == 0])
         yield _rows(_REPEATED, tuples[repeated])
-        hot = np.isin(tuples["name"], marked)
+        hot = np.isin(tuples["name"], marked) | (contexts > HOT_IN_ALL)
         lead = _first_of_each(tuples, *_ALIKE)
         yield _rows(_OPEN_HOT, tuples[lead & hot])
         yield _rows(_OPEN, tuples[lead & ~hot & (contexts > 1)])
@@ -203,8 +205,8 @@ def _first_strings(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Strings sorted by content and order, and which of them occur earlier too."""
     strings = strings[np.lexsort((strings["at"], strings["doc"], strings["key"]))]
     lead = _first_of_each(strings, "key")
-    leads = strings[np.flatnonzero(lead)[np.cumsum(lead) - 1]] if len(strings) else strings
-    return strings, (leads["doc"] != strings["doc"]) | (leads["at"] != strings["at"])
+    leads = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+    return strings, (strings["doc"][leads] != strings["doc"]) | (strings["at"][leads] != strings["at"])
 
 
 def _runs(strings: np.ndarray) -> np.ndarray:
