@@ -187,3 +187,27 @@ def test_lcs_of_long_words(spark):
 def test_planned_cost():
     tokens, dollars = embedding.planned_cost(1000, 500)
     assert tokens == 125_000 and dollars == pytest.approx(0.0025)
+
+
+def test_lcs_of_many_pairs_equals_the_table(spark):
+    """Words of 0 to 90 characters, also beyond the basic plane, against the textbook table."""
+    import random
+
+    from vitrine.functions import fuzzy
+
+    random.seed(5)
+
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            above, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(max(above[j + 1], row[j], above[j] + (x == y)))
+        return row[-1]
+
+    letters = "abcdé東𝄞"
+    sizes = [0, 1, 3, 8, 9, 15, 16, 17, 31, 63, 64, 65, 90]
+    pairs = [("".join(random.choices(letters, k=random.choice(sizes))), "".join(random.choices(letters, k=random.choice(sizes)))) for _ in range(600)]
+    frame = spark.createDataFrame(pairs, "a string, b string").repartition(3)
+    for a, b, found in frame.select("a", "b", fuzzy.lcs_length("a", "b").alias("n")).collect():
+        assert found == table(a, b), (a, b)

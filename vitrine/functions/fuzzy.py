@@ -7,7 +7,9 @@ short list of terms, or by ``lcs_length`` for pairs of words of any length.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,19 +86,67 @@ def numbered_characters(word: Column) -> Column:
     )
 
 
-@F.pandas_udf(T.IntegerType())
-def lcs_length(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Longest common subsequence of two words of any length."""
+# Pairs are handled so many at a time, side by side up to words of so many characters.
+_AT_ONCE, _WORD_BITS = 1 << 14, (16, 64)
 
-    def one(a: str, b: str) -> int:
-        masks: dict[str, int] = {}
-        for position, char in enumerate(a):
-            masks[char] = masks.get(char, 0) | (1 << position)
-        ones = (1 << len(a)) - 1
-        rest = ones
-        for char in b:
-            hit = rest & masks.get(char, 0)
-            rest = ((rest + hit) | (rest - hit)) & ones
-        return len(a) - rest.bit_count()
 
-    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype="int32")
+def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All characters as code points, and where each word's begin."""
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = "".join(words.to_pylist())
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _square(codes: np.ndarray, starts: np.ndarray, which: np.ndarray, width: int, fill: int) -> np.ndarray:
+    """Words as rows of ``width`` characters, filled up."""
+    columns = np.arange(width)
+    begin, end = starts[which][:, None], starts[which + 1][:, None]
+    at = np.minimum(begin + columns, max(0, len(codes) - 1))
+    return np.where(begin + columns < end, codes[at], np.uint32(fill)) if len(codes) else np.full((len(which), width), fill, np.uint32)
+
+
+def _lcs_side_by_side(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """LCS lengths of rows of up to 64 characters: a bit per character of the left word, one
+    step of all pairs per character of the right one. Fillers of both sides differ."""
+    bits = 8 * -(-left.shape[1] // 8)
+    kind = {8: np.uint8, 16: np.uint16}.get(bits, np.uint64)
+    rest = np.full(len(left), np.iinfo(kind).max, kind)
+    for step in range(right.shape[1]):
+        equal = np.zeros((len(left), 8 * np.dtype(kind).itemsize), bool)
+        equal[:, : left.shape[1]] = left == right[:, step : step + 1]
+        hit = rest & np.packbits(equal, axis=1, bitorder="little").view(kind)[:, 0]
+        rest = (rest + hit) | (rest - hit)
+    return (np.dtype(kind).itemsize * 8 - np.bitwise_count(rest)).astype(np.int32)
+
+
+def _lcs_long(a: str, b: str) -> int:
+    """The same for one pair, with an integer as wide as the word."""
+    masks: dict[str, int] = {}
+    for position, char in enumerate(a):
+        masks[char] = masks.get(char, 0) | (1 << position)
+    ones = rest = (1 << len(a)) - 1
+    for char in b:
+        hit = rest & masks.get(char, 0)
+        rest = ((rest + hit) | (rest - hit)) & ones
+    return len(a) - rest.bit_count()
+
+
+@F.arrow_udf(T.IntegerType())
+def lcs_length(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Longest common subsequence of two words of any length, many pairs at a time."""
+    out = np.zeros(len(left), np.int32)
+    for begin in range(0, len(left), _AT_ONCE):
+        a, b = left.slice(begin, _AT_ONCE), right.slice(begin, _AT_ONCE)
+        (a_codes, a_starts), (b_codes, b_starts) = _codes(a), _codes(b)
+        longest = np.maximum(np.diff(a_starts), np.diff(b_starts))
+        low = -1
+        for high in _WORD_BITS:
+            which = np.flatnonzero((longest > low) & (longest <= high))
+            low = high
+            if len(which):
+                widths = [max(1, int(np.diff(s)[which].max())) for s in (a_starts, b_starts)]
+                square = _square(a_codes, a_starts, which, widths[0], 0x110000), _square(b_codes, b_starts, which, widths[1], 0x110001)
+                out[begin + which] = _lcs_side_by_side(*square)
+        for i in np.flatnonzero(longest > low).tolist():
+            out[begin + i] = _lcs_long(a[i].as_py(), b[i].as_py())
+    return pa.array(out, pa.int32())

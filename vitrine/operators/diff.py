@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import jsonfields as J
@@ -12,6 +12,8 @@ from vitrine.functions import sizing, skew
 from vitrine.operators import merge
 
 KEYS = merge.PRODUCT_KEYS
+# Key buckets of a snapshot, and their groups.
+UPPER_BUCKETS, LOWER_BUCKETS = 4096, 4096
 
 
 def compare(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -49,6 +51,55 @@ def compare(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
+def _digested(rows: DataFrame, description: Column) -> DataFrame:
+    """Key buckets on two levels, and two hashes of what ``compare`` looks at."""
+    price = F.coalesce(F.col("price").cast("double"), F.lit(0.0))
+    fields = [*KEYS, "title", F.col("title").isNull(), description, description.isNull(), price]
+    key = F.xxhash64(*KEYS)
+    return rows.withColumns(
+        {
+            "_upper": F.pmod(key, F.lit(UPPER_BUCKETS)),
+            "_lower": F.pmod(F.shiftright(key, 32), F.lit(LOWER_BUCKETS)),
+            "_h": F.xxhash64(*fields),
+            "_g": F.xxhash64(F.lit(1), *fields),
+        }
+    )
+
+
+def _unequal(one: DataFrame, other: DataFrame, level: list[str]) -> DataFrame:
+    """Buckets of a level whose rows differ: their digests, which no order of rows changes, are compared."""
+    low = F.lit(0xFFFFFFFF)
+    digest = F.struct(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_xor("_h").alias("h"),
+        F.bit_xor("_g").alias("g"),
+        F.sum(F.col("_h").bitwiseAND(low)).alias("hs"),
+        F.sum(F.col("_g").bitwiseAND(low)).alias("gs"),
+    )
+    left, right = (rows.groupBy(*level).agg(digest.alias(name)) for rows, name in ((one, "_one"), (other, "_other")))
+    return left.join(right, level, "full").filter(~F.col("_one").eqNullSafe(F.col("_other"))).select(*level)
+
+
+def compare_by_digest(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """``compare`` for snapshots of which little has changed.
+
+    Rows are hashed into key buckets, buckets into upper buckets. Only digests of the
+    upper buckets are shuffled, then those of the buckets in unequal upper ones, and
+    rows only where buckets are unequal; rows of equal buckets are unchanged. The
+    stored keys must be unique. Both tables are scanned three times: pass stored ones.
+    """
+    new = _digested(incoming, F.coalesce("description", F.lit("")))
+    old = _digested(stored, F.col("description"))
+    upper = sizing.small_side(_unequal(new, old, ["_upper"]))
+    opened = [rows.join(upper, ["_upper"], "left_semi") for rows in (new, old)]
+    lower = sizing.small_side(_unequal(*opened, ["_upper", "_lower"]))
+    changed = compare(new.join(lower, ["_upper", "_lower"], "left_semi"), old.join(lower, ["_upper", "_lower"], "left_semi"))
+    no = {name: F.lit(False) for name in ("title_changed", "description_changed", "price_changed", "needs_update")}
+    rest = new.join(lower, ["_upper", "_lower"], "left_anti").withColumns({**no, "change_class": F.lit("unchanged")})
+    columns = [*incoming.columns, *no, "change_class"]
+    return changed.select(*columns).unionByName(rest.select(*columns))
+
+
 def change_report(compared: DataFrame) -> DataFrame:
     return compared.filter("needs_update").select(
         *KEYS, "ordinal", "title", "title_changed", "description_changed", "price_changed"

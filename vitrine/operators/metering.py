@@ -58,11 +58,21 @@ def usage_from_events(events: DataFrame, usage_type: str = "search") -> DataFram
 
 
 def usage_since_reset(subscriptions: DataFrame, usage: DataFrame, usage_type: str = "search") -> DataFrame:
-    """Usage of one type since each tenant's reset date; 0 without any."""
-    used = usage.filter(F.col("usage_type") == usage_type).select("shop_domain", "usage_date", "usage_count")
-    since = subscriptions.select("shop_domain", "search_reset_date").join(used, "shop_domain", "left")
-    counted = F.when(F.col("usage_date") >= F.col("search_reset_date"), F.col("usage_count"))
-    return since.groupBy("shop_domain").agg(F.coalesce(F.sum(counted), F.lit(0)).cast("bigint").alias("current_searches"))
+    """Usage of one type since each tenant's reset date; 0 without any.
+
+    Days before the earliest reset of all are not read, and a tenant's other days leave the
+    usage side as one row, from which the tenant takes those since its own reset.
+    """
+    since = subscriptions.select("shop_domain", "search_reset_date")
+    earliest = since.agg(F.min("search_reset_date")).scalar()
+    used = usage.filter((F.col("usage_type") == usage_type) & (F.col("usage_date") >= earliest))
+    daily = used.groupBy("shop_domain", "usage_date").agg(F.sum("usage_count").cast("bigint").alias("n"))
+    history = daily.groupBy("shop_domain").agg(F.collect_list(F.struct("usage_date", "n")).alias("days"))
+    counted = F.filter("days", lambda d: d["usage_date"] >= F.col("search_reset_date"))
+    total = F.aggregate(counted, F.lit(0).cast("bigint"), lambda sum_, d: sum_ + d["n"])
+    return since.join(history, "shop_domain", "left").select(
+        "shop_domain", F.coalesce(total, F.lit(0).cast("bigint")).alias("current_searches")
+    )
 
 
 def plan_limits(

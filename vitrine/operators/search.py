@@ -275,38 +275,53 @@ def final_rank(partial: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def total_rank(rows: DataFrame) -> DataFrame:
-    """Adds ``rank`` per request, however many rows a request has.
+    """Adds ``rank`` per request, however many rows a request has."""
+    return ranked_within(rows, ["query_id"], _order(), "rank").withColumn("rank", F.col("rank").cast("int"))
 
-    Rows are sorted by range of request and score, so a request may lie in many
-    tasks. Each numbers its own rows; a request's numbers start, in every task, after
-    the rows that the tasks before hold of it. Only these counts meet per request.
+
+def ranked_within(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place, from 1, within its group, of which no task needs to hold all.
+
+    Rows are sorted by range of group and order, so a group may lie in many
+    tasks. Each numbers its own rows; a group's numbers start, in every task, after
+    the rows that the tasks before hold of it. Only these counts meet per group.
     """
-    place = T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("rank", T.LongType())])
-    at = rows.columns.index("query_id")
+    fields = [*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField(name, T.LongType())]
+    at = [rows.columns.index(c) for c in group]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, last, carried = TaskContext.get().partitionId(), None, 0
         for batch in batches:
-            if not batch.num_rows:
+            size = batch.num_rows
+            if not size:
                 continue
-            runs = pc.run_end_encode(batch.column(at))
-            ends = runs.run_ends.to_numpy().astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]])
-            names = runs.values
-            if names[0].as_py() == last:
-                starts[0] -= carried
-            places = np.arange(1, batch.num_rows + 1) - np.repeat(starts, np.diff(ends, prepend=0))
-            last, carried = names[len(names) - 1].as_py(), int(places[-1])
-            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(places)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", "rank"])
-
-    placed = rows.repartitionByRange("query_id", *_order()).sortWithinPartitions("query_id", *_order())
-    numbered = cut_lineage(placed.mapInArrow(number, place))
-    counts = numbered.groupBy("query_id", "_part").agg(F.max("rank").alias("rows"))
-    before = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("query_id", "_part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
-    ranked = numbered.join(sizing.small_side(offsets), ["query_id", "_part"])
-    return ranked.withColumn("rank", (F.col("rank") + F.col("_before")).cast("int")).select(*rows.columns, "rank")
+            new = np.zeros(size, bool)
+            for column in (batch.column(i) for i in at):
+                same = pc.fill_null(pc.equal(column.slice(1), column.slice(0, size - 1)), False)
+                nulls = column.is_null().to_numpy(zero_copy_only=False)
+                new[1:] |= ~(same.to_numpy(zero_copy_only=False) | (nulls[1:] & nulls[:-1]))
+            first = [batch.column(i)[0].as_py() for i in at]
+            new[0] = True
+            begin = np.flatnonzero(new)
+            starts = np.repeat(begin, np.diff(np.append(begin, size)))
+            places = np.arange(size) - starts + 1
+            if first == last:
+                places[: begin[1] if len(begin) > 1 else size] += carried
+            last, carried = [batch.column(i)[size - 1].as_py() for i in at], int(places[-1])
+            columns = [*batch.columns, pa.array(np.full(size, part, np.int32)), pa.array(places)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_part", name])
+
+    ordered = [*(F.col(c) for c in group), *order]
+    placed = rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
+    numbered = cut_lineage(placed.mapInArrow(number, T.StructType(fields)))
+    counts = numbered.groupBy(*group, "_part").agg(F.max(name).alias("rows"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_before"))
+    # NULL groups have a place too.
+    left, right = numbered.alias("l"), sizing.small_side(offsets).alias("r")
+    same_group = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in [*group, "_part"]]
+    ranked = left.join(right, same_group)
+    return ranked.select(*[F.col(f"l.`{c}`") for c in rows.columns], (F.col(f"l.`{name}`") + F.col("r._before")).alias(name))
 
 
 def _group(by_tenant: bool) -> str | None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,18 +120,24 @@ def correct_queries(
 
 
 def _replace_words(fixes: DataFrame):
-    """Replacement of single words by a broadcast table, over Arrow batches."""
-    shared = fixes.sparkSession.sparkContext.broadcast({r["token"]: r["best"] for r in fixes.collect()})
-
-    @F.pandas_udf("corrected string, changed boolean")
-    def replace(lists: pd.Series) -> pd.DataFrame:
-        table = shared.value
-        made, changed = [], []
-        for item in lists:
-            item = [] if item is None else item
-            made.append(" ".join(table.get(w, w) for w in item))
-            changed.append(any(w in table for w in item))
-        return pd.DataFrame({"corrected": made, "changed": changed})
+    """Replacement of single words by a broadcast table: the distinct words of a batch are
+    looked up, and lists are put together again from what they became."""
+    table = fixes.select("token", "best").toArrow()
+    shared = fixes.sparkSession.sparkContext.broadcast((table["token"].combine_chunks(), table["best"].combine_chunks()))
+
+    @F.arrow_udf("corrected string, changed boolean")
+    def replace(lists: pa.Array) -> pa.Array:
+        tokens, best = shared.value
+        coded = lists.flatten().dictionary_encode()
+        found = pc.index_in(coded.dictionary, value_set=tokens)
+        became = pc.coalesce(best.take(found), coded.dictionary).take(coded.indices)
+        hit = pc.is_valid(found).take(coded.indices).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False))
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        corrected = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), became), " ")
+        hits = np.concatenate([[0], np.cumsum(hit)])
+        changed = pa.array(hits[offsets[1:]] > hits[offsets[:-1]])
+        return pa.StructArray.from_arrays([corrected, changed], ["corrected", "changed"])
 
     return replace
 

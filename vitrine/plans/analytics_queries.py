@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import signing
 from vitrine.functions import text as X
 from vitrine.functions import numeric as N
-from vitrine.operators import analytics, coverage, merge, metering, search, webhooks
+from vitrine.operators import analytics, coverage, distinct, merge, metering, search, webhooks
 from vitrine.plans import bindings as B
 from vitrine.plans import sql
 from vitrine.plans.registry import day, listed, moment, query
@@ -97,6 +97,41 @@ def daily_rollup(spark, sf_dir):
     return analytics.daily_rollup(B.search_events(spark, sf_dir), store="shop_domain").withColumn("date", day("date"))
 
 
+_WINDOW = 7
+_TRAILING = f"""WITH {sql.SEARCHES}, dated AS (SELECT *, CAST(created_at AS DATE) AS day FROM searches),
+days AS (SELECT DISTINCT day FROM dated),
+counted AS (
+  SELECT s.shop_domain, d.day, COUNT(DISTINCT s.query) AS queries, COUNT(DISTINCT s.session_id) AS sessions
+  FROM days d JOIN dated s ON s.day <= d.day AND s.day > d.day - {_WINDOW} GROUP BY 1, 2
+)"""
+
+
+@query(
+    _TRAILING + f" SELECT shop_domain, {sql.day('day')} AS date, queries AS unique_queries, sessions AS unique_users FROM counted"
+)
+def trailing_uniques(spark, sf_dir):
+    """Distinct queries and sessions of every trailing week, per tenant, from daily bitmaps."""
+    events = B.search_events(spark, sf_dir)
+    out = None
+    for value, name in (("query", "unique_queries"), ("session_id", "unique_users")):
+        state = distinct.daily_bitmaps(events, value, distinct.numbered(events, value), "created_at", "shop_domain")
+        counted = distinct.trailing_distinct(state, _WINDOW, "shop_domain", name=name)
+        out = counted if out is None else out.join(counted, ["shop_domain", "date"])
+    return out.withColumn("date", day("date"))
+
+
+@query(_TRAILING + f" SELECT shop_domain, {sql.day('day')} AS date, queries AS unique_queries, TRUE AS within_bound FROM counted")
+def trailing_uniques_sketch(spark, sf_dir):
+    """The same from daily sketches: every estimate is within four standard errors of the exact count."""
+    events = B.search_events(spark, sf_dir)
+    state = distinct.daily_bitmaps(events, "query", distinct.numbered(events, "query"), "created_at", "shop_domain")
+    exact = distinct.trailing_distinct(state, _WINDOW, "shop_domain", name="unique_queries")
+    sketches = distinct.daily_sketches(events, "query", "created_at", "shop_domain")
+    estimated = distinct.trailing_estimate(sketches, _WINDOW, "shop_domain", name="estimate")
+    close = distinct.within_error(F.col("estimate"), F.col("unique_queries")).alias("within_bound")
+    return exact.join(estimated, ["shop_domain", "date"]).select("shop_domain", day("date").alias("date"), "unique_queries", close)
+
+
 @query(
     f"""WITH {sql.CAT}, {sql.SEARCHES}, clicks AS (
   SELECT clicked_product_id AS product_id, COUNT(*) AS clicks, MIN(clicked_position) AS best_position FROM searches WHERE clicked_product_id IS NOT NULL GROUP BY 1

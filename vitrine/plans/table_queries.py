@@ -660,6 +660,37 @@ def catalog_diff(spark, sf_dir):
     return diff.change_report(_compared(spark, sf_dir))
 
 
+@query(
+    _COMPARED
+    + """ SELECT shop_domain, product_id, ordinal, title_changed, description_changed, price_changed,
+  CASE WHEN NOT known THEN 'new' WHEN title_changed OR description_changed OR price_changed THEN 'updated' ELSE 'unchanged' END AS change_class
+FROM compared"""
+)
+def catalog_diff_digest(spark, sf_dir):
+    """The class of every incoming product, found by digests of key buckets."""
+    stored = B.catalog(spark, sf_dir, vectors=False, descriptions=True)
+    compared = diff.compare_by_digest(B.incoming_catalog(spark, sf_dir), stored)
+    return compared.select("shop_domain", "product_id", "ordinal", "title_changed", "description_changed", "price_changed", "change_class")
+
+
+@query(
+    f"""WITH {sql.CAT} SELECT shop_domain, product_id, id % 97 = 0 AS title_changed, description IS NULL AS description_changed, id % 89 = 0 AS price_changed,
+  CASE WHEN id % 97 = 0 OR id % 89 = 0 OR description IS NULL THEN 'updated' ELSE 'unchanged' END AS change_class FROM cat"""
+)
+def catalog_diff_sparse(spark, sf_dir):
+    """A snapshot that differs in few products: only those of unequal buckets are compared."""
+    stored = B.catalog(spark, sf_dir, vectors=False, descriptions=True)
+    incoming = stored.withColumns(
+        {
+            "title": F.when(F.col("id") % 97 == 0, F.concat("title", F.lit("!"))).otherwise(F.col("title")),
+            "price": (F.col("price") + F.when(F.col("id") % 89 == 0, 1).otherwise(0)).cast("decimal(10,2)"),
+            "ordinal": F.col("id"),
+        }
+    )
+    compared = diff.compare_by_digest(incoming, stored)
+    return compared.select("shop_domain", "product_id", "title_changed", "description_changed", "price_changed", "change_class")
+
+
 @query(
     _COMPARED
     + """ SELECT shop_domain, CASE WHEN NOT known THEN 'new' WHEN title_changed OR description_changed OR price_changed THEN 'updated'
