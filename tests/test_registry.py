@@ -14,7 +14,7 @@ from vitrine.plans import all_oracles, all_queries
 
 QUERIES = all_queries()
 ORACLES = all_oracles()
-ROWS_ONLY = {"ivf_probe", "embed_batch"}
+ROWS_ONLY = {"ivf_probe"}
 
 
 @pytest.fixture(scope="module")

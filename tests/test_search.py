@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import ann, pq, quality, requests, rerank, search, settings
+from vitrine.operators import ann, pq, quality, requests, rerank, search, settings, suffixes
 from vitrine.session import build_session  # noqa: F401
 
 DIM = 8
@@ -201,6 +201,21 @@ def test_suggestions_by_rarest_letters(spark):
     assert direct.count() > 20
 
 
+@pytest.mark.parametrize("block", [50_000, 3])
+def test_suggestions_by_suffix_ranges(spark, monkeypatch, block):
+    """Short partials, wildcards and escapes looked up by range equal the direct trial."""
+    monkeypatch.setattr(suffixes, "ASKED_BLOCK", block)
+    titles = [("s", f"{a} {b}", i % 5 > 0) for i, (a, b) in enumerate((a, b) for a in ("Red", "blue", "GREEN", "É", "50%", "aaa") for b in ("shoe", "Shoes", "hat", "s_x", "", "banana"))]
+    titles += titles[::3] + [("t", "red hat", True), ("t", "", True), ("t", None, True), (None, "red", True)]
+    catalog = spark.createDataFrame(titles, "shop_domain string, title string, available boolean").repartition(3)
+    texts = ["", "a", "an", "é", "RED", "%", "_", "r%t", "%hat", "s_o", r"0\%", r"s\_x", "a_a", "zzz", "shoe%", "n%n", " ", "_e"]
+    asked = spark.createDataFrame([(f"{shop}{i}", shop, p) for i, p in enumerate(texts) for shop in ("s", "t")], "query_id string, shop_domain string, partial string")
+    direct, ranged = (search.suggestions(catalog, asked, limit=4, max_broadcast_bytes=most) for most in (1 << 20, -1))
+    wanted = {tuple(r) for r in direct.collect()}
+    assert {tuple(r) for r in ranged.collect()} == wanted and len(wanted) > 40
+    assert search.suggestions(catalog.limit(0), asked, max_broadcast_bytes=-1).count() == 0
+
+
 RESULTS = "query_id string, id string, price double, vendor string, inventory int, similarity double, rank int, tags array<string>"
 SAMPLE = [
     ("q", "prod_001", 129.99, "Nike", 45, 0.92, 1, ["running"]),

@@ -151,3 +151,89 @@ def test_webhook_intake(spark):
     write(signed, 0)
     erased = spark.read.schema("shop_domain string").parquet(f"{path}/erase").select("shop_domain")
     assert as_set(erased) == {("a",)}
+
+
+def test_intake_embeds_changed_texts_into_the_catalogue(spark):
+    """Two products of one delivery, replays, a failure tried again, and buckets left alone."""
+    from decimal import Decimal
+
+    from vitrine.operators import buckets
+
+    path = fresh_dir(spark, "intake-test")
+    names = schemas.PRODUCT_EMBEDDINGS.names
+    base = spark.range(400).selectExpr("concat('s', id % 4) AS shop_domain", "lpad(cast(id as string), 4, '0') AS product_id")
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.PRODUCT_EMBEDDINGS.fields if f.name not in base.columns]
+    jobs.product_store(base.select("*", *rest).select(*names), path, rows_per_bucket=20)
+    schema = "shop_domain string, product_id string, title string, description string, price decimal(10,2), vendor string, category string, tags array<string>, metadata string, ordinal bigint"
+    calls = []
+
+    def embed(texts):
+        if any("boom" in t for t in texts):
+            raise ValueError("boom")
+        return np.array([[len(t), 1.0] for t in texts], dtype=np.float32)
+
+    write = jobs.product_intake(path, F.col("title"), embed, datetime(2024, 5, 1))
+
+    def send(batch, *rows):
+        frame = spark.createDataFrame([(s, p, t, None, Decimal(1), "v", "c", [], None, o) for s, p, t, o in rows], schema)
+        write(frame, batch)
+        calls.append(frame)
+
+    def stored():
+        rows = buckets.current(spark, path).filter("title IS NOT NULL").collect()
+        return {r["product_id"]: (r["title"], r["embedding"]) for r in rows}
+
+    def outcomes(batch):
+        return {(r["product_id"], r["status"]) for r in spark.read.parquet(f"{path}/outcome/batch={batch}").collect()}
+
+    send(0, ("s1", "0001", "older", 1), ("s1", "0001", "aaa", 2), ("s2", "0002", "boom", 1), ("s1", "new", "bb", 1))
+    assert stored() == {"0001": ("aaa", [3.0, 1.0]), "0002": ("boom", None), "new": ("bb", [2.0, 1.0])}
+    assert outcomes(0) == {("0001", "ok"), ("0002", "error"), ("new", "ok")}
+    commits = {e["bucket"]: e["commit"] for e in buckets._files(spark, path)}
+    assert len(set(commits.values())) == 2 and len(commits) == 20
+    write(calls[0], 0)  # a replay embeds nothing but the failure
+    assert outcomes(0) == {("0002", "error")}
+    send(1, ("s1", "0001", "aaa", 3), ("s2", "0002", "fine", 2), ("s1", "new", "cccc", 2))
+    assert outcomes(1) == {("0002", "ok"), ("new", "ok")}
+    assert stored() == {"0001": ("aaa", [3.0, 1.0]), "0002": ("fine", [4.0, 1.0]), "new": ("cccc", [4.0, 1.0])}
+    assert buckets.current(spark, path).count() == 401
+
+
+@pytest.mark.parametrize(("kinds", "all_read"), [(40, False), (5000, True)])
+def test_live_top_queries_equal_the_batch(spark, kinds, all_read):
+    """Frequent queries come from summaries; where none is frequent, all are counted."""
+    from vitrine.operators import heavy
+
+    start = datetime(2024, 1, 1)
+    if all_read:
+        rows = [(i, f"q{i % kinds}") for i in range(2 * kinds)] + [(1_000_000, "q77")]
+    else:
+        rows = [(i, f"q{int(i ** 0.5) % kinds}") for i in range(4000)] + [(100_000 + i, f"rare{i}") for i in range(800)]
+    full = [(i, q, i % 3, None, "x", "s", start + timedelta(seconds=i % 1000)) for i, q in rows]
+    events = spark.createDataFrame(full, schemas.SEARCH_ANALYTICS)
+    path = fresh_dir(spark, "top-test")
+    write = jobs.query_log(path)
+    for batch, part in enumerate((events.filter("id % 2 = 0"), events.filter("id % 2 = 1"))):
+        write(part, batch)
+        write(part, batch)
+    live = jobs.live_top_queries(spark, path, events.schema, 10)
+    assert as_set(live) == as_set(analytics.top_queries(events, 10))
+    read = heavy.top(events, spark.read.parquet(f"{path}/summaries"), "query", 10).count()
+    assert (read == events.count()) == all_read
+
+
+def test_word_embedder_matches_its_definition():
+    import hashlib
+
+    from vitrine.operators import embedding
+
+    texts = ["Red shoe red", "  É 東京 shoe\t", "", "   ", "x"]
+    found = embedding.word_embedder(16)(texts)
+    for text, vector in zip(texts, found, strict=True):
+        wanted = np.zeros(16)
+        for word in text.lower().split():
+            number = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+            wanted[number % 16] += 1 if number >> 31 else -1
+        if not wanted.any():
+            wanted[int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big") % 16] = 1
+        assert np.array_equal(vector, (wanted / np.linalg.norm(wanted)).astype(np.float32))

@@ -7,6 +7,7 @@ fixed number of dimensions.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,6 +48,31 @@ def hashing_embedder(dim: int) -> Embedder:
     return embed
 
 
+def word_embedder(dim: int) -> Embedder:
+    """Like ``hashing_embedder``, with a hash that every engine has, and without a loop over words:
+    the first four bytes of a word's MD5 give its dimension, and its sign by the first bit.
+    Only the distinct words of a batch are hashed one by one."""
+
+    def number(word: str) -> int:
+        return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+
+    def embed(texts: list[str]) -> np.ndarray:
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.string())))
+        row = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        hashes = np.array([number(w) for w in words], np.int64)
+        signs = np.where(np.array([w == "" for w in words], bool), 0, np.where(hashes >> 31, 1, -1))
+        codes = coded.indices.to_numpy()
+        out = np.zeros((len(texts), dim))
+        np.add.at(out, (row, hashes[codes] % dim), signs[codes])
+        for i in np.flatnonzero(~out.any(axis=1)).tolist():  # words that cancel out must not leave a zero vector
+            out[i, number(texts[i]) % dim] = 1.0
+        return (out / np.sqrt((out * out).sum(axis=1, keepdims=True))).astype(np.float32)
+
+    return embed
+
+
 def embed_rows(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     """``rows`` plus ``embedding, status, error``. A failing text fails alone.
 
@@ -193,6 +220,16 @@ def cost_estimate(texts: DataFrame, text: str) -> DataFrame:
     )
 
 
+def planned_costs(plans: DataFrame, counts: str = "text_count", average: str = "average_length") -> DataFrame:
+    """``planned_cost`` as data: per row of ``plans`` and model the tokens and dollars for so many
+    texts of so many characters on average (NULL: 500)."""
+    length = F.coalesce(F.col(average), F.lit(500))
+    tokens = (F.col(counts) * F.ceil(length / 4)).cast("bigint").alias("total_tokens")
+    prices = [F.struct(F.lit(m).alias("model"), F.lit(p).alias("price_per_million")) for m, p in seeds.MODEL_PRICES.items()]
+    each = plans.select("*", tokens, F.inline(F.array(*prices)))
+    return each.withColumn("estimated_cost", F.col("total_tokens") / 1_000_000 * F.col("price_per_million"))
+
+
 def planned_cost(text_count: int, average_length: int = 500, model: str = seeds.DEFAULT_MODEL) -> tuple[int, float]:
     """Tokens and dollars for ``text_count`` texts of an average length."""
     tokens = text_count * -(-average_length // 4)

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from vitrine.functions import sizing, skew
 from vitrine.functions.vectors import SIMILARITY_PLACES
+from vitrine.operators import suffixes
 from vitrine.sources import seeds
 from vitrine.session import cut_lineage
 
@@ -479,7 +480,11 @@ def similar_products(catalog: DataFrame, anchors: DataFrame, k: int = 10) -> Dat
 
 
 def suggestions(
-    catalog: DataFrame, partials: DataFrame, limit: int = 5, direct_per_tenant: int = MAX_DIRECT_PARTIALS
+    catalog: DataFrame,
+    partials: DataFrame,
+    limit: int = 5,
+    direct_per_tenant: int = MAX_DIRECT_PARTIALS,
+    max_broadcast_bytes: int = sizing.MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Titles containing a partial query, most frequent first, per request.
 
@@ -488,7 +493,8 @@ def suggestions(
     requests. Where a tenant has more than ``direct_per_tenant`` partials, its
     titles are not tried one by one: a title can only contain a partial if it
     contains the partial's rarest three letters, and those are joined on.
-    Partials too short for that, or with wildcards, are tried directly.
+    Partials too short for that, or with wildcards, are sent to the titles, which stay where
+    they lie, or, if they are too many, look their ranges up in a table of suffixes.
     """
     counted = catalog.filter("available").groupBy("shop_domain", "title").agg(F.count(F.lit(1)).alias("frequency"))
     asked = partials.select("query_id", "shop_domain", "partial")
@@ -497,10 +503,13 @@ def suggestions(
     )
     plain = (F.length("partial") >= 3) & ~F.col("partial").rlike(r"[%_\\]")
     many = asked.join(busy, "shop_domain", "left_semi").filter(plain)
-    few = sizing.small_side(asked.join(many.select("query_id"), "query_id", "left_anti"))
+    few, small = sizing.settle(asked.join(many.select("query_id"), "query_id", "left_anti"), max_broadcast_bytes)
     contains = F.ilike("title", F.concat(F.lit("%"), F.col("partial"), F.lit("%")))
     columns = ["query_id", "shop_domain", "title", "frequency"]
-    matched = counted.join(few, "shop_domain").filter(contains).select(*columns)
+    if small:
+        matched = counted.join(F.broadcast(few), "shop_domain").filter(contains).select(*columns)
+    else:
+        matched = suffixes.best_titles(counted, few, limit).select(*columns)
     if not many.isEmpty():
         matched = matched.unionByName(_by_rarest_letters(counted, many).filter(contains).select(*columns))
     order = Window.partitionBy("query_id").orderBy(F.desc("frequency"), "title")

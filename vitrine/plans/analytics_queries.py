@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitrine import sqlapi
 from vitrine.functions import signing
 from vitrine.functions import text as X
 from vitrine.functions import numeric as N
@@ -344,6 +345,23 @@ def plan_limit_documents(spark, sf_dir):
     return metering.limits_document(_limits(spark, sf_dir))
 
 
+@query(
+    _LIMITS
+    + """ SELECT *, products_exceeded OR searches_exceeded AS upgrade_required,
+       '{"shop":"' || shop || '","plan":"' || plan || '","current_products":' || current_products || ',"max_products":' || max_products ||
+       ',"current_searches":' || current_searches || ',"max_searches":' || max_searches || ',"products_exceeded":' || products_exceeded ||
+       ',"searches_exceeded":' || searches_exceeded || ',"upgrade_required":' || (products_exceeded OR searches_exceeded) || '}' AS document FROM limits"""
+)
+def sql_check_plan_limits(spark, sf_dir):
+    """Both limit functions, called for every subscription from SQL text."""
+    sqlapi.register_limits(spark, _limits(spark, sf_dir))
+    B.subscriptions(spark, sf_dir).createOrReplaceTempView("vitrine_subscriptions")
+    return spark.sql(
+        """SELECT s.shop_domain AS shop, c.*, plan_limits_document(s.shop_domain) AS document
+FROM vitrine_subscriptions s, LATERAL check_plan_limits(s.shop_domain) c"""
+    )
+
+
 @query(
     f"""WITH {_SUBS} SELECT shop_domain, CASE WHEN {_DUE} THEN 0 ELSE searches_this_month END AS searches_this_month,
        {sql.day(f"CASE WHEN {_DUE} THEN DATE '2024-01-31' ELSE search_reset_date END")} AS search_reset_date,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vitrine import sqlapi
 from vitrine.functions import predicates as P
 from vitrine.functions import sizing
 from vitrine.functions import vectors as V
@@ -76,6 +77,17 @@ def vec_threshold_topk(spark, sf_dir):
     return _threshold(spark, sf_dir, search.MAX_BROADCAST_REQUESTS)
 
 
+@query(_BY_SHOP.format(condition="", floor=0.05, k=20))
+def sql_search_products(spark, sf_dir):
+    """The table function, called for every request from SQL text."""
+    sqlapi.register_search(spark, B.catalog(spark, sf_dir))
+    B.shop_label_requests(spark, sf_dir).createOrReplaceTempView("vitrine_requests")
+    return spark.sql(
+        """SELECT r.query_id, s.product_id, s.shop_domain, s.similarity, s.rank
+FROM vitrine_requests r, LATERAL search_products(r.qvec, r.shop_domain, 0.05D, 20) s"""
+    )
+
+
 @query(_BY_SHOP.format(condition="AND c.available", floor=0.05, k=20))
 def vec_threshold_topk_blocked(spark, sf_dir):
     """The same through the block-wise path used for large request tables."""
@@ -292,6 +304,31 @@ def title_suggestions(spark, sf_dir):
     return search.suggestions(catalog, partials)
 
 
+@query(
+    f"""WITH {sql.CAT}, partials AS (
+  SELECT DISTINCT shop_domain || '/' || m.mask || substr(title, 1, 3) AS query_id, shop_domain,
+         CASE m.mask WHEN 'short' THEN substr(title, 1, 2) ELSE substr(title, 1, 1) || '_' || substr(title, 3, 1) || '%e' END AS partial
+  FROM cat, (VALUES ('short'), ('wild')) m(mask)
+), counted AS (SELECT shop_domain, title, COUNT(*) AS frequency FROM cat WHERE available GROUP BY 1, 2)
+SELECT p.query_id, p.shop_domain, c.title, c.frequency,
+       row_number() OVER (PARTITION BY p.query_id ORDER BY c.frequency DESC, c.title) AS rank
+FROM counted c JOIN partials p ON p.shop_domain = c.shop_domain AND c.title ILIKE '%' || p.partial || '%'
+QUALIFY rank <= 5"""
+)
+def title_suggestions_ranged(spark, sf_dir):
+    """Two-letter and wildcard partials looked up in the sorted table of suffixes."""
+    catalog = B.catalog(spark, sf_dir, vectors=False)
+    letter = lambda i, n=1: F.substring("title", i, n)
+    masks = F.explode(F.array(F.lit("short"), F.lit("wild")))
+    wild = F.concat(letter(1), F.lit("_"), letter(3), F.lit("%e"))
+    made = catalog.select("shop_domain", "title", masks.alias("mask")).select(
+        F.concat("shop_domain", F.lit("/"), "mask", letter(1, 3)).alias("query_id"),
+        "shop_domain",
+        F.when(F.col("mask") == "short", letter(1, 2)).otherwise(wild).alias("partial"),
+    )
+    return search.suggestions(catalog, made.distinct(), max_broadcast_bytes=-1)
+
+
 def _typed_terms() -> str:
     fixed = ", ".join(f"('{t}')" for t in seeds.SEARCH_TERMS)
     return f"SELECT DISTINCT unnest(string_split(p_name, ' ')) AS term FROM part UNION SELECT * FROM (VALUES {fixed}) v(term)"

@@ -175,3 +175,22 @@ fixes AS (
 
 def words(text: str) -> str:
     return f"list_filter(string_split_regex(lower({text}), '{SPACE}+'), lambda w: w <> '')"
+
+
+def embedded(texts: str, keys: str, dim: int = 64) -> str:
+    """Expressions ``vectors(keys, vector)`` from a query of keys and ``text``: each word counts, by the
+    sign of its hash, in the dimension of its hash; lengths are one; entries are millionths."""
+    number = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+    return f"""
+texts AS ({texts}),
+hashed AS (
+  SELECT {keys}, {number.format('w')} AS h FROM (SELECT {keys}, unnest({words('text')}) AS w FROM texts)),
+sums AS (
+  SELECT {keys}, h % {dim} AS d, SUM(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS s FROM hashed GROUP BY ALL),
+norms AS (
+  SELECT {keys}, sqrt(CAST(SUM(s * s) AS DOUBLE)) AS norm, list(d ORDER BY d) AS ds, list(CAST(s AS DOUBLE) ORDER BY d) AS ss FROM sums GROUP BY {keys}),
+vectors AS (
+  SELECT {keys}, array_to_string(list_transform(range({dim}), lambda i: CAST(round(CAST(CAST(
+    CASE WHEN norm > 0 THEN COALESCE(ss[list_position(ds, i)], 0) / norm
+         ELSE CASE WHEN {number.format('text')} % {dim} = i THEN 1.0 ELSE 0.0 END END AS FLOAT) AS DOUBLE) * 1000000) AS BIGINT)), ',') AS vector
+  FROM texts LEFT JOIN norms USING ({keys}) WHERE norm IS NOT NULL)"""

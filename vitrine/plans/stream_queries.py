@@ -7,11 +7,12 @@ from pyspark.sql import types as T
 
 from vitrine import schemas
 from vitrine.functions import text as X
-from vitrine.operators import embedding
+from vitrine.operators import analytics, buckets, embedding, merge
 from vitrine.plans import analytics_queries as A
 from vitrine.plans import bindings as B
 from vitrine.plans import sql
 from vitrine.plans.registry import day, moment, query
+from vitrine.plans.table_queries import millionths
 from vitrine.session import fresh_dir
 from vitrine.streaming import jobs
 
@@ -92,32 +93,41 @@ def stream_event_append(spark, sf_dir):
     return back.select("id", "query", F.coalesce("results_count", F.lit(-1)).alias("results_count"), "shop_domain", moment("created_at").alias("created_at"))
 
 
-_PART = T.StructType(
-    [
-        T.StructField("p_partkey", T.LongType()),
-        T.StructField("p_name", T.StringType()),
-        T.StructField("p_brand", T.StringType()),
-        T.StructField("p_type", T.StringType()),
-        T.StructField("p_size", T.IntegerType()),
-        T.StructField("p_retailprice", T.DoubleType()),
-    ]
-)
-
-
 @query(
-    f"""WITH {sql.CAT} SELECT shop_domain, product_id, sha256(concat_ws(' ', title, title, 'Brand: ' || vendor)) AS text_key, 'ok' AS status, 64 AS dim FROM cat"""
+    f"""WITH {sql.CAT}, {sql.embedded("SELECT shop_domain, product_id, concat_ws(' ', title, title, NULLIF(description, ''), 'Brand: ' || vendor) AS text FROM cat", "shop_domain, product_id")}
+SELECT shop_domain, product_id, sha256(text) AS text_key, vector, id % 3 = 0 AS sent_twice, TRUE AS embedded_once
+FROM vectors JOIN texts USING (shop_domain, product_id) JOIN cat USING (shop_domain, product_id)"""
 )
 def stream_embed_products(spark, sf_dir):
-    """Products embedded as they arrive."""
-    parts = _stream(spark, sf_dir, "part", _PART)
-    text = X.weighted_text(F.col("p_name"), F.lit(None).cast("string"), F.col("p_brand"))
-    products = parts.select(
-        B._shop(F.col("p_partkey")).alias("shop_domain"), F.col("p_partkey").cast("string").alias("product_id"), text.alias("text")
+    """Products embedded as they arrive, into the catalogue: a third is sent first, then all of them."""
+    catalog = B.catalog(spark, sf_dir, vectors=False, descriptions=True)
+    fields = [*merge.PRODUCT_KEYS, "title", "description", "price", "vendor", "category", "tags", "metadata"]
+    feed = catalog.select(*fields, F.col("id").alias("ordinal"))
+    path = fresh_dir(spark, "intake")
+    jobs.product_store(B.stored_catalog(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>")), path, 5000)
+    text = X.weighted_text(F.col("title"), F.col("description"), F.col("vendor"))
+    write = jobs.product_intake(path, text, embedding.word_embedder(64), B.AS_OF)
+    for arrived in (feed.filter("ordinal % 3 = 0"), feed):
+        arrived.write.mode("append").parquet(f"{path}/feed")
+        jobs.drain(jobs.read_files(spark, f"{path}/feed", feed.schema), write, f"{path}/checkpoint", mode="append")
+    outcome = spark.read.schema("shop_domain string, product_id string, status string").parquet(f"{path}/outcome")
+    times = outcome.groupBy(*merge.PRODUCT_KEYS).agg(F.count(F.lit(1)).alias("times"))
+    done = buckets.current(spark, path).join(times, merge.PRODUCT_KEYS)
+    return done.select(
+        *merge.PRODUCT_KEYS, "text_key", millionths("embedding").alias("vector"),
+        (F.col("product_id").cast("bigint") % 3 == 0).alias("sent_twice"), (F.col("times") == 1).alias("embedded_once"),
     )
-    path = fresh_dir(spark, "embedded")
-    jobs.drain(products, jobs.embed_new_products(f"{path}/table", "text", embedding.hashing_embedder(64)), f"{path}/checkpoint", mode="append")
-    done = jobs.embedded_products(spark, f"{path}/table")
-    return done.select("shop_domain", "product_id", "text_key", "status", F.size("embedding").alias("dim"))
+
+
+@query(f"WITH {A._PERIOD} SELECT query, {A._TOP} FROM period GROUP BY query ORDER BY search_count DESC, query LIMIT 20")
+def stream_top_queries(spark, sf_dir):
+    """The most frequent queries of a log that grew in two deliveries, found by their summaries."""
+    events = analytics.in_period(B.search_events(spark, sf_dir), B.AS_OF, A.DAYS)
+    path = fresh_dir(spark, "top")
+    for arrived in (events.filter("id % 2 = 0"), events.filter("id % 2 = 1")):
+        arrived.write.mode("append").parquet(f"{path}/in")
+        jobs.drain(jobs.read_files(spark, f"{path}/in", events.schema), jobs.query_log(path), f"{path}/checkpoint", mode="append")
+    return jobs.live_top_queries(spark, path, events.schema).withColumn("last_searched", moment("last_searched"))
 
 
 _CONVERSATIONS = T.StructType(

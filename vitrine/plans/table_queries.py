@@ -738,14 +738,61 @@ def embed_outcome(spark, sf_dir):
     return embedding.outcome(embedded, "lang")
 
 
-@query()
+def millionths(vector):
+    """A vector as whole numbers of millionths, comma-joined."""
+    return F.array_join(F.transform(vector, lambda x: F.round(x.cast("double") * 1_000_000).cast("bigint").cast("string")), ",")
+
+
+_CATEGORISED = """concat_ws(' ', title, NULLIF(description, ''), 'Category: ' || category, 'Tags: ' || array_to_string(tags, ', '))"""
+
+
+@query(
+    f"""WITH {sql.CAT}, {sql.embedded(f"SELECT shop_domain, product_id, {_CATEGORISED} AS text FROM cat", "shop_domain, product_id")}
+SELECT shop_domain, product_id, 'ok' AS status, 64 AS dim, vector FROM vectors"""
+)
 def embed_batch(spark, sf_dir):
-    """Catalogue texts embedded by the local embedder."""
+    """Catalogue texts embedded by the local embedder, vector by vector."""
     rows = B.catalog(spark, sf_dir, vectors=False, descriptions=True)
     c = F.col
     text = X.category_text(c("title"), c("description"), c("category"), c("tags"))
-    embedded = embedding.embed_rows(rows.select("shop_domain", "product_id", text.alias("text")), "text", embedding.hashing_embedder(64))
-    return embedded.select("shop_domain", "product_id", "status", F.size("embedding").alias("dim"), V.to_text(F.col("embedding")).alias("vector"))
+    embedded = embedding.embed_rows(rows.select("shop_domain", "product_id", text.alias("text")), "text", embedding.word_embedder(64))
+    return embedded.select("shop_domain", "product_id", "status", F.size("embedding").alias("dim"), millionths("embedding").alias("vector"))
+
+
+@query(
+    """SELECT lang, model, text_count, average_length, text_count * CAST(ceil(average_length / 4.0) AS BIGINT) AS total_tokens,
+       round(text_count * CAST(ceil(average_length / 4.0) AS BIGINT) * price / 1000000, 9) AS estimated_cost
+FROM (SELECT lang, COUNT(*) AS text_count, CAST(floor(avg(length(text))) AS BIGINT) AS average_length FROM documents WHERE text IS NOT NULL GROUP BY 1),
+     (VALUES """
+    + ", ".join(f"('{model}', {price}::DOUBLE)" for model, price in seeds.MODEL_PRICES.items())
+    + """) m(model, price)"""
+)
+def cost_planned(spark, sf_dir):
+    """Planned embedding cost per language: texts times their average length."""
+    sized = B.table(spark, sf_dir, "documents").filter("text IS NOT NULL").groupBy("lang").agg(
+        F.count(F.lit(1)).alias("text_count"), F.floor(F.avg(F.length("text"))).cast("bigint").alias("average_length")
+    )
+    costs = embedding.planned_costs(sized)
+    return costs.select("lang", "model", "text_count", "average_length", "total_tokens", F.round("estimated_cost", 9).alias("estimated_cost"))
+
+
+@query(
+    f"""WITH {sql.CAT} SELECT 'typed' AS source, shop_domain, COUNT(*) AS products, COUNT(embedding) AS vectors, COUNT(*) - COUNT(embedding) AS to_embed FROM cat GROUP BY 2
+UNION ALL SELECT 'text', shop_domain, COUNT(*), 0, COUNT(*) FROM cat GROUP BY 2"""
+)
+def vector_repair(spark, sf_dir):
+    """The vector column checked and, where it has the wrong type (here text), replaced by an empty one."""
+    right = B.catalog(spark, sf_dir)
+    wrong = right.withColumn("embedding", V.to_text(F.col("embedding")))
+    out = None
+    for source, table in (("typed", right), ("text", wrong)):
+        fixed = coverage.repaired_vectors(table)
+        counts = coverage.index_coverage(fixed, "shop_domain").select(
+            F.lit(source).alias("source"), "shop_domain", F.col("total_products").alias("products"),
+            F.col("indexed_products").alias("vectors"), F.col("missing_embeddings").alias("to_embed"),
+        )
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def _cache(spark, sf_dir):

@@ -9,16 +9,18 @@ one is given, and the rate limiter counts late requests apart.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.functions import jsonfields as J
 from vitrine.functions import numeric as N
 from vitrine.functions import sizing
-from vitrine.operators import merge, purge, webhooks
+from vitrine.operators import analytics, buckets, heavy, merge, purge, webhooks
 from vitrine.operators.embedding import Embedder, embed_rows
-from vitrine.session import fresh_dir
+from vitrine.session import cut_lineage, fresh_dir
 from vitrine.streaming import limiter
 
 WATERMARK = "1 day"
@@ -165,14 +167,14 @@ def embed_new_products(table_path: str, text: str, embedder: Embedder) -> Write:
 
     Rows: product keys plus the text column. The table keeps one log entry per
     batch id; the newest entry of a product wins on reading. A product sent
-    again with the same text is not embedded again.
+    again with the same text is not embedded again. Of rows of one product in a batch
+    the one of greatest ``ordinal`` counts, or, without such a column, of greatest text.
     """
 
     def write(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        last = merge.keep_last(
-            rows.select(*merge.PRODUCT_KEYS, text, F.monotonically_increasing_id().alias("ordinal")), merge.PRODUCT_KEYS
-        )
+        order = F.col("ordinal") if "ordinal" in rows.columns else F.struct(text)
+        last = merge.keep_last(rows.select(*merge.PRODUCT_KEYS, text, order.alias("ordinal")), merge.PRODUCT_KEYS)
         keyed = last.select(*merge.PRODUCT_KEYS, text, F.sha2(text, 256).alias("text_key"))
         stored = _stored_before(spark, table_path, batch_id, keyed.select(*merge.PRODUCT_KEYS))
         todo = keyed if stored is None else keyed.join(stored, [*merge.PRODUCT_KEYS, "text_key"], "left_anti")
@@ -211,6 +213,62 @@ def embedded_products(spark: SparkSession, path: str) -> DataFrame:
     return latest_rows(spark, path, _EMBEDDED, merge.PRODUCT_KEYS)
 
 
+def product_store(catalog: DataFrame, path: str, rows_per_bucket: int = buckets.ROWS_PER_BUCKET) -> None:
+    """A catalogue in key buckets that also keeps what each vector was made from (``text_key``)."""
+    buckets.create(catalog.withColumn("text_key", F.lit(None).cast("string")), path, rows_per_bucket)
+
+
+def product_intake(path: str, text: Column, embedder: Embedder, as_of: datetime) -> Write:
+    """Micro-batch writer: products go into the catalogue at ``path``, and get a vector if their
+    text is not the one that their stored vector was made from.
+
+    Rows are product fields and an ``ordinal`` of the source, the greatest of which counts per
+    product. Only the buckets that a batch falls into are read and rewritten; their
+    ``text_key`` is the state. A batch that is repeated finds its own texts and embeds none.
+    A product whose embedding fails keeps its old vector, and is tried again when next sent;
+    outcomes lie under the batch id. Bound a batch by the source's ``max_files``.
+    """
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        last = merge.keep_last(rows, merge.PRODUCT_KEYS).withColumn("_text", text)
+        keyed = last.withColumn("_key", F.sha2("_text", 256))
+
+        def change(stored: DataFrame, batch: DataFrame) -> DataFrame:
+            known = stored.filter("embedding IS NOT NULL").select(*merge.PRODUCT_KEYS, F.col("text_key").alias("_key"))
+            todo = batch.join(known, [*merge.PRODUCT_KEYS, "_key"], "left_anti").select(*merge.PRODUCT_KEYS, "_text", "_key")
+            embedded = cut_lineage(embed_rows(todo, "_text", embedder))
+            outcome = embedded.select(*merge.PRODUCT_KEYS, F.col("_key").alias("text_key"), "status", "error")
+            outcome.write.mode("overwrite").parquet(f"{path}/outcome/batch={batch_id}")
+            vectors = embedded.filter("status = 'ok'").select(*merge.PRODUCT_KEYS, "embedding", "_key")
+            updated = merge.upsert_product_info(stored, batch.drop("_text", "_key"), as_of)
+            new = {"embedding": F.col("new.embedding"), "text_key": F.col("new._key"), "updated_at": F.lit(as_of).cast("timestamp_ntz")}
+            new["metadata"] = J.set_flag(F.coalesce(F.col("old.metadata"), F.lit("{}")), "needs_resync", F.lit(False))
+            return merge.upsert(updated, vectors, merge.PRODUCT_KEYS, new, {})
+
+        buckets.apply(rows.sparkSession, path, keyed, change)
+
+    return write
+
+
+def query_log(path: str, item: str = "query") -> Write:
+    """Micro-batch writer: the batch's events, and a summary of their most frequent items."""
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
+        back = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/events/batch={batch_id}")
+        heavy.summarise(back, item).write.mode("overwrite").parquet(f"{path}/summaries/batch={batch_id}")
+
+    return write
+
+
+def live_top_queries(spark: SparkSession, path: str, schema: T.StructType, limit: int = 20) -> DataFrame:
+    """``analytics.top_queries`` over a ``query_log``: only queries that the summaries show to be
+    frequent are counted."""
+    events = spark.read.schema(schema).parquet(f"{path}/events")
+    states = spark.read.parquet(f"{path}/summaries")
+    return analytics.top_queries(heavy.top(events, states, "query", limit), limit)
+
+
 def webhook_intake(path: str, secret: str) -> Write:
     """Micro-batch writer: verdict per payload, and the tenants to erase.
 
