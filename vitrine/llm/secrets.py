@@ -161,13 +161,20 @@ def base_spans(slab: blocks.Slab) -> dict[int, list[tuple[str, int, int, int]]]:
         hits = [("access", *m.span(), m.start()) for m in ACCESS.finditer(text) if len(m[0]) >= ACCESS_LEAST]
         out.setdefault(row, []).extend(hits)
     starts, ends = blocks.word_spans(_HEX[data], slab.offsets)
-    for i in np.flatnonzero(ends - starts >= HEX_LEAST).tolist():
-        row = rows(starts[i])
-        at = len(raw[begins[row] : starts[i]].decode("utf-8"))
-        out.setdefault(row, []).append(("hex", at, at + int(ends[i] - starts[i]), at))
+    long = np.flatnonzero(ends - starts >= HEX_LEAST)
+    chars = _characters(data)
+    row_of = np.searchsorted(slab.offsets, starts[long], "right") - 1
+    at_of = chars[starts[long]] - chars[slab.offsets[row_of]]
+    for row, at, size in zip(row_of.tolist(), at_of.tolist(), (ends - starts)[long].tolist(), strict=True):
+        out.setdefault(row, []).append(("hex", at, at + size, at))
     return out
 
 
+def _characters(data: np.ndarray) -> np.ndarray:
+    """Before each byte, and after the last, how many code points have begun."""
+    return np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+
+
 _HEX = np.zeros(256, bool)
 _HEX[48:58] = _HEX[97:103] = True
 
@@ -361,15 +368,14 @@ def _tagged(slab: blocks.Slab, field: Field) -> dict[int, list[tuple[str, int, i
     tokens = Tokens(slab)
     tags = field.tags(tokens)
     out: dict[int, list[tuple[str, int, int]]] = {}
-    raw, begins = slab.data.tobytes(), slab.offsets.tolist()
+    chars, begins = _characters(slab.data), slab.offsets.tolist()
     starts, ends = blocks.word_spans(tags > OUTSIDE, tokens.bounds[tokens.bounds <= len(tags)])
     for low, high in zip(starts.tolist(), ends.tolist(), strict=True):
         row = int(np.searchsorted(tokens.bounds, low, "right")) - 1
         cuts = [low, *(low + 1 + np.flatnonzero(tags[low + 1 : high] == BEGIN)).tolist(), high]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            start = len(raw[begins[row] : tokens.starts[a]].decode("utf-8"))
-            size = len(raw[tokens.starts[a] : tokens.ends[b - 1]].decode("utf-8"))
-            out.setdefault(row, []).append(("crf", start, start + size))
+            start, end = (int(chars[at] - chars[begins[row]]) for at in (tokens.starts[a], tokens.ends[b - 1]))
+            out.setdefault(row, []).append(("crf", start, end))
     return out
 
 
