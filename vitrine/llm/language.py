@@ -18,10 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.functions import sizing
 from vitrine.llm import blocks, bpe
+from vitrine.session import cut_lineage
 
-#: The bounded sample that the model learns from.
-LANGUAGES, SAMPLE_TEXTS, LANDMARKS = 64, 300, 40
+#: The bounded sample that the model learns from: texts and landmarks per language, and of all
+#: languages together (but at least one text and landmark of each language).
+SAMPLE_TEXTS, LANDMARKS = 300, 40
+ALL_TEXTS, ALL_LANDMARKS = 20_000, 2_600
 BUCKETS = 1 << 15
 RIDGE = 1e-3
 ROWS = 128
@@ -82,7 +86,8 @@ def _kernel(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _fit(languages: list[str], present: np.ndarray, language: np.ndarray) -> Model:
-    first = [np.flatnonzero(language == i)[:LANDMARKS] for i in range(len(languages))]
+    each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(languages)))
+    first = [np.flatnonzero(language == i)[:each] for i in range(len(languages))]
     landmarks = present[np.concatenate(first)]
     kernel = _kernel(present, landmarks).astype(np.float64)
     inner = _kernel(landmarks, landmarks).astype(np.float64)
@@ -95,20 +100,21 @@ def _fit(languages: list[str], present: np.ndarray, language: np.ndarray) -> Mod
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model | None:
-    """A model from about ``SAMPLE_TEXTS`` texts, chosen by id hash, of each of the
-    ``LANGUAGES`` most frequent languages (all texts of a language that has no
-    more); their n-gram sets, of fixed size, reach the driver. Rows without an id,
-    language or letter are left out; without any other row there is no model."""
+    """A model of every language from about ``SAMPLE_TEXTS`` texts of each, chosen by id hash
+    (all texts of a language that has no more; fewer of each where languages are many, so that
+    about ``ALL_TEXTS`` are taken); their n-gram sets, of fixed size, reach the driver. Rows
+    without an id, language or letter are left out; without any other row there is no model."""
     named = docs.select(
         docs[f"`{id_col}`"].alias("id"), docs[f"`{lang_col}`"].alias("lang"), docs[f"`{text_col}`"].alias("text")
     ).filter("id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
-    frequent = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    rows_of = {r["lang"]: r["count"] for r in frequent.collect()}
-    if not rows_of:
+    counts = cut_lineage(named.groupBy("lang").count())
+    known = counts.count()
+    if not known:
         return None
     # A hash below this share of a language's rows: one filter, no rows of a language meet.
-    rank = F.pmod(F.xxhash64("id"), F.create_map(*(F.lit(x) for pair in rows_of.items() for x in pair))[F.col("lang")])
-    texts = named.filter(F.col("lang").isin(list(rows_of)) & (rank < SAMPLE_TEXTS))
+    each = max(1, min(SAMPLE_TEXTS, ALL_TEXTS // known))
+    rank = F.pmod(F.xxhash64("id"), F.col("count"))
+    texts = named.join(sizing.small_side(counts), "lang").filter(rank < each)
     classes = bpe.character_classes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
