@@ -9,21 +9,24 @@ calibrated log-odds are combined to score all documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.functions import sizing
 from vitrine.llm import blocks
+from vitrine.session import cut_lineage
 
-#: The bounded samples that are fitted on: about so many labelled and unlabelled documents.
-LABELLED, POOL = 3000, 3000
+#: The bounded sample of labelled documents that is fitted on, and how many unlabelled ones, the
+#: surest of all, each view passes to the other per label and round.
+LABELLED, TAKEN = 3000, 150
 BUCKETS, SOURCES, LANGUAGES, ROWS = 4096, 32, 8, 256
-ROUNDS, GROWTH, SURE = 5, 0.05, 0.9
+ROUNDS, SURE = 5, 0.9
 STEPS, RATE, DECAY = 200, 0.05, 1e-3
 LAYOUT = 12
 META = LAYOUT + SOURCES + LANGUAGES
@@ -145,27 +148,44 @@ def _calibrated(view: Linear, features: np.ndarray, wanted: np.ndarray) -> Linea
     return view._replace(slope=float(max(slope[0], 1e-3)) / 4, shift=shift)
 
 
-def co_train(
-    views: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, pools: tuple[np.ndarray, np.ndarray]
-) -> Model:
-    """Labelled rows as two views with their labels, unlabelled rows as two views."""
-    order = np.arange(len(wanted))
-    aside = order % 5 == 4 if all(len(set(wanted[order % 5 == k])) == 2 for k in (0, 4)) else order < 0
-    base = order[~aside]
-    given: list[dict[int, float]] = [{}, {}]  # pseudo-labels of pool rows, for each view
-    most = max(1, int(GROWTH * len(pools[0])))
-    fitted: list[Linear] = []
-    for _ in range(ROUNDS):
-        fitted = []
-        for own, pool, labels in zip(views, pools, given, strict=True):
-            extra = np.fromiter(labels, np.int64, len(labels))
-            features = np.concatenate([own[base], pool[extra]])
-            fitted.append(_fit(features, np.concatenate([wanted[base], np.fromiter(labels.values(), float, len(labels))])))
+#: From the views fitted so far and what each was given (by key: label and features), what each
+#: view is surest of among the unlabelled documents: (key, label, features of both views).
+Surest = Callable[[list[Linear], list[dict]], list[list[tuple]]]
+
+
+def _surest_of(pools: tuple[np.ndarray, np.ndarray], most: int) -> Surest:
+    """``Surest`` for unlabelled rows at hand."""
+
+    def surest(fitted: list[Linear], given: list[dict]) -> list[list[tuple]]:
+        out = []
         for view, pool, other in zip(fitted, pools, reversed(given), strict=True):
             scores = _sigmoid(view.odds(pool)) if len(pool) else np.zeros(0)
+            picked = []
             for label, sure in ((1.0, scores), (0.0, 1 - scores)):
                 best = [i for i in np.argsort(-sure, kind="stable").tolist() if sure[i] >= SURE and i not in other]
-                other.update((i, label) for i in best[:most])
+                picked += [(i, label, *(p[i] for p in pools)) for i in best[:most]]
+            out.append(picked)
+        return out
+
+    return surest
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], wanted: np.ndarray, pools: tuple[np.ndarray, np.ndarray] | Surest) -> Model:
+    """Labelled rows as two views with their labels, and unlabelled rows as two views, or a
+    function that names the surest of them."""
+    order = np.arange(len(wanted))
+    aside = order % 5 == 4 if all(len(set(wanted[order % 5 == k])) == 2 for k in (0, 4)) else order < 0
+    base = order[~aside]
+    surest = pools if callable(pools) else _surest_of(pools, max(1, len(pools[0]) // 20))
+    given: list[dict] = [{}, {}]  # pseudo-labels of unlabelled documents, for each view
+    for number in range(ROUNDS):
+        fitted = []
+        for own, taught in zip(views, given, strict=True):
+            features = np.concatenate([own[base], *(f[None] for _, f in taught.values())])
+            fitted.append(_fit(features, np.concatenate([wanted[base], [label for label, _ in taught.values()]])))
+        if number < ROUNDS - 1:
+            for k, picked in enumerate(surest(fitted, given)):
+                given[1 - k].update((key, (label, features[1 - k])) for key, label, *features in picked)
     kept = order[aside] if aside.any() else order
     text, meta = (_calibrated(f, v[kept], wanted[kept]) for f, v in zip(fitted, views, strict=True))
     odds = np.stack([text.odds(views[0][kept]), meta.odds(views[1][kept])], 1)
@@ -173,6 +193,52 @@ def co_train(
     return Model(text, meta, np.array([max(weights[0], 0) / 4, max(weights[1], 0) / 4, bias]))
 
 
+def _unpacked(text: Iterable[bytes], meta: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    bits = np.unpackbits(np.array([np.frombuffer(t, np.uint8) for t in text]), axis=1)
+    return _unit(bits), np.array([np.frombuffer(m, np.float32) for m in meta])
+
+
+def _surest_in(pool: DataFrame) -> Surest:
+    """``Surest`` over a table of features (id, text, meta): every document is scored in its task,
+    and the exact first ``TAKEN`` per view and label are gathered."""
+
+    def surest(fitted: list[Linear], given: list[dict]) -> list[list[tuple]]:
+        known = [set(taught) for taught in reversed(given)]
+        kind = pool.schema["id"]
+        schema = T.StructType([kind, *T._parse_datatype_string("view int, label double, sure double, text binary, meta binary")])
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 4 * ROWS):
+                    part = batch.slice(low, 4 * ROWS)
+                    ids = part.column(0).to_pylist()
+                    views = _unpacked(part.column(1).to_pylist(), part.column(2).to_pylist())
+                    for k, (view, features) in enumerate(zip(fitted, views, strict=True)):
+                        scores = np.round(_sigmoid(view.odds(features)).astype(float), 6)
+                        new = np.array([i not in known[k] for i in ids], bool)
+                        for label, sure in ((1.0, scores), (0.0, 1 - scores)):
+                            chosen = np.flatnonzero((sure >= SURE) & new)
+                            if len(chosen) > TAKEN:  # equals of the last one stay
+                                chosen = chosen[sure[chosen] >= np.partition(sure[chosen], -TAKEN)[-TAKEN]]
+                            rows, size = part.take(pa.array(chosen)), len(chosen)
+                            columns = [rows.column(0), pa.array([k] * size, pa.int32()), pa.array([label] * size, pa.float64())]
+                            columns += [pa.array(sure[chosen], pa.float64()), rows.column(1), rows.column(2)]
+                            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        found = pool.select("id", "text", "meta").mapInArrow(blocks.tidy(run), schema)
+        order = Window.partitionBy("view", "label").orderBy(F.desc("sure"), F.xxhash64("id"), "id")
+        best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= TAKEN).drop("place").toPandas()
+        if not len(best):
+            return [[], []]
+        text, meta = _unpacked(best["text"], best["meta"])
+        out: list[list[tuple]] = [[], []]
+        for i, (key, view, label) in enumerate(zip(best["id"].tolist(), best["view"].tolist(), best["label"].tolist(), strict=True)):
+            out[view].append((key, label, text[i], meta[i]))
+        return out
+
+    return surest
+
+
 def _views(rows: DataFrame, scored: Model | None = None) -> DataFrame:
     """(id, text view, metadata view) as packed features, or with a model the scores."""
     kind = rows.schema["id"].dataType
@@ -202,12 +268,6 @@ def _named(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_co
     return docs.select(*(docs[f"`{c}`"].alias(name) for name, c in columns.items()))
 
 
-def _share(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` of the rows, by id hash."""
-    count = max(1, rows.count())
-    return rows.filter(F.pmod(F.xxhash64("id"), F.lit(count)) < most)
-
-
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -217,28 +277,24 @@ def train(
     source_col: str = "source",
     lang_col: str = "lang",
 ) -> Model | None:
-    """A model from about ``LABELLED`` labelled and ``POOL`` unlabelled documents, chosen
-    by id hash; their features, of fixed size, reach the driver. ``labels`` has the
-    document's id and a label of 0 or 1 (an id with both counts as 0). Without rows
-    of both labels there is no model."""
+    """A model from about ``LABELLED`` labelled documents, chosen by id hash, and from what each
+    view is surest of among all unlabelled ones, which are scored in every round. The features
+    of all documents, of fixed size, are a table in the shared folder; those fitted on reach
+    the driver. ``labels`` has the document's id and a label of 0 or 1 (an id with both
+    counts as 0). Without rows of both labels there is no model."""
     named = _named(docs, id_col, text_col, source_col, lang_col).filter("id IS NOT NULL")
     value = F.col(label) if isinstance(label, str) else label
     known = labels.select(labels[f"`{id_col}`"].alias("id"), value.cast("int").alias("label")).dropna()
-    known = known.groupBy("id").agg(F.min("label").alias("label"))
-    chosen = _share(known.join(named.select("id").distinct(), "id", "left_semi"), LABELLED)
-    labelled = chosen.select("id", F.col("label").cast("double").alias("label"))
-    pool = _share(named.select("id").distinct(), POOL).join(known, "id", "left_anti").withColumn("label", F.lit(None).cast("double"))
-    wanted = F.broadcast(labelled.unionByName(pool))
-    rows = _views(named.join(wanted.select("id"), "id", "left_semi")).dropDuplicates(["id"]).join(wanted, "id")
-    found = rows.orderBy(F.xxhash64("id"), "id").toPandas()
-    has = found["label"].notna().to_numpy()
-    label_of = found["label"].to_numpy()[has]
+    known = known.groupBy("id").agg(F.min("label").cast("double").alias("label"))
+    features = cut_lineage(_views(named).join(sizing.small_side(known), "id", "left"))
+    labelled = features.filter("label IS NOT NULL")
+    count = max(1, labelled.select("id").distinct().count())
+    chosen = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(count)) < LABELLED).dropDuplicates(["id"])
+    found = chosen.orderBy(F.xxhash64("id"), "id").toPandas()
+    label_of = found["label"].to_numpy()
     if len(set(label_of)) < 2:
         return None
-    text = np.unpackbits(np.array([np.frombuffer(t, np.uint8) for t in found["text"]]), axis=1)
-    meta = np.array([np.frombuffer(m, np.float32) for m in found["meta"]])
-    text = _unit(text)
-    return co_train((text[has], meta[has]), label_of, (text[~has], meta[~has]))
+    return co_train(_unpacked(found["text"], found["meta"]), label_of, _surest_in(features.filter("label IS NULL")))
 
 
 def score(
