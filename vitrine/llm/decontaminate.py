@@ -25,12 +25,14 @@ Q = 8  # a q-gram is one 64-bit word
 BUDGET = 0.1
 #: Windows stand no further apart than a window's budget, so a copied passage that is
 #: within the budget of a window at any place has one that holds all of it.
-LEAST_BYTES, WHOLE_BYTES, WINDOW_BYTES, STRIDE_BYTES = 32, 160, 120, 10
+WINDOW_BYTES, STRIDE_BYTES = 120, 10
+#: Shorter items are held only as they are and as whole words; those shorter than a q-gram are no passages.
+EXACT_BYTES = 32
 #: Items are compared in blocks of so many bytes at most, one pass over the documents each;
 #: a byte stands in some ``WINDOW_BYTES / STRIDE_BYTES`` windows.
 BLOCK_BYTES = 2 << 20
-_FILTER_BITS = 22
-_SLOTS, _BATCH, _MANY = 1 << 21, 2048, 1 << 20
+_FILTER_BITS, _FAR = 22, 1 << 62
+_SLOTS, _BATCH, _MANY, _POSTINGS = 1 << 21, 2048, 1 << 20, 1 << 21
 
 
 def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,17 +66,16 @@ class Index:
         for owner, text in enumerate(texts):
             raw = np.frombuffer(text.encode(), np.uint8)
             data = plain(raw, np.array([0, len(raw)]))[0].tobytes().rstrip()
-            if len(data) < LEAST_BYTES:
+            if len(data) < Q:
                 continue
-            cuts = [(0, len(data))] if len(data) <= WHOLE_BYTES else []
-            if len(data) > WINDOW_BYTES:
-                starts = [*range(0, len(data) - WINDOW_BYTES, stride), len(data) - WINDOW_BYTES]
-                cuts += [(s, s + WINDOW_BYTES) for s in starts]
+            starts = [*range(0, len(data) - WINDOW_BYTES, stride), max(0, len(data) - WINDOW_BYTES)]
+            cuts = [(s, min(len(data), s + WINDOW_BYTES)) for s in starts]
             owners += [owner] * len(cuts)
             windows += [np.frombuffer(data[a:b], np.uint8) for a, b in cuts]
         self.owners, self.windows = np.array(owners, np.int64), windows
         self.sizes = np.array([len(w) for w in windows], np.int64)
         self.budgets = np.minimum((self.sizes * budget).astype(np.int64), (self.sizes - Q) // Q)
+        self.budgets[self.sizes < EXACT_BYTES] = 0
         self.least = self.sizes + 1 - Q - Q * self.budgets
         self.width = int(self.budgets.max(initial=0)) + 1
         grams = [_grams(w) for w in windows]
@@ -95,18 +96,32 @@ class Index:
         at = np.minimum(np.searchsorted(self.grams, grams[maybe]), len(self.grams) - 1)
         hit = self.grams[at] == grams[maybe]
         place, at = maybe[hit], at[hit]
-        counts = self.count[at]
-        posting = blocks.ragged(self.first[at], counts)
-        window = self.window_of[posting]
-        band = (np.repeat(place, counts) - self.place_of[posting] + WHOLE_BYTES) // self.width
-        span = (len(data) + WHOLE_BYTES) // self.width + 2
-        keys = window * span + band
-        slot = keys & (_SLOTS - 1)  # neighbours stay neighbours
-        filled = np.bincount(slot, minlength=_SLOTS + 1)
+        span = (len(data) + WINDOW_BYTES) // self.width + 2
+        # A repetitive item has many places per q-gram: they are counted a bounded number at a time.
+        parts = np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(self.count[at]) // _POSTINGS)) + 1)
+
+        def keys_of(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            counts = self.count[at[part]]
+            posting = blocks.ragged(self.first[at[part]], counts)
+            window = self.window_of[posting]
+            band = (np.repeat(place[part], counts) - self.place_of[posting] + WINDOW_BYTES) // self.width
+            return window * span + band, self.least[window]
+
+        filled = np.zeros(_SLOTS + 1, np.int64)
+        single = len(parts) == 1
+        first = keys_of(parts[0])
+        for part in parts:
+            keys, _ = first if single else keys_of(part)
+            filled[:_SLOTS] += np.bincount(keys & (_SLOTS - 1), minlength=_SLOTS)  # neighbours stay neighbours
         filled[_SLOTS] = filled[0]
         two = filled[:-1] + filled[1:]
-        most = np.maximum(two[slot], two[slot - 1])
-        keys, shared = np.unique(keys[most >= self.least[window]], return_counts=True)
+        found = []
+        for part in parts:
+            keys, least = first if single else keys_of(part)
+            slot = keys & (_SLOTS - 1)
+            found.append(np.unique(keys[np.maximum(two[slot], two[slot - 1]) >= least], return_counts=True))
+        keys, which = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+        shared = np.bincount(which, np.concatenate([c for _, c in found]), minlength=len(keys)).astype(np.int64)
         both = keys[1:] == keys[:-1] + 1  # two neighbours make a band
         pairs = shared.copy()
         pairs[:-1] += np.where(both, shared[1:], 0)
@@ -115,7 +130,7 @@ class Index:
         low = np.concatenate([keys, keys[lone] - 1])
         total = np.concatenate([pairs, shared[lone]])
         enough = total >= self.least[low // span]
-        return low[enough] // span, (low[enough] % span) * self.width - WHOLE_BYTES
+        return low[enough] // span, (low[enough] % span) * self.width - WINDOW_BYTES
 
     def align(
         self, windows: np.ndarray, lows: np.ndarray, begins: np.ndarray, stops: np.ndarray, data: np.ndarray
@@ -166,13 +181,28 @@ class Index:
         rows = blocks.ragged(first, counts)
         windows, lows = np.repeat(windows, counts), np.repeat(lows, counts)
         begins, stops = offsets[rows], offsets[rows + 1]
+        # Where a row holds an item unchanged, later places of that item cannot be better.
+        exact: dict[tuple[int, int], int] = {}
+        order = np.argsort(lows, kind="stable")
+        rows, windows, lows, begins, stops = (a[order] for a in (rows, windows, lows, begins, stops))
+        owners = self.owners[windows]
         for low in range(0, len(rows), _BATCH):
-            part = slice(low, low + _BATCH)
+            part = np.arange(low, min(len(rows), low + _BATCH))
+            if exact:
+                ahead = (lows[part] - 2 * self.width - begins[part]).tolist()
+                pairs = zip(rows[part].tolist(), owners[part].tolist(), ahead, strict=True)
+                part = part[[exact.get((row, owner), _FAR) >= at for row, owner, at in pairs]]
             edits, ends = self.align(windows[part], lows[part], begins[part], stops[part], data)
             for i in np.flatnonzero(edits <= self.budgets[windows[part]]).tolist():
-                row, window, begin = int(rows[low + i]), int(windows[low + i]), int(begins[low + i])
-                end = min(int(ends[i]), int(stops[low + i])) - begin
-                yield row, int(self.owners[window]), max(0, end - int(self.sizes[window])), end, int(edits[i])
+                row, window, begin, stop = (int(a[part[i]]) for a in (rows, windows, begins, stops))
+                size, item = int(self.sizes[window]), int(self.owners[window])
+                end = min(int(ends[i]), stop) - begin
+                start = max(0, end - size)
+                if size < EXACT_BYTES and not (begin + start == begin or data[begin + start - 1] == 32) & (begin + end == stop or data[begin + end] == 32):
+                    continue
+                if edits[i] == 0:
+                    exact[row, item] = min(exact.get((row, item), _FAR), start)
+                yield row, item, start, end, int(edits[i])
 
 
 def _blocks(items: DataFrame) -> Iterator[tuple[list, list[str]]]:
@@ -198,13 +228,14 @@ def contaminated(
     """Documents that hold a passage of a benchmark item: (id, item, start, end, edits).
 
     Texts and items are compared in lower case, other than letters and digits
-    as single spaces. An item of up to ``WHOLE_BYTES`` is a passage; of one longer
-    than ``WINDOW_BYTES``, so are its windows of that size, ``STRIDE_BYTES`` apart
-    or nearer for a small budget, and the last. A passage is held if some region
-    differs by at most ``budget`` edits per byte, so an exact copy of
-    ``1 - budget`` of a window is found wherever it starts. One row for each document and
+    as single spaces. The windows of an item are its passages: ``WINDOW_BYTES`` long,
+    ``STRIDE_BYTES`` apart or nearer for a small budget, and the last; a shorter item is one
+    itself. A passage is held if some region differs by at most ``budget`` edits per
+    byte, so an exact copy of ``1 - budget`` of a window is found wherever it starts. An item
+    shorter than ``EXACT_BYTES`` is held only unchanged and as whole words, and one shorter than
+    ``Q`` bytes (a word or two) is no passage. One row for each document and
     item: its fewest edits, and of those the first place, as byte positions of
-    the compared form. Items shorter than ``LEAST_BYTES`` are no passages. NULL
+    the compared form. NULL
     texts hold nothing, NULL items are left out, rows without an id take no
     part, repeated rows are reported once; empty tables give no rows.
     """
