@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,9 +100,9 @@ def _fit(languages: list[str], present: np.ndarray, language: np.ndarray) -> Mod
 def train(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
 ) -> Model | None:
-    """A model of every language from about ``SAMPLE_TEXTS`` texts of each, chosen by id hash
+    """A model of every language from ``SAMPLE_TEXTS`` texts of each, chosen by id hash
     (all texts of a language that has no more; fewer of each where languages are many, so that
-    about ``ALL_TEXTS`` are taken); their n-gram sets, of fixed size, reach the driver. Rows
+    ``ALL_TEXTS`` are taken); their n-gram sets, of fixed size, reach the driver. Rows
     without an id, language or letter are left out; without any other row there is no model."""
     named = docs.select(
         docs[f"`{id_col}`"].alias("id"), docs[f"`{lang_col}`"].alias("lang"), docs[f"`{text_col}`"].alias("text")
@@ -111,10 +111,11 @@ def train(
     known = counts.count()
     if not known:
         return None
-    # A hash below this share of a language's rows: one filter, no rows of a language meet.
+    # A share of a language's rows that surely holds enough; only these few meet per language.
     each = max(1, min(SAMPLE_TEXTS, ALL_TEXTS // known))
-    rank = F.pmod(F.xxhash64("id"), F.col("count"))
-    texts = named.join(sizing.small_side(counts), "lang").filter(rank < each)
+    some = named.join(sizing.small_side(counts), "lang").filter(F.pmod(F.xxhash64("id"), F.col("count")) < 2 * each + 20)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    texts = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each)
     classes = bpe.character_classes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
