@@ -51,3 +51,21 @@ def test_field_learns_from_rare_secrets(spark, monkeypatch):
     spans = {r["id"]: r["spans"] for r in secrets.scan(docs).collect()}
     assert [other[s["start"] : s["end"]] for s in spans[5000]] == [hexes[30].upper()]
     assert not any(spans[r[0]] for r in rows[:-31])
+
+
+def test_a_hub_with_many_pairs_is_split_and_loses_none(spark, monkeypatch):
+    """One text and many variants of it, compared a few pairs to a task."""
+    from vitrine.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HUB_PAIRS", 4)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 80):
+        words = list(base)
+        words[rnd.randrange(100)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(rnd.choices(base, k=60))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    found = {r["id"]: r["component"] for r in jaccard.near_duplicates(docs).collect()}
+    assert all(found[i] == 0 for i in range(80)) and all(found[i] == i for i in range(100, 120))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions import sizing
+from vitrine.functions import sizing, skew
 from vitrine.llm import blocks, graph
 from vitrine.session import cut_lineage
 
@@ -29,6 +29,8 @@ BAND = 4  # sizes of a band differ by less than this factor
 BUCKET_BYTES, PACKED_ROWS = 8 << 20, 2048
 MOST_SLOT_BITS, SLOT_PARTS = 22, 16
 SKETCH_BITS, CELL_ROWS = 2048, 1024
+#: Pairs of one set that are compared in one task.
+HUB_PAIRS = 512
 _ROW_SHIFT = np.uint64(52)
 _STEPS = blocks.mixed(np.arange(1, 64, dtype=np.uint64)) | np.uint64(1)
 
@@ -284,7 +286,10 @@ def _verified(pairs: DataFrame, kept: DataFrame, named: DataFrame, words: int, p
 
     sets = cut_lineage(named.join(ids, "id", "left_semi").mapInArrow(blocks.tidy(remake), "id bigint, hashes binary").dropDuplicates(["id"]))
     ones, twos = sets.toDF("a", "one"), sets.toDF("b", "two")
-    compared = open_.join(ones, "a").join(twos, "b").select("a", "b", "one", "two")
+    # A hub has many pairs, and each row carries sets: its pairs are dealt to several tasks.
+    half = skew.join(open_, ones, ["a"], "inner", spread=["b"], hot_rows=HUB_PAIRS)
+    compared = skew.join(half, twos, ["b"], "inner", spread=["a"], counts=open_.groupBy("b").count(), hot_rows=HUB_PAIRS)
+    compared = compared.select("a", "b", "one", "two")
     rest = known.filter(~near).select("a", "b", F.lit(False).alias("linked"))
     return cut_lineage(rest.union(compared.mapInArrow(blocks.tidy(compare), "a bigint, b bigint, linked boolean")))
 
