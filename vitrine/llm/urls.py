@@ -121,10 +121,13 @@ def judge(
     )
     known = listed.select("verdict", "host", "path").dropna().withColumn("key", F.concat("host", "path")).distinct()
     known = sizing.small_side(known.withColumnsRenamed({"host": "rule_host", "path": "rule_path"}))
-    lengths = sorted(r[0] for r in known.select(F.length("rule_path")).distinct().collect())
+    sizes = known.select(F.length("rule_path"), F.size(F.split("rule_host", r"\."))).distinct().collect()
+    lengths, deepest = sorted({r[0] for r in sizes}), max((r[1] for r in sizes), default=1)
     if not lengths:
         return named.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    labels = F.split("host", r"\.")
+    # No rule has more labels than the deepest one, so a long host has no more suffixes than that.
+    labels = F.slice(F.reverse(F.split("host", r"\.")), 1, deepest)
+    labels = F.reverse(labels)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(_longest(F.col("path"), lengths), lambda p: F.concat(s, p))))
     candidates = named.select("host", "path").distinct().withColumn("key", F.explode(F.array_distinct(keys)))
