@@ -423,6 +423,7 @@ def top_k(
     k: int | None = None,
     by_tenant: bool = False,
     max_broadcast: int = MAX_BROADCAST_REQUESTS,
+    dimension: int | None = None,
 ) -> DataFrame:
     """Best products per request: ``query_id, product_id, shop_domain, similarity, rank``.
 
@@ -430,9 +431,13 @@ def top_k(
     ``price, in_stock``. ``queries`` has ``query_id, qvec`` and optionally
     ``shop_domain, k, min_similarity, min_price, max_price, in_stock_only``.
     With ``by_tenant`` a request sees only its own tenant's products. Without a
-    ``k`` a request gets every product that passes.
+    ``k`` a request gets every product that passes. A product whose vector has another
+    length than the requests' ends the search, unless ``dimension`` says how long vectors
+    are: then such products are left out (``misfits`` lists them).
     """
     products = _products(catalog)
+    if dimension is not None:
+        products = products.filter(F.size("embedding") == dimension)
     requests = _requests(queries, k)
     requests = cut_lineage(requests)
     head, largest = small_block(requests, max_broadcast)
@@ -444,6 +449,15 @@ def top_k(
     return final_rank(partial, largest)
 
 
+def misfits(catalog: DataFrame, dimension: int) -> DataFrame:
+    """Products that no search can find, and why: ``product_id, shop_domain, length, reason``."""
+    length = F.size("embedding")
+    zero = ~F.exists("embedding", lambda x: x != 0)
+    reason = F.when(F.col("embedding").isNull(), "missing").when(length != dimension, "wrong_length").when(zero, "zero_vector")
+    found = catalog.select("product_id", "shop_domain", F.when(F.col("embedding").isNotNull(), length).alias("length"), reason.alias("reason"))
+    return found.filter("reason IS NOT NULL")
+
+
 def with_products(results: DataFrame, catalog: DataFrame, columns: list[str]) -> DataFrame:
     """Attach display columns after the ranking, so scoring reads none of them.
 

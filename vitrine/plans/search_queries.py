@@ -579,3 +579,47 @@ def pq_recall(spark, sf_dir):
     reached = pq.recall(found, exact) >= 0.9
     counts = found.agg(F.countDistinct("query_id").alias("requests"), F.count(F.lit(1)).alias("results"))
     return counts.withColumn("recall_reached", F.lit(reached))
+
+
+_TORN = "CASE WHEN id % 10 = 3 THEN list_slice(embedding, 1, 60) WHEN id % 10 = 7 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) ELSE embedding END"
+
+
+def _torn(spark, sf_dir):
+    """The catalogue with every tenth vector cut short and every tenth one zero."""
+    torn = F.when(F.col("id") % 10 == 3, F.slice("embedding", 1, 60)).when(
+        F.col("id") % 10 == 7, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))
+    )
+    return B.catalog(spark, sf_dir).withColumn("embedding", F.coalesce(torn, F.col("embedding")))
+
+
+@query(
+    f"""WITH {sql.CAT}, {sql.LABELS}, scored AS (
+  SELECT 'label_' || CAST(l.label AS VARCHAR) AS query_id, c.product_id, c.shop_domain,
+         round(list_cosine_similarity(c.embedding, l.qvec), 6) AS similarity
+  FROM cat c, lab l WHERE c.embedding IS NOT NULL AND c.id % 10 NOT IN (3, 7)
+)
+SELECT *, {RANKED} AS rank FROM scored QUALIFY {RANKED} <= 15"""
+)
+def vec_topk_torn(spark, sf_dir):
+    """A search that goes on past vectors of the wrong length and zero vectors."""
+    return search.top_k(_torn(spark, sf_dir), B.label_requests(spark, sf_dir), k=15, dimension=64).select(*COLUMNS)
+
+
+@query(
+    f"""WITH {sql.CAT} SELECT product_id, shop_domain, len({_TORN}) AS length,
+       CASE WHEN embedding IS NULL THEN 'missing' WHEN id % 10 = 3 THEN 'wrong_length' ELSE 'zero_vector' END AS reason
+FROM cat WHERE embedding IS NULL OR id % 10 IN (3, 7)"""
+)
+def vec_misfits(spark, sf_dir):
+    """The products that no search can find."""
+    return search.misfits(_torn(spark, sf_dir), 64)
+
+
+@query(_FIFTIETH + " SELECT COUNT(DISTINCT query_id) AS requests, COUNT(*) AS results, TRUE AS recall_reached FROM top")
+def ivf_recall(spark, sf_dir):
+    """Every fiftieth product searched in 14 of 16 buckets: at least 90 % of the exact neighbours are found."""
+    catalog, asked = B.catalog(spark, sf_dir), _every_fiftieth(spark, sf_dir)
+    found = cut_lineage(ann.probe(ann.build_index(catalog, lists=16), asked, k=10, probes=14))
+    reached = pq.recall(found, search.top_k(catalog, asked, k=10)) >= 0.9
+    counts = found.agg(F.countDistinct("query_id").alias("requests"), F.count(F.lit(1)).alias("results"))
+    return counts.withColumn("recall_reached", F.lit(reached))
