@@ -125,3 +125,38 @@ def test_the_surest_are_picked_from_all_documents(spark, monkeypatch):
         assert {(key, label) for key, label, *_ in picked[view]} == expected and len(picked[view]) == len(expected)
         for key, _, text, meta in picked[view]:
             assert np.array_equal(text, pools[0][key]) and np.array_equal(meta, pools[1][key])
+
+
+def test_the_field_finds_a_kind_of_secret_that_no_pattern_covers(spark):
+    """Tokens after words that the patterns don't know: recall and false alarms."""
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvw", k=rnd.randint(2, 9))) for _ in range(400)]
+
+    def token(size):
+        while True:
+            made = "".join(rnd.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=size))
+            if all(re.search(kind, made) for kind in ("[0-9]", "[a-z]", "[A-Z]")):
+                return made
+
+    rows, planted = [], {}
+    for i in range(2000):
+        sides = [rnd.choices(words, k=30) for _ in range(2)]
+        if i % 2:
+            sides[0][3], sides[0][7], sides[0][9] = str(rnd.randrange(10**5)), rnd.choice(words).capitalize() + ".", "(see 12)"
+        made = {
+            0: rnd.choice(["password = ", "token: ", 'secret="', "api_key="]) + token(rnd.randint(20, 40)),
+            1: "sum " + "".join(rnd.choices("0123456789abcdef", k=40)),
+            2: "AKIA" + "".join(rnd.choices("ABCDEFGHIJKLMNOP0123456789", k=16)),
+        }.get(i % 10, rnd.choice(words) + " = " + rnd.choice(words))
+        if i % 10 == 3:
+            key = token(rnd.randint(24, 40))
+            made = rnd.choice(["credential = ", "auth: ", 'bearer "', "private key = "]) + key
+        text = " ".join([*sides[0], made, *sides[1]])
+        if i % 10 == 3:
+            planted[i] = (text.find(key), text.find(key) + len(key))
+        rows.append((i, text))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    spans = {r["id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(docs).collect()}
+    found = sum(any(kind == "crf" and a <= at and b >= end for kind, a, b in spans[i]) for i, (at, end) in planted.items())
+    alarms = sum(bool(spans[i]) for i in range(2000) if i % 10 > 3)
+    assert found >= 0.9 * len(planted) and alarms <= 0.01 * 1200
