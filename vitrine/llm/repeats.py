@@ -30,7 +30,8 @@ PIECE_BYTES = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
 #: A name with more contexts than this in one batch, or in all, goes the way of single strings.
 HOT_CONTEXTS, HOT_IN_ALL = 64, 512
-#: A task's bucket: tuples of 30 bytes, or half as many strings of 20 bytes; sorting holds it some five times.
+#: A bucket of tuples of 30 bytes, or of half as many strings of 20 bytes; sorting holds it some
+#: five times over. Each bucket is a task that writes a file.
 BUCKET_TUPLES = 1 << 19
 _FACTORS = blocks.mixed(np.arange(101, 104, dtype=np.uint64)) | np.uint64(1)
 
