@@ -75,7 +75,7 @@ def _powers(count: int) -> list[list[np.ndarray]]:
         for base, prime in zip(_BASES, _PRIMES, strict=True):
             both = []
             for factor in (base, pow(base, -1, int(prime))):
-                out = np.ones(size, np.uint64)
+                out = np.ones(size, np.uint32)
                 done = 1
                 while done < size:
                     step = np.uint64(pow(factor, done, int(prime)))
@@ -91,8 +91,8 @@ def running_bytes(data: np.ndarray) -> list[np.ndarray]:
     """Prefix sums from which ``span_hashes`` takes the hash of any span."""
     sums = []
     for words, prime, (forward, _) in zip(_BYTE_WORDS, _PRIMES, _powers(len(data) + 1), strict=True):
-        out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(words[data] * forward[: len(data)] % prime, out=out[1:])
+        out = np.zeros(len(data) + 1, np.uint32)
+        out[1:] = np.cumsum(words[data] * forward[: len(data)] % prime) % prime
         sums.append(out)
     return sums
 
@@ -100,7 +100,7 @@ def running_bytes(data: np.ndarray) -> list[np.ndarray]:
 def span_hashes(sums: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of spans: equal content gives equal hashes wherever it stands."""
     parts = [
-        (own[ends] - own[starts]) % prime * backward[starts] % prime
+        (own[ends] + prime - own[starts]) % prime * backward[starts] % prime
         for own, prime, (_, backward) in zip(sums, _PRIMES, _powers(len(sums[0])), strict=True)
     ]
     return mixed(parts[0] << np.uint64(32) | parts[1])

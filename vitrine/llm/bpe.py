@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from vitrine.llm import blocks
 
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 17
 ROW_CHARS = 256
 # Pieces of up to so many bytes are merged side by side; longer ones each on a heap.
 LANES = (8, 16, 40)

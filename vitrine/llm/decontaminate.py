@@ -32,7 +32,9 @@ EXACT_BYTES = 32
 #: a byte stands in some ``WINDOW_BYTES / STRIDE_BYTES`` windows.
 BLOCK_BYTES = 2 << 20
 _FILTER_BITS, _FAR = 22, 1 << 62
-_SLOTS, _BATCH, _MANY, _POSTINGS = 1 << 21, 2048, 1 << 20, 1 << 21
+_SLOTS, _BATCH, _MANY, _POSTINGS = 1 << 18, 2048, 1 << 20, 1 << 20
+#: Texts are searched in smaller slabs than elsewhere, as each place may have several postings.
+_SLAB_BYTES = 1 << 19
 
 
 def plain(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +252,7 @@ def contaminated(
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(texts, budget)
             for batch in batches:
-                for slab in blocks.slabs(batch, "text"):
+                for slab in blocks.slabs(batch, "text", _SLAB_BYTES):
                     data, _, offsets = plain(slab.data, slab.offsets)
                     best: dict[tuple[int, int], tuple[int, int, int]] = {}
                     for row, item, start, end, edits in index.find(data, offsets):
