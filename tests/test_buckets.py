@@ -89,3 +89,21 @@ def test_unfinished_commits_are_not_seen_and_versions_are_written_once(spark, st
     assert as_set(buckets.current(spark, path)) == as_set(stored)
     with pytest.raises(Exception, match="(?i)already exists"):
         buckets._commit(spark, path, [(0, "x", "a", "b", 1)], 0)
+
+
+def test_grown_buckets_are_split_and_still_found(spark, stored):
+    path = fresh_dir(spark, "buckets-split")
+    buckets.create(stored, path, rows_per_bucket=500)
+    new = spark.range(1700).selectExpr("'hot' AS shop_domain", "concat('0002', lpad(cast(id as string), 5, '0')) AS product_id", "'n' AS title", "cast(1 as decimal(10,2)) AS price")
+    table = merge.cut_lineage(merge.upsert_product_info(stored, incoming(new), NOW))
+    buckets.upsert_product_info(spark, path, incoming(new), NOW)
+    before = max(e["rows"] for e in buckets._files(spark, path))
+    done = buckets.split(spark, path, most=700)
+    entries = buckets._files(spark, path)
+    assert before > 1700 and max(e["rows"] for e in entries) <= 700 and done.buckets == len(entries) == len({e["bucket"] for e in entries})
+    assert as_set(buckets.current(spark, path)) == as_set(table)
+    again = incoming(new.filter("product_id < '000200900'").withColumn("title", F.lit("later")))
+    whole = merge.upsert_product_info(table, again, NOW)
+    assert 0 < buckets.upsert_product_info(spark, path, again, NOW).touched < len(entries)
+    assert as_set(buckets.current(spark, path)) == as_set(whole)
+    assert buckets.split(spark, path, most=700).touched == 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import sizing
 from vitrine.operators import merge, search
 from vitrine.plans import bindings as B
-from vitrine.session import fresh_dir
+from vitrine.session import cut_lineage, fresh_dir, scratch
 from vitrine.sources import catalog as C
 
 
@@ -68,3 +68,13 @@ def test_size_check(spark):
 def test_lineage_is_cut_in_the_shared_folder_only():
     for path in glob.glob("/root/repo/vitrine/**/*.py", recursive=True):
         assert "local" + "Checkpoint" not in open(path).read()
+
+
+def test_scratch_tables_are_deleted_and_earlier_ones_stay(spark):
+    kept = cut_lineage(spark.range(5).toDF("n"))
+    with scratch(spark):
+        made = cut_lineage(kept.filter("n > 1"))
+        assert made.count() == 3
+        folder = made.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert glob.glob(f"{folder}/*")
+    assert not glob.glob(f"{folder}/*") and kept.count() == 5

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.operators import merge
+from vitrine.operators.search import ranked_within
 from vitrine.session import cut_lineage
 
 KEYS = merge.PRODUCT_KEYS
@@ -117,6 +118,35 @@ def apply(spark: SparkSession, path: str, incoming: DataFrame, change: Apply) ->
     return Merged(version, len(touched), len(entries))
 
 
+def split(spark: SparkSession, path: str, most: int = 2 * ROWS_PER_BUCKET) -> Merged:
+    """Cut buckets that have grown beyond ``most`` rows into ranges of about equal size, each within
+    the range of its bucket; the others are not read."""
+    entries, version = _files(spark, path), _version(spark, path)
+    large = [e for e in entries if e["rows"] > most]
+    if not large:
+        return Merged(version, 0, len(entries))
+    # A row's place in its bucket says which part it goes to; the first part keeps the bucket's number.
+    following, parts, first = max(e["bucket"] for e in entries) + 1, {}, {}
+    for e in large:
+        parts[e["bucket"]], first[e["bucket"]] = -(-e["rows"] // most), following - 1
+        following += parts[e["bucket"]] - 1
+    table = [(e["bucket"], parts[e["bucket"]], e["rows"], first[e["bucket"]]) for e in large]
+    facts = F.broadcast(spark.createDataFrame(table, "_bucket int, _parts int, _rows bigint, _first int"))
+    schema = _read(spark, path, large).schema
+    old = _read(spark, path, large).withColumn("_bucket", _bucket(entries))
+    placed = ranked_within(old, ["_bucket"], [F.col(c) for c in KEYS], "_place").join(facts, "_bucket")
+    part = F.floor((F.col("_place") - 1) * F.col("_parts") / F.col("_rows")).cast("int")
+    number = F.when(part == 0, F.col("_bucket")).otherwise(F.col("_first") + part)
+    commit = uuid.uuid4().hex
+    cut = placed.withColumn("bucket", number).drop("_bucket", "_place", "_parts", "_rows", "_first")
+    cut.hint("rebalance", "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/data/commit={commit}")
+    lows = {e["bucket"]: (e["low_shop"], e["low_product"]) for e in large}
+    made = [(b, c, *lows.get(b, (shop, product)), n) for b, c, shop, product, n in _written(spark, path, commit, schema)]
+    kept = [tuple(e[c] for c in ("bucket", "commit", "low_shop", "low_product", "rows")) for e in entries if e["rows"] <= most]
+    _commit(spark, path, kept + made, version + 1)
+    return Merged(version + 1, len(large), len(kept) + len(made))
+
+
 def _version(spark: SparkSession, path: str) -> int:
     return spark.read.schema(f"{_MANIFEST}, version int").parquet(f"{path}/manifest").agg(F.max("version")).first()[0]
 

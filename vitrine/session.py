@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_CUTS: dict[str, list[str]] = {}
 
 
 def build_session(app_name: str = "vitrine", cpus: int | str | None = None) -> SparkSession:
@@ -58,8 +61,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a table in the shared folder.
 
     It survives the loss of executors, and later reads of it still prune
-    columns and push filters down. The folder is the cluster's to clean.
+    columns and push filters down. ``release`` or ``scratch`` delete it.
     """
     path = fresh_dir(df.sparkSession, "stage")
+    _CUTS.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, kept: int = 0) -> int:
+    """Delete the tables of ``cut_lineage`` but the first ``kept``; returns how many. Results that
+    have not been written or collected yet may still read them."""
+    made = _CUTS.get(spark.sparkContext.applicationId, [])
+    gone, made[kept:] = made[kept:], []
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables of ``cut_lineage`` made inside are deleted at the end: write or collect results before."""
+    before = len(_CUTS.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, before)
