@@ -35,7 +35,8 @@ NO_LIMIT = (1 << 31) - 1
 UNLIMITED_RESULTS = 1000
 RANK_PARTS = 64
 BLOCK_PRODUCTS = 16384
-BLOCK_REQUESTS = 8192
+# A product's vector is sent once per block of requests, so blocks are as large as a task can hold.
+BLOCK_REQUEST_BYTES = 64 << 20
 # Scores computed at once in a task (32 MB of doubles).
 SCORES_AT_ONCE = 4 << 20
 # Rows that a task gathers before it cuts them to the best ones; the largest k ranked by a window.
@@ -369,13 +370,18 @@ def blocked_partials(
     requests: DataFrame,
     by_tenant: bool,
     block_products: int = BLOCK_PRODUCTS,
-    block_requests: int = BLOCK_REQUESTS,
+    block_requests: int | None = None,
 ) -> DataFrame:
     """Partial results cell by cell, for any number of products and requests.
 
     Rows of a cell are dealt to blocks by hash, the number of blocks following
-    from the cell's size; a hot tenant or bucket thus becomes many groups.
+    from the cell's size; a hot tenant or bucket thus becomes many groups. Blocks of
+    requests hold about ``BLOCK_REQUEST_BYTES`` of vectors unless their size is given.
     """
+    if block_requests is None:
+        width = requests.agg(F.coalesce(F.max(F.size("qvec")), F.lit(1)).alias("width")).first()["width"]
+        block_requests = max(1, BLOCK_REQUEST_BYTES // (8 * max(1, width)))
+
     def blocks(block: int) -> Column:
         return F.ceil(F.col("count") / F.lit(block)).cast("bigint")
 
