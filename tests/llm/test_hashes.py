@@ -58,3 +58,14 @@ def test_disjoint_texts_are_not_linked(spark):
     _, docs = pair(spark)
     found = {r["id"]: r["component"] for r in jaccard.near_duplicates(docs).collect()}
     assert found == {0: 0, 1: 1}
+
+
+def test_decoding_in_the_same_pass_is_decoding(spark):
+    rows = [(1, "naïve 東京 don't\n  x"), (2, None), (3, ""), (None, "𝄞" * 50), (4, "a" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    path = public_tokenizers.path(registered.VOCABULARY)
+    both = bpe.encode(docs, path, decoded=True)
+    again = bpe.decode(both.select("id", "ids"), path)
+    plain = {i: (t or "").encode() for i, t in rows}
+    assert {r["id"]: bytes(r["decoded"]) for r in both.collect()} == plain
+    assert {r["id"]: bytes(r["decoded"]) for r in again.collect()} == plain

@@ -252,9 +252,11 @@ class Encoder:
     def __init__(self, packed: bytes, classes: bytes) -> None:
         self.ranks, self.splitter = _ranks(packed), Splitter(classes)
         self.merger = Merger(self.ranks)
-        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
-            self.sizes[rank] = len(token)
+            tokens[rank] = token
+        self.sizes = np.array([len(token) for token in tokens], np.int64)
+        self.bytes, self.begins = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(self.sizes) - self.sizes
         self.cache: dict[bytes, bytes] = {}
 
     def _merge(self, data: np.ndarray, keys: list[bytes], starts: np.ndarray, sizes: np.ndarray) -> None:
@@ -294,8 +296,14 @@ class Encoder:
         return ids, at, np.searchsorted(at, slab.offsets)
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every whole text: (id, ids, offsets).
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for."""
+        return self.bytes[blocks.ragged(self.begins[ids], self.sizes[ids])]
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Token ids of every whole text: (id, ids, offsets), and with ``decoded`` the bytes that
+    these ids stand for, as ``decode`` gives them, in the same pass.
 
     ``ids`` are little-endian 32-bit token ids as one binary, ``offsets`` the
     byte at which each token starts in the UTF-8 text, in the same form.
@@ -311,6 +319,8 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             T.StructField("offsets", T.BinaryType()),
         ]
     )
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
@@ -320,14 +330,14 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 ids, at, first = encoder.encode(slab)
                 bounds, begins = first.tolist(), slab.offsets.tolist()
                 spans = list(zip(bounds, bounds[1:], begins, strict=False))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        blocks.column(batch, "id", slab),
-                        blocks.binaries([ids[a:b].tobytes() for a, b, _ in spans]),
-                        blocks.binaries([(at[a:b] - base).astype("<u4").tobytes() for a, b, base in spans]),
-                    ],
-                    ["id", "ids", "offsets"],
-                )
+                columns = [
+                    blocks.column(batch, "id", slab),
+                    blocks.binaries([ids[a:b].tobytes() for a, b, _ in spans]),
+                    blocks.binaries([(at[a:b] - base).astype("<u4").tobytes() for a, b, base in spans]),
+                ]
+                if decoded:
+                    columns.append(blocks.binaries([encoder.decode(ids[a:b]).tobytes() for a, b, _ in spans]))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     named = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text"))
     return named.mapInArrow(blocks.tidy(run), schema)

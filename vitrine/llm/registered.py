@@ -76,15 +76,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Per document its number of tokens and hashes of its ids and of what they decode to."""
-    path = vocabulary or public_tokenizers.path(VOCABULARY)
-    encoded = bpe.encode(docs, path).select(
+    encoded = bpe.encode(docs, vocabulary or public_tokenizers.path(VOCABULARY), decoded=True)
+    return encoded.select(
         F.col("id").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    decoded = bpe.decode(encoded, path, ["doc_id", "n_tokens", "ids_sha256"])
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query()
