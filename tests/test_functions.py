@@ -211,3 +211,21 @@ def test_lcs_of_many_pairs_equals_the_table(spark):
     frame = spark.createDataFrame(pairs, "a string, b string").repartition(3)
     for a, b, found in frame.select("a", "b", fuzzy.lcs_length("a", "b").alias("n")).collect():
         assert found == table(a, b), (a, b)
+
+
+@pytest.mark.parametrize("threshold", [1, 40, 75, 100])
+def test_scored_terms_equal_the_joined_ones(spark, threshold):
+    """Few terms against all words, side by side, and through the join; long words included."""
+    import random
+
+    from vitrine.operators import typos
+
+    random.seed(threshold)
+    letters = "abcdé東"
+    words = {"".join(random.choices(letters, k=random.choice([3, 4, 6, 9, 17, 40, 64, 65, 80]))) for _ in range(300)}
+    terms = {"".join(random.choices(letters, k=random.choice([1, 3, 5, 8, 20, 70]))) for _ in range(25)} | set(list(words)[:5])
+    tokens = spark.createDataFrame([(w,) for w in words], "token string").repartition(3)
+    vocabulary = spark.createDataFrame([(t,) for t in terms], "term string")
+    direct = {tuple(r) for r in typos.best_matches(tokens, vocabulary, threshold).collect()}
+    assert direct == {tuple(r) for r in typos.joined_matches(tokens, vocabulary, threshold).collect()}
+    assert typos.best_matches(tokens, vocabulary.limit(0), threshold).count() == 0

@@ -150,3 +150,49 @@ def lcs_length(left: pa.Array, right: pa.Array) -> pa.Array:
         for i in np.flatnonzero(longest > low).tolist():
             out[begin + i] = _lcs_long(a[i].as_py(), b[i].as_py())
     return pa.array(out, pa.int32())
+
+
+def _best_of(words: pa.Array, terms: list[str], threshold: int) -> np.ndarray:
+    """Of each word the number of the best of the sorted ``terms``, or -1. A character's places in
+    all words are found once; then every term takes one step of all words per character."""
+    codes, starts = _codes(words)
+    sizes = np.diff(starts)
+    best, ratio = np.full(len(sizes), -1, np.int32), np.full(len(sizes), -1.0)
+    places: dict[str, np.ndarray] = {}
+    short = np.flatnonzero(sizes <= 64)
+    square = _square(codes, starts, short, max(1, int(sizes[short].max(initial=1))), 0x110000)
+    for char in sorted(set("".join(terms))):
+        equal = np.zeros((len(short), 64), bool)
+        equal[:, : square.shape[1]] = square == ord(char)
+        places[char] = np.packbits(equal, axis=1, bitorder="little").view(np.uint64)[:, 0]
+    for number, term in enumerate(terms):
+        total = sizes + len(term)
+        able = 200 * np.minimum(sizes, len(term)) >= threshold * total
+        which = np.flatnonzero(able[short])
+        rest = np.full(len(which), np.iinfo(np.uint64).max, np.uint64)
+        for char in term:
+            hit = rest & places[char][which]
+            rest = (rest + hit) | (rest - hit)
+        hits = np.zeros(len(sizes), np.int64)
+        hits[short[which]] = 200 * (64 - np.bitwise_count(rest).astype(np.int64))
+        for i in np.flatnonzero(able & (sizes > 64)).tolist():
+            hits[i] = 200 * _lcs_long(words[i].as_py(), term)
+        own = np.where(able, hits / np.maximum(total, 1), -1.0)
+        better = able & (hits >= threshold * total) & (own > ratio)
+        best[better], ratio[better] = number, own[better]
+    return best
+
+
+def best_of(terms: list[str], threshold: int):
+    """A function of a word column: the best term scoring at least ``threshold``, else NULL; equal
+    scores go to the smaller term. For vocabularies of a few hundred terms."""
+    ordered = sorted(set(terms))
+
+    @F.arrow_udf(T.StringType())
+    def find(words: pa.Array) -> pa.Array:
+        names = pa.array(ordered, pa.string())
+        parts = [_best_of(words.slice(at, _AT_ONCE), ordered, threshold) for at in range(0, len(words), _AT_ONCE)]
+        found = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        return names.take(pa.array(found, mask=found < 0))
+
+    return find

@@ -13,6 +13,7 @@ from vitrine.functions.text import words
 
 MIN_WORD = 3
 MAX_BROADCAST_TERMS = 100_000
+DIRECT_TERMS = 500
 # Below this threshold two matching words need not share a character pair.
 LOWEST_BLOCKED_THRESHOLD = 67
 
@@ -24,8 +25,12 @@ def _small_vocabulary(vocabulary: DataFrame, most: int) -> list[str] | None:
 
 
 def best_matches(tokens: DataFrame, vocabulary: DataFrame, threshold: int = 75) -> DataFrame:
-    """Best vocabulary term per distinct token: ``token, best``, matches only."""
-    return joined_matches(tokens, vocabulary, threshold)
+    """Best vocabulary term per distinct token: ``token, best``, matches only. Few terms are scored
+    against all tokens; more are joined to them first."""
+    terms = _small_vocabulary(vocabulary, DIRECT_TERMS)
+    if terms is None:
+        return joined_matches(tokens, vocabulary, threshold)
+    return tokens.select("token", fuzzy.best_of(terms, int(threshold))("token").alias("best")).filter("best IS NOT NULL")
 
 
 def literal_matches(tokens: DataFrame, terms: list[str], threshold: int = 75) -> DataFrame:
