@@ -160,17 +160,23 @@ class _BestRows:
             if self.gathered >= GATHERED_ROWS:
                 yield from self._settle()
 
-    def _keep(self, column, scores, price, stock, rows, asked) -> None:
-        want = self.requests
+    def _allowed(self, price, stock, rows, asked) -> np.ndarray:
+        """Which rows (down) are in the price range and stock that requests (across) ask for."""
+        want, cost = self.requests, price[rows][:, None]
         with np.errstate(invalid="ignore"):
-            cost = price[rows][:, None]
             allowed = (np.isnan(want.high[asked]) | (cost <= want.high[asked])) & (
                 np.isnan(want.low[asked]) | (cost >= want.low[asked])
             )
-            allowed &= stock[rows][:, None] | ~want.stock[asked]
-            allowed &= ~np.isnan(scores) & (np.isnan(want.floor[asked]) | (scores >= want.floor[asked]))
+        allowed &= stock[rows][:, None] | ~want.stock[asked]
+        return allowed
+
+    def _keep(self, column, scores, price, stock, rows, asked) -> None:
+        with np.errstate(invalid="ignore"):
+            floor = self.requests.floor[asked]
+            allowed = self._allowed(price, stock, rows, asked)
+            allowed &= ~np.isnan(scores) & (np.isnan(floor) | (scores >= floor))
         scores[~allowed] = -np.inf
-        most = int(want.k[asked].max())
+        most = int(self.requests.k[asked].max())
         if most < 1:
             return
         bar = self.cut[asked]
