@@ -35,3 +35,46 @@ def test_quantised_search_hands_on_k_rows_per_task(spark, monkeypatch):
     for dense in (1, 1 << 20):
         monkeypatch.setattr(pq, "DENSE", dense)
         assert sorted(map(tuple, pq.top_k(index, asked, k=3).collect())) == wanted
+
+
+def _products(spark, rows):
+    """Products of (shop, id, title, price)."""
+    frame = spark.createDataFrame(rows, "shop_domain string, product_id string, title string, price int")
+    kinds = {f.name: f.dataType for f in schemas.PRODUCT_EMBEDDINGS.fields}
+    known = frame.withColumn("description", F.concat(F.lit("about "), "title"))
+    return known.select(*[(F.col(c) if c in known.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in kinds])
+
+
+def _all(frame):
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_large_merge_gives_the_same_and_writes_down_no_texts(spark, monkeypatch, few):
+    stored = _products(spark, [("s", str(i), f"t{i}", i) for i in range(30)] + [("s", "4", "twice", 1), (None, "5", "no shop", 1)])
+    incoming = _products(spark, [("s", str(i), f"new{i}", 2 * i) for i in range(20, 40)] + [(None, "5", "also", 3), ("r", "1", "a", 1), ("r", "1", "b", 1)])
+    wanted = _all(merge.upsert_product_info(stored, incoming, NOW))
+    written, settle = [], sizing.settle
+
+    def recorded(rows, *most):
+        written.append(set(rows.columns))
+        kept, small = settle(rows, *most)
+        return kept, small and few
+
+    monkeypatch.setattr(sizing, "settle", recorded)
+    monkeypatch.setattr(merge, "MAX_KEY_BYTES", -1, raising=False)
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_BYTES", -1)
+    assert _all(merge.upsert_product_info(stored, incoming, NOW)) == wanted
+    assert not [c for c in written if "description" in c]
+
+
+def test_last_rows_without_gathering_all(spark):
+    rows = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n"), (None, 2, "m"), ("c", None, "w"), ("d", 5, None)],
+        "key string, ordinal int, text string",
+    )
+    last = merge.keep_last(rows, ["key"])
+    # A row that has no place is no last row, as before.
+    assert _all(last) == sorted([("a", 2, "y"), ("b", 1, "z"), (None, 2, "m"), ("c", None, None), ("d", 5, None)], key=str)
+    plan = merge.keep_last(rows.filter("key IN ('b', 'd')"), ["key"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan

@@ -3,12 +3,15 @@
 A merge is an update of the stored side by a left join plus an append of the
 incoming keys that were not found. The incoming batch is computed once and
 measured; a small one is broadcast to both joins, so that the stored table,
-vectors included, is not shuffled.
+vectors included, is not shuffled. Of a large one only the keys are counted and
+compared beforehand: wide columns cross the network once, those of stored rows
+that are overwritten not at all.
 """
 
 from __future__ import annotations
 
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,17 +22,37 @@ from vitrine.session import cut_lineage
 from vitrine.sources import seeds
 
 PRODUCT_KEYS = ["shop_domain", "product_id"]
+# A batch whose keys alone take more than this is not written down to be measured, but merged as a large one.
+MAX_KEY_BYTES = sizing.MAX_BROADCAST_BYTES // 8
 
 
 def _moment(as_of: datetime) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
+def _named(rows: DataFrame, wanted: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``rows`` with (``left_semi``) or without (``left_anti``) the few keys of ``wanted``; NULL equals NULL."""
+    few = F.broadcast(wanted.select(*[F.col(k).alias(f"_wanted_{k}") for k in keys]))
+    return rows.join(few, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_wanted_{k}")) for k in keys]), how)
+
+
 def keep_last(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> DataFrame:
-    """The last row per key. Repeats are combined before the shuffle."""
+    """The last row per key. Keys are counted first, without the other columns: unless very many
+    are repeated, only their rows are gathered, and all others stay where they are."""
     others = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(ordinal)).alias("_row"))
-    return last.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+    def last(some: DataFrame) -> DataFrame:
+        newest = some.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(ordinal)).alias("_row"))
+        return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.count(ordinal).alias("_placed"))
+    gathered, small = sizing.settle(counts.filter("_rows > 1 OR _placed = 0").select(*keys))
+    if not small:
+        return last(rows)
+    if gathered.isEmpty():
+        return rows.select(*keys, *others)
+    alone = _named(rows, gathered, keys, "left_anti").select(*keys, *others)
+    return alone.unionByName(last(_named(rows, gathered, keys, "left_semi")))
 
 
 def one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,10 +87,14 @@ def upsert(
     and stored ones ``old.<column>``; in ``on_insert`` plain names are incoming.
     Columns left out keep the stored value, or are NULL in a new row. Of rows that
     repeat a key the last one counts (see ``one_per_key``)."""
-    incoming, small = sizing.settle(incoming)
+    small = sizing.is_small(incoming.select(*keys), MAX_KEY_BYTES)
+    if small:
+        incoming, small = sizing.settle(incoming)
     incoming = one_per_key(incoming, keys)
+    if not small:
+        return _merged(stored, incoming, keys, on_update, on_insert)
     hits = incoming.withColumn("_hit", F.lit(True))
-    old, new = stored.alias("old"), (F.broadcast(hits) if small else hits).alias("new")
+    old, new = stored.alias("old"), F.broadcast(hits).alias("new")
     matches = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
     joined = old.join(new, matches, "left")
     updated = joined.select(
@@ -78,11 +105,53 @@ def upsert(
             for c in stored.columns
         ]
     )
+    return updated.unionByName(_unmatched(incoming, stored, keys, small).select(*_inserted(stored, keys, on_insert)))
+
+
+def _inserted(stored: DataFrame, keys: list[str], on_insert: dict[str, Column]) -> list[Column]:
     kinds = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
-    inserted = _unmatched(incoming, stored, keys, small).select(
-        *[on_insert.get(c, F.col(c) if c in keys else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns]
+    return [on_insert.get(c, F.col(c) if c in keys else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns]
+
+
+def _merged(
+    stored: DataFrame, incoming: DataFrame, keys: list[str], on_update: dict[str, Column], on_insert: dict[str, Column]
+) -> DataFrame:
+    """``upsert`` of a large batch with one row per key.
+
+    If few keys are on one side only, their rows are picked by a broadcast, and the rows of common
+    keys are joined, of the stored ones just what an update keeps. Else all rows meet in one
+    full join."""
+    have, come = stored.select(*keys), incoming.select(*keys)
+    kept, few_kept = sizing.settle(have.join(come, keys, "left_anti").distinct())
+    added, few_added = sizing.settle(come.join(have, keys, "left_anti"))
+    old, new = stored.alias("old"), incoming.alias("new")
+    matches = [F.col(f"old.{k}") == F.col(f"new.{k}") for k in keys]
+    inserted = _inserted(stored, keys, on_insert)
+    if few_kept and few_added:
+        changed = [on_update.get(c, F.col(f"old.{c}")).alias(c) for c in stored.columns]
+        next_rows = old.join(new, matches).select(*changed)
+        if not kept.isEmpty():
+            next_rows = next_rows.unionByName(_named(stored, kept, keys, "left_semi"))
+        if not added.isEmpty():
+            next_rows = next_rows.unionByName(_named(incoming, added, keys, "left_semi").select(*inserted))
+        return next_rows
+    old = stored.withColumn("_old", F.lit(True)).alias("old")
+    new = incoming.withColumn("_hit", F.lit(True)).alias("new")
+    # As structs both sides keep the names that ``on_update`` has, and plain names are the incoming columns.
+    both = old.join(new, matches, "full").select(
+        F.struct(*[F.col(f"old.{c}") for c in [*stored.columns, "_old"]]).alias("old"),
+        F.struct(*[F.col(f"new.{c}") for c in [*incoming.columns, "_hit"]]).alias("new"),
+        *[F.col(f"new.{c}").alias(c) for c in incoming.columns],
+    )
+    return both.select(
+        *[
+            F.when(F.col("old._old") & F.col("new._hit"), on_update.get(c, F.col(f"old.{c}")))
+            .when(F.col("old._old"), F.col(f"old.{c}"))
+            .otherwise(fresh)
+            .alias(c)
+            for c, fresh in zip(stored.columns, inserted, strict=True)
+        ]
     )
-    return updated.unionByName(inserted)
 
 
 _INFO = ["title", "description", "price", "vendor", "category"]
@@ -106,10 +175,26 @@ def upsert_products(stored: DataFrame, incoming: DataFrame, as_of: datetime) ->
 
 def upsert_product_info(stored: DataFrame, incoming: DataFrame, as_of: datetime) -> DataFrame:
     """Upsert that never touches embeddings; metadata is replaced, not merged."""
+    return upsert(stored, incoming, PRODUCT_KEYS, *_info_values(as_of))
+
+
+def _info_values(as_of: datetime) -> tuple[dict[str, Column], dict[str, Column]]:
     now = _moment(as_of)
-    update = {**_product_values("new."), "updated_at": now}
-    insert = {**_product_values(""), "created_at": now, "updated_at": now}
-    return upsert(stored, incoming, PRODUCT_KEYS, update, insert)
+    return {**_product_values("new."), "updated_at": now}, {**_product_values(""), "created_at": now, "updated_at": now}
+
+
+def upsert_info_and_vectors(stored: DataFrame, incoming: DataFrame, vectors: DataFrame, as_of: datetime) -> DataFrame:
+    """``upsert_product_info``, and for the products in ``vectors`` (keys, ``embedding``, ``text_key``;
+    one row per key, all of them incoming) the vector and its text key, the resync flag off."""
+    made = vectors.select(*PRODUCT_KEYS, F.col("embedding").alias("_vector"), F.col("text_key").alias("_made"))
+    update, insert = _info_values(as_of)
+    for values, new, old in ((update, "new.", "old."), (insert, "", None)):
+        has = F.col(f"{new}_vector").isNotNull()
+        values["metadata"] = F.when(has, J.set_flag(values["metadata"], "needs_resync", F.lit(False))).otherwise(values["metadata"])
+        for column, source in (("embedding", "_vector"), ("text_key", "_made")):
+            before = F.lit(None) if old is None else F.col(f"{old}{column}")
+            values[column] = F.when(has, F.col(f"{new}{source}")).otherwise(before)
+    return upsert(stored, incoming.join(made, PRODUCT_KEYS, "left"), PRODUCT_KEYS, update, insert)
 
 
 def write_back_embeddings(
@@ -243,6 +328,7 @@ def write_snapshot(table: DataFrame, path: str, partition: str = "shop_domain",
     (
         table.hint("rebalance", partition)
         .write.mode("errorifexists")
+        .option("compression", "zstd")
         .option("maxRecordsPerFile", rows_per_file)
         .partitionBy(partition)
         .parquet(path)
