@@ -70,6 +70,11 @@ def _bucket(entries: list[Row]) -> Column:
     return find(*KEYS)
 
 
+def _write(rows: DataFrame, path: str, commit: str) -> None:
+    kept = rows.write.mode("errorifexists").option("compression", "zstd")
+    kept.partitionBy("bucket").parquet(f"{path}/data/commit={commit}")
+
+
 def _written(spark: SparkSession, path: str, commit: str, kinds: T.StructType) -> list[tuple]:
     """Per bucket of a commit: its number, least key and rows."""
     back = spark.read.schema(T.StructType([*kinds.fields, T.StructField("bucket", T.IntegerType())])).parquet(f"{path}/data/commit={commit}")
@@ -88,7 +93,7 @@ def create(table: DataFrame, path: str, rows_per_bucket: int = ROWS_PER_BUCKET)
     spark, commit = table.sparkSession, uuid.uuid4().hex
     count = max(1, -(-table.count() // rows_per_bucket))
     placed = table.repartitionByRange(count, *KEYS).sortWithinPartitions(*KEYS).withColumn("bucket", F.spark_partition_id())
-    placed.write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/data/commit={commit}")
+    _write(placed, path, commit)
     _commit(spark, path, _written(spark, path, commit, table.schema), 0)
 
 
@@ -109,7 +114,7 @@ def apply(spark: SparkSession, path: str, incoming: DataFrame, change: Apply) ->
         return Merged(version - 1, 0, len(entries))
     stored, commit = _read(spark, path, touched), uuid.uuid4().hex
     following = change(stored, batch.drop("_bucket")).withColumn("bucket", _bucket(entries))
-    following.hint("rebalance", "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/data/commit={commit}")
+    _write(following.hint("rebalance", "bucket"), path, commit)
     lows = {e["bucket"]: (e["low_shop"], e["low_product"]) for e in entries}
     # A bucket keeps its range: new rows before its least key lower it only in the first bucket.
     rewritten = [(b, c, *min(lows[b], (shop, product)), n) for b, c, shop, product, n in _written(spark, path, commit, stored.schema)]
@@ -139,7 +144,7 @@ def split(spark: SparkSession, path: str, most: int = 2 * ROWS_PER_BUCKET) -> Me
     number = F.when(part == 0, F.col("_bucket")).otherwise(F.col("_first") + part)
     commit = uuid.uuid4().hex
     cut = placed.withColumn("bucket", number).drop("_bucket", "_place", "_parts", "_rows", "_first")
-    cut.hint("rebalance", "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/data/commit={commit}")
+    _write(cut.hint("rebalance", "bucket"), path, commit)
     lows = {e["bucket"]: (e["low_shop"], e["low_product"]) for e in large}
     made = [(b, c, *lows.get(b, (shop, product)), n) for b, c, shop, product, n in _written(spark, path, commit, schema)]
     kept = [tuple(e[c] for c in ("bucket", "commit", "low_shop", "low_product", "rows")) for e in entries if e["rows"] <= most]
