@@ -78,3 +78,25 @@ def test_last_rows_without_gathering_all(spark):
     assert _all(last) == sorted([("a", 2, "y"), ("b", 1, "z"), (None, 2, "m"), ("c", None, None), ("d", 5, None)], key=str)
     plan = merge.keep_last(rows.filter("key IN ('b', 'd')"), ["key"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_intake_writes_texts_down_once_per_batch(spark, monkeypatch):
+    path, kept, cut = fresh_dir(spark, "intake"), [], buckets.cut_lineage
+
+    def recorded(frame):
+        kept.append(set(frame.columns))
+        return cut(frame)
+
+    for module in (buckets, jobs, sizing):
+        monkeypatch.setattr(module, "cut_lineage", recorded)
+    jobs.product_store(_products(spark, [("s", str(i), f"t{i}", i) for i in range(30)]), path, 10)
+    monkeypatch.setattr(merge, "MAX_KEY_BYTES", -1, raising=False)
+    text = X.weighted_text(F.col("title"), F.col("description"), F.col("vendor"))
+    write = jobs.product_intake(path, text, embedding.word_embedder(4), NOW)
+    feed = _products(spark, [("s", str(i), f"t{i % 9}", 1) for i in range(20, 40)]).drop("embedding", "created_at", "updated_at")
+    write(feed.withColumn("ordinal", F.lit(1)), 0)
+    stored = buckets.current(spark, path)
+    assert stored.count() == 40 and stored.filter("embedding IS NOT NULL AND text_key IS NOT NULL").count() == 20
+    assert sum(bool({"description", "_text"} & c) for c in kept) <= 1
+    flags = stored.filter("embedding IS NOT NULL").select(F.get_json_object("metadata", "$.needs_resync")).distinct()
+    assert [r[0] for r in flags.collect()] == ["false"]

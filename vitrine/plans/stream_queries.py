@@ -100,15 +100,15 @@ FROM vectors JOIN texts USING (shop_domain, product_id) JOIN cat USING (shop_dom
 )
 def stream_embed_products(spark, sf_dir):
     """Products embedded as they arrive, into the catalogue: a third is sent first, then all of them."""
-    catalog = B.catalog(spark, sf_dir, vectors=False, descriptions=True)
     fields = [*merge.PRODUCT_KEYS, "title", "description", "price", "vendor", "category", "tags", "metadata"]
-    feed = catalog.select(*fields, F.col("id").alias("ordinal"))
     path = fresh_dir(spark, "intake")
     jobs.product_store(B.stored_catalog(spark, sf_dir).withColumn("embedding", F.lit(None).cast("array<float>")), path, 5000)
+    # The products sent are those stored, read back from there: the descriptions are joined once.
+    feed = buckets.current(spark, path).select(*fields, F.col("product_id").cast("bigint").alias("ordinal"))
     text = X.weighted_text(F.col("title"), F.col("description"), F.col("vendor"))
     write = jobs.product_intake(path, text, embedding.word_embedder(64), B.AS_OF)
     for arrived in (feed.filter("ordinal % 3 = 0"), feed):
-        arrived.write.mode("append").parquet(f"{path}/feed")
+        arrived.write.mode("append").option("compression", "zstd").parquet(f"{path}/feed")
         jobs.drain(jobs.read_files(spark, f"{path}/feed", feed.schema), write, f"{path}/checkpoint", mode="append")
     outcome = spark.read.schema("shop_domain string, product_id string, status string").parquet(f"{path}/outcome")
     times = outcome.groupBy(*merge.PRODUCT_KEYS).agg(F.count(F.lit(1)).alias("times"))

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.functions import jsonfields as J
 from vitrine.functions import numeric as N
 from vitrine.functions import sizing
 from vitrine.operators import analytics, buckets, heavy, merge, purge, webhooks
@@ -230,20 +229,20 @@ def product_intake(path: str, text: Column, embedder: Embedder, as_of: datetime)
     """
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        last = merge.keep_last(rows, merge.PRODUCT_KEYS).withColumn("_text", text)
-        keyed = last.withColumn("_key", F.sha2("_text", 256))
+        last = merge.keep_last(rows, merge.PRODUCT_KEYS)
+        keyed = last.withColumn("_key", F.sha2(text, 256))
 
         def change(stored: DataFrame, batch: DataFrame) -> DataFrame:
             known = stored.filter("embedding IS NOT NULL").select(*merge.PRODUCT_KEYS, F.col("text_key").alias("_key"))
-            todo = batch.join(known, [*merge.PRODUCT_KEYS, "_key"], "left_anti").select(*merge.PRODUCT_KEYS, "_text", "_key")
-            embedded = cut_lineage(embed_rows(todo, "_text", embedder))
+            # Keys and hashes meet first; the texts only if very many products are as they were.
+            same, few = sizing.settle(batch.select(*merge.PRODUCT_KEYS, "_key").join(known, [*merge.PRODUCT_KEYS, "_key"], "left_semi"))
+            todo = batch.join(F.broadcast(same) if few else same, [*merge.PRODUCT_KEYS, "_key"], "left_anti")
+            texts = todo.select(*merge.PRODUCT_KEYS, text.alias("_text"), "_key")
+            embedded = cut_lineage(embed_rows(texts, "_text", embedder).drop("_text"))
             outcome = embedded.select(*merge.PRODUCT_KEYS, F.col("_key").alias("text_key"), "status", "error")
             outcome.write.mode("overwrite").parquet(f"{path}/outcome/batch={batch_id}")
-            vectors = embedded.filter("status = 'ok'").select(*merge.PRODUCT_KEYS, "embedding", "_key")
-            updated = merge.upsert_product_info(stored, batch.drop("_text", "_key"), as_of)
-            new = {"embedding": F.col("new.embedding"), "text_key": F.col("new._key"), "updated_at": F.lit(as_of).cast("timestamp_ntz")}
-            new["metadata"] = J.set_flag(F.coalesce(F.col("old.metadata"), F.lit("{}")), "needs_resync", F.lit(False))
-            return merge.upsert(updated, vectors, merge.PRODUCT_KEYS, new, {})
+            vectors = embedded.filter("status = 'ok'").select(*merge.PRODUCT_KEYS, "embedding", F.col("_key").alias("text_key"))
+            return merge.upsert_info_and_vectors(stored, batch.drop("_key"), vectors, as_of)
 
         buckets.apply(rows.sparkSession, path, keyed, change)
 
