@@ -37,6 +37,18 @@ def test_quantised_search_hands_on_k_rows_per_task(spark, monkeypatch):
         assert sorted(map(tuple, pq.top_k(index, asked, k=3).collect())) == wanted
 
 
+def test_embedder_gets_bounded_calls(spark):
+    def sizes(texts):
+        return np.array([[len(texts), sum(map(len, texts))]] * len(texts), float)
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 7 != 3, F.repeat(F.lit("x"), F.lit(20) + (F.col("id") % 100 == 0).cast("int") * 300_000)).alias("text"))
+    found = embedding.embed_rows(rows.coalesce(1), "text", sizes).collect()
+    assert len(found) == 3000 and {r["status"] for r in found if r["id"] % 7 != 3} == {"ok"}
+    assert all((r["status"] == "error") == (r["id"] % 7 == 3) for r in found)
+    done = [r["embedding"] for r in found if r["status"] == "ok"]
+    assert max(n for n, _ in done) <= 512 and max(size for _, size in done) <= 1 << 20
+
+
 def _products(spark, rows):
     """Products of (shop, id, title, price)."""
     frame = spark.createDataFrame(rows, "shop_domain string, product_id string, title string, price int")

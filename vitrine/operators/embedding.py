@@ -29,6 +29,8 @@ from vitrine.sources import seeds
 
 Embedder = Callable[[list[str]], np.ndarray]
 CACHE_DAYS = 7
+# What an embedder is given at once, at most (a longer text goes alone), and what a task reads at once.
+EMBED_ROWS, EMBED_BYTES, READ_BYTES = 512, 1 << 20, 4 << 20
 
 
 def hashing_embedder(dim: int) -> Embedder:
@@ -73,12 +75,25 @@ def word_embedder(dim: int) -> Embedder:
     return embed
 
 
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of ``EMBED_ROWS`` rows and ``EMBED_BYTES`` of text in column ``at`` at most."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < batch.num_rows:
+        before = int(ends[low - 1]) if low else 0
+        high = min(low + EMBED_ROWS, max(low + 1, int(np.searchsorted(ends, before + EMBED_BYTES, side="right"))))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def embed_rows(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     """``rows`` plus ``embedding, status, error``. A failing text fails alone.
 
-    A batch that raises is retried text by text, so one bad row costs its batch
-    only the vectorisation.
+    Texts go to the embedder some at a time, so a task's memory follows from ``EMBED_BYTES``
+    and not from the number or length of texts. A call that raises is retried text by
+    text, so one bad row costs its neighbours only the vectorisation.
     """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(READ_BYTES))
     schema = T.StructType(
         [
             *rows.schema.fields,
@@ -92,7 +107,7 @@ def embed_rows(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
         vectors, errors = [], []
         for item in texts:
             try:
-                vectors.append(np.asarray(embedder([item])[0], dtype=np.float32).tolist())
+                vectors.append(np.asarray(embedder([item])[0], dtype=np.float32))
                 errors.append(None)
             except Exception as problem:  # the row's own failure, reported with it
                 vectors.append(None)
@@ -100,7 +115,7 @@ def embed_rows(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
         return vectors, errors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole, whole.schema.get_field_index(text))):
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             usable = [i for i, item in enumerate(texts) if item is not None and item.strip()]
             vectors: list = [None] * len(texts)
@@ -108,7 +123,7 @@ def embed_rows(rows: DataFrame, text: str, embedder: Embedder) -> DataFrame:
             if usable:
                 asked = [texts[i] for i in usable]
                 try:
-                    found = np.asarray(embedder(asked), dtype=np.float32).tolist()
+                    found = list(np.asarray(embedder(asked), dtype=np.float32))
                     problems = [None] * len(asked)
                 except Exception:
                     found, problems = one_by_one(asked)
